@@ -24,68 +24,89 @@ def fold_items(items: Column) -> Column:
     return F.aggregate(filled, empty, lambda acc, item: F.coalesce(overlay(acc, item), acc))
 
 
-def merged_document(json: Column) -> Column:
-    """``data[]`` items folded in order, then the top-level keys; null for malformed JSON."""
-    top = F.from_json(json, _MAP)
+def merged_document(top: Column) -> Column:
+    """``data[]`` items folded in order, then the top-level keys, of a parsed document."""
     items = F.from_json(F.element_at(top, "data"), f"array<{_MAP}>")
-    rest = F.map_filter(top, lambda key, _: key != "data")
-    return overlay(fold_items(items), rest)
+    return overlay(fold_items(items), top)
 
 
-def flatten(value: Column) -> Column:
-    """A JSON list to its items joined by ``", "``; objects stay JSON; empty values are null."""
-    items = F.from_json(value, "array<string>")
-    flat = F.when(
-        value.startswith("["), F.coalesce(F.array_join(items, ", "), value)
-    ).otherwise(value)
-    return F.when(~flat.isin("", "{}", "[]"), flat)
-
-
-def _present(value: Column) -> Column:
-    """Null for values that count as empty in a nested lookup."""
-    return F.when(~value.isin("", "{}", "[]", "0", "false"), value)
+def parsed(json: Column) -> Column:
+    """A document's top-level keys with their values as JSON text; null for malformed JSON."""
+    return F.from_json(json, _MAP)
 
 
-def host_features(doc: Column) -> dict[str, Column]:
-    """The feature columns of a merged host document (``map<string,string>``)."""
+def flatten(value: Column) -> Column:
+    """A JSON list to its items joined by ``", "``; objects and plain values stay."""
+    items = F.array_join(F.from_json(value, "array<string>"), ", ")
+    return F.when(value.startswith("["), F.coalesce(items, value)).otherwise(value)
+
+
+def unless_empty(value: Column) -> Column:
+    return F.when(~value.isin("", "{}", "[]"), value)
+
+
+# Top-level features, and the nested ones with their place (fixed values).
+PLAIN = "product version cpe cpe23 hostnames domains tags asn org isp".split()
+NESTED = {
+    "components": "http.components",
+    "server": "http.server",
+    "ssh_key": "ssh.key",
+    "ssh_kex": "ssh.kex.kex_algorithms",
+    "ssh_mac": "ssh.kex.mac_algorithms",
+    "ssh_cipher": "ssh.cipher",
+    "ssl_ja3s": "ssl.ja3s",
+    "ssl_jarm": "ssl.jarm",
+    "ssl_fingerprint": "ssl.cert.fingerprint.sha256",
+    "ssl_issuer": "ssl.cert.issuer",
+    "ssl_subject": "ssl.cert.subject",
+}
+LOCATED = ("country_code", "region_code")
+
+# Schemas of the nested objects; a text field keeps an object's or list's JSON (fixed values).
+OBJECTS = {
+    "http": "server string, components string",
+    "ssh": "key string, kex struct<kex_algorithms:string,mac_algorithms:string>, cipher string",
+    "ssl": "ja3s string, jarm string, "
+    "cert struct<fingerprint:struct<sha256:string>,issuer:string,subject:string>",
+    "location": "country_code string, region_code string",
+}
+
+
+def opened(doc: Column) -> dict[str, Column]:
+    """First step of the feature projection: top-level texts, and each nested object parsed once."""
 
     def field(key: str) -> Column:
         return F.try_element_at(doc, F.lit(key))
 
-    def nested(key: str, path: str) -> Column:
-        return flatten(_present(F.get_json_object(field(key), path)))
+    found = {name: field(name) for name in (*PLAIN, "vulns", *LOCATED)}
+    return found | {name: F.from_json(field(name), ddl) for name, ddl in OBJECTS.items()}
 
-    def keys(json: Column) -> Column:
-        return F.array_join(F.json_object_keys(json), ", ")
 
-    def located(key: str) -> Column:
-        own = F.nullif(field(key), F.lit(""))
-        return F.coalesce(own, F.nullif(F.get_json_object(field("location"), f"$.{key}"), F.lit("")))
+def raw_features() -> dict[str, Column]:
+    """Second step: each feature's own text."""
+    found = {name: F.col(name) for name in (*PLAIN, "vulns", *LOCATED)}
+    found |= {name: F.col(path) for name, path in NESTED.items()}
+    return found | {f"_{name}": F.col(f"location.{name}") for name in LOCATED}
 
-    vulns = field("vulns")
-    features = {name: flatten(field(name)) for name in ("product", "version", "cpe", "cpe23")}
-    features["components"] = F.nullif(
-        keys(F.get_json_object(field("http"), "$.components")), F.lit("")
-    )
-    features["ssh_key"] = nested("ssh", "$.key")
-    features["ssh_kex"] = nested("ssh", "$.kex.kex_algorithms")
-    features["ssh_mac"] = nested("ssh", "$.kex.mac_algorithms")
-    features["ssh_cipher"] = nested("ssh", "$.cipher")
-    features["ssl_ja3s"] = nested("ssl", "$.ja3s")
-    features["ssl_jarm"] = nested("ssl", "$.jarm")
-    features["ssl_fingerprint"] = nested("ssl", "$.cert.fingerprint.sha256")
-    features["hostnames"] = flatten(field("hostnames"))
-    features["domains"] = flatten(field("domains"))
+
+def shaped_features(names: list[str]) -> dict[str, Column]:
+    """Third step: lists flattened, object keys named, and place fields filled up."""
+    shaped = {name: flatten(F.col(name)) for name in (*PLAIN, *NESTED)}
+    shaped["components"] = F.array_join(F.json_object_keys("components"), ", ")
     # An object of vulnerabilities counts by its keys, so that the CVE names survive.
-    features["vulns"] = F.when(
-        vulns.startswith("{"), F.nullif(keys(vulns), F.lit(""))
-    ).otherwise(flatten(vulns))
-    features["tags"] = flatten(field("tags"))
-    features["server"] = nested("http", "$.server")
-    for name in ("asn", "org", "isp"):
-        features[name] = flatten(field(name))
-    features["country_code"] = located("country_code")
-    features["region_code"] = located("region_code")
-    features["ssl_issuer"] = nested("ssl", "$.cert.issuer")
-    features["ssl_subject"] = nested("ssl", "$.cert.subject")
-    return features
+    shaped["vulns"] = F.when(
+        F.col("vulns").startswith("{"), F.array_join(F.json_object_keys("vulns"), ", ")
+    ).otherwise(flatten(F.col("vulns")))
+    for name in LOCATED:
+        shaped[name] = F.coalesce(F.nullif(F.col(name), F.lit("")), F.col(f"_{name}"))
+    return {name: shaped[name] for name in names}
+
+
+def final_features(names: list[str]) -> dict[str, Column]:
+    """Fourth step: empty values to null; a nested zero or false counts as empty too."""
+    return {
+        name: F.when(~F.col(name).isin("0", "false"), unless_empty(F.col(name)))
+        if name in NESTED
+        else unless_empty(F.col(name))
+        for name in names
+    }

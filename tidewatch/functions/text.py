@@ -6,6 +6,7 @@ fallback for dotted runs too long for the JVM regex engine's stack.
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -45,6 +46,12 @@ URL_PATTERN = (
 SAFE_LABELS = 100
 _LONG_RUN = r"(?iU)(?<![a-zA-Z0-9-])(?:[a-zA-Z0-9-]++\.){%d}+" % SAFE_LABELS
 
+# White space that counts as blank at the ends of a text (fixed value).
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _COMMENT = r"(?s)<!--.*?-->"
 _SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 _STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
@@ -53,7 +60,7 @@ _TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*>"""
 
 def unescape(text: Column) -> Column:
     """Resolve character references in one left-to-right pass (``&amp;lt;`` gives ``&lt;``)."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
     def resolve(part: Column) -> Column:
         name = F.regexp_extract(
@@ -96,6 +103,22 @@ def inner_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(visible_text(html), r"(?U)\s+", " "))
 
 
+_BLOCK_END = r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|tr|table|blockquote|section|article|h[1-6])\s*>"
+
+
+def block_text(html: Column) -> Column:
+    """Visible text of a fragment with a line end after each block, as a browser shows it."""
+    flat = F.regexp_replace(html, r"\s+", " ")
+    lines = visible_text(F.regexp_replace(flat, _BLOCK_END, "\n"))
+    tidy = F.regexp_replace(F.regexp_replace(lines, r"[ \xa0]+", " "), r" ?\n ?", "\n")
+    return trim_blank(F.regexp_replace(tidy, r"\n{3,}", "\n\n"))
+
+
+def trim_blank(text: Column) -> Column:
+    """Strip white space, line breaks included, from both ends."""
+    return F.trim(text, F.lit(BLANKS))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _urls_of_long_runs(text: pd.Series) -> pd.Series:
     pattern = re.compile(URL_PATTERN, re.IGNORECASE)
@@ -106,13 +129,12 @@ def has_long_run(text: Column) -> Column:
     return text.rlike(_LONG_RUN)
 
 
-def url_tokens(text: Column) -> Column:
+def url_tokens(text: Column, long_run: Column) -> Column:
     """All URL-like tokens of ``text``, bare domains included, in order.
 
-    Only texts with an over-long dotted run travel to Python; the others cross
-    as nulls, so the page is still scanned once.
+    ``long_run`` is ``has_long_run(text)``: only such texts travel to Python, the
+    others cross as nulls, so a page is still scanned once.
     """
-    long_run = has_long_run(text)
     in_jvm = F.when(
         ~long_run, F.regexp_extract_all(text, F.lit("(?iU)" + URL_PATTERN), F.lit(0))
     )
@@ -160,12 +182,12 @@ def last_segment(url: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) == "")
+    return text.isNull() | (trim_blank(text) == "")
 
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 # Labels of an article file (fixed values).
@@ -176,32 +198,13 @@ SUMMARY_LABEL = "요약: "
 BODY_LABEL = "본문:"
 
 
-def trim_blank(text: Column) -> Column:
-    """Strip white space, line breaks included, from both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def article_lines(text: Column) -> Column:
     return F.split(trim_blank(text), r"\r\n|\r|\n")
 
 
-def article_fields(text: Column, name: str = "article") -> Column:
-    """Struct ``title, content`` of a labelled article text; null when no title line exists.
-
-    The body follows the first URL line, else starts two lines after the title line.
-    """
-    lines = article_lines(text)
-    title_line = F.try_element_at(F.filter(lines, lambda x: x.startswith(TITLE_LABEL)), F.lit(1))
-    url_line = F.try_element_at(F.filter(lines, lambda x: x.startswith(URL_LABEL)), F.lit(1))
-    start = F.when(url_line.isNotNull(), F.array_position(lines, url_line) + 1).otherwise(
-        F.array_position(lines, title_line) + 2
-    )
-    body = F.array_join(F.slice(lines, start.cast("int"), F.size(lines)), "\n")
-    fields = F.struct(
-        trim_blank(F.replace(title_line, F.lit(TITLE_LABEL), F.lit(""))).alias("title"),
-        trim_blank(body).alias("content"),
-    )
-    return F.when(title_line.isNotNull(), fields).alias(name)
+def first_with(lines: Column, label: str) -> Column:
+    """The first line that starts with ``label``, as a list of one or none."""
+    return F.slice(F.filter(lines, lambda x: x.startswith(label)), 1, 1)
 
 
 def render_article(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, text
 from tidewatch.operators import crawl, filters
+from tidewatch.session import cut_lineage, spread
 
 NOTHING = r"(?!)"
 
@@ -193,18 +194,16 @@ def extract_cards(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> D
     Adds ``position, title, url, date, summary, image``; cards without a title or
     an address are dropped, positions still count them.
     """
-    fragments = per_site(
-        rules, lambda r: F.slice(F.split("html", r.start), F.lit(2), F.size(F.split("html", r.start)))
-    )
-    # A start pattern that matches nothing before the first card leaves no lead to skip.
-    cards = pages.withColumn("_fragments", fragments).select(
+    # The text before the first start tag is no card; positions count from it.
+    fragments = per_site(rules, lambda r: F.split("html", r.start))
+    cards = spread(pages).select(
         *[c for c in pages.columns if c != "html"],
-        F.posexplode("_fragments").alias("_at", "_card"),
-    )
+        F.posexplode(fragments).alias("_at", "_card"),
+    ).filter(F.col("_at") > 0)
     card = F.col("_card")
     fields = cards.select(
         *[c for c in cards.columns if c not in ("_at", "_card")],
-        (F.col("_at") + 1).alias("position"),
+        F.col("_at").alias("position"),
         per_site(rules, lambda r: text.inner_text(_found(card, r.title))).alias("title"),
         per_site(
             rules, lambda r: absolute(F.trim(text.unescape(_found(card, r.url))), r.base)
@@ -237,7 +236,7 @@ def body_text(html: Column, rule: SiteRule) -> Column:
         )
         body = F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
     else:
-        body = text.inner_text(fragment)
+        body = text.block_text(fragment)
     return F.coalesce(F.nullif(body, F.lit("")), F.lit(rule.no_body))
 
 
@@ -264,7 +263,7 @@ def read_articles(
     out of the page before the join, so its markup is not shuffled; every site's
     patterns apply only to that site's cards through the address's own row.
     """
-    pages = article_pages.select("site", "url", "html")
+    pages = spread(article_pages.select("site", "url", "html"))
     body = per_site(rules, lambda r: body_text(F.col("html"), r))
     images = per_site(
         rules,
@@ -301,6 +300,7 @@ def select_articles(
     ``listing_pages`` holds ``site, category, category_rank, page, html`` and
     ``article_pages`` holds ``site, url, html``.
     """
+    listing_pages = listing_pages.fillna("main", subset=["category"])
     is_main = F.col("category") == "main"
     limit = per_site(
         rules,
@@ -316,8 +316,12 @@ def select_articles(
         exempt | filters.on_day(F.col("date"), as_of)
     )
     once = per_site(rules, lambda r: F.lit(r.once_per_url))
-    kept = crawl.once_per_url(today.filter(once)).unionByName(today.filter(~once))
-    numbered = crawl.number_in_listing(kept, ["site", "category"], "page", "position")
+    # Today's articles are few next to the pages, and each branch below needs them.
+    today = cut_lineage(today.withColumn("_once", once))
+    kept = crawl.once_per_url(today.filter("_once")).unionByName(today.filter(~F.col("_once")))
+    numbered = crawl.number_in_listing(
+        cut_lineage(kept.drop("_once")), ["site", "category"], "page", "position"
+    )
     return numbered.withColumns(
         {"text": article_text(rules), "path": article_path(rules, as_of)}
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,9 @@ SEED = 42
 MAX_K = 10
 DEFAULT_K = 2
 
+# Fits whose jobs may run at the same time.
+FITS_AT_ONCE = 4
+
 
 def standardize(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Long form ``key, technique_id, z``: zero mean, unit population variance per column.
@@ -125,22 +129,26 @@ def fit_kmeans(vectors: DataFrame, k: int) -> KMeansModel:
 def sweep_k(vectors: DataFrame, key: str, rows: int, dims: int, max_k: int = MAX_K) -> Sweep:
     """Fit k = 2 to ``min(max_k, rows - 1)``; the highest mean silhouette wins, the first on ties.
 
-    ``vectors`` is read once per k, so pass a written or cached table.
+    ``vectors`` is read for each k, so pass a written or cached table. The fits
+    do not depend on each other, so their jobs run side by side.
     """
     data = vectors.withColumn("features", array_to_vector("vector"))
-    scores, models = [], {}
-    best_k, best_score = DEFAULT_K, -1.0
-    for k in range(2, min(max_k, rows - 1) + 1):
+
+    def fit(k: int) -> tuple[KMeansModel, float, float]:
         model = fit_kmeans(data, k)
         labelled = model.transform(data).select(key, "vector", F.col("prediction").alias("cluster"))
         score = euclidean_silhouette(labelled, key, dims).agg(F.avg("silhouette")).first()[0]
-        score = -1.0 if score is None else score
-        scores.append((k, float(model.summary.trainingCost), float(score)))
-        models[k] = model
+        return model, float(model.summary.trainingCost), -1.0 if score is None else float(score)
+
+    ks = range(2, min(max_k, rows - 1) + 1)
+    with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
+        fits = dict(zip(ks, pool.map(fit, ks), strict=True))
+    best_k, best_score = DEFAULT_K, -1.0
+    for k, (_, _, score) in fits.items():
         if score > best_score:
             best_k, best_score = k, score
-    model = models[best_k] if best_k in models else fit_kmeans(data, best_k)
-    return Sweep(tuple(scores), best_k, model)
+    model = fits[best_k][0] if best_k in fits else fit_kmeans(data, best_k)
+    return Sweep(tuple((k, cost, score) for k, (_, cost, score) in fits.items()), best_k, model)
 
 
 def assign(vectors: DataFrame, key: str, model: KMeansModel) -> DataFrame:

@@ -118,7 +118,8 @@ def number_in_listing(cards: DataFrame, keys: Sequence[str], page: str, order: s
     """Running number of each card within its listing, pages in order.
 
     Cards are ranked inside their page, then shifted by the counts of the pages
-    before it, so a long listing is never sorted in one task.
+    before it, so a long listing is never sorted in one task. Keys are not null.
+    ``cards`` is read twice, so pass a written table.
     """
     inside = Window.partitionBy(*keys, page).orderBy(order)
     counts = cards.groupBy(*keys, page).agg(F.count("*").alias("_n"))
@@ -129,7 +130,7 @@ def number_in_listing(cards: DataFrame, keys: Sequence[str], page: str, order: s
             F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_offset"),
     )
-    same = [cards[c].eqNullSafe(shift[f"_{c}"]) for c in (*keys, page)]
+    same = [cards[c] == shift[f"_{c}"] for c in (*keys, page)]
     return (
         cards.withColumn("_row", F.row_number().over(inside))
         .join(shift, same)

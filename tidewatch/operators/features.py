@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
+from tidewatch.session import spread
 
 # Chunk length and step of long-text embedding, in tokens (fixed values).
 CHUNK_TOKENS = 510
@@ -40,7 +41,7 @@ class TextVectorizer:
 
     @classmethod
     def fit(cls, texts: DataFrame, text_col: str, dims: int) -> TextVectorizer:
-        usable = texts.filter(~T.is_blank(F.col(text_col)))
+        usable = spread(texts.select(text_col)).filter(~T.is_blank(F.col(text_col)))
         per_word = (
             usable.select(F.explode(F.array_distinct(T.words(F.col(text_col)))).alias("word"))
             .groupBy("word")
@@ -66,19 +67,19 @@ class TextVectorizer:
 
     def embed(self, df: DataFrame, text_col: str, output: str = "vector") -> DataFrame:
         """Add ``array<double>``; null for blank text and for text without a known word."""
-        found = self.vector(df.withColumn("_words", T.words(F.col(text_col))), "_words", "_vector")
+        split = spread(df).withColumn("_words", T.words(F.col(text_col)))
+        found = self.vector(split, "_words", "_vector")
         dense = vector_to_array("_vector")
         known = ~T.is_blank(F.col(text_col)) & F.exists(dense, lambda x: x != 0)
         return found.withColumn(output, F.when(known, dense)).drop("_words", "_vector")
 
     def words_of(self, df: DataFrame, vector: Column, *keep: str) -> DataFrame:
         """Long form of a dense vector column: one row per non-zero word weight."""
-        names = F.array(*[F.lit(w) for w in self.vocabulary])
-        return (
-            df.select(*keep, F.posexplode(vector).alias("_at", "weight"))
-            .filter(F.col("weight") != 0)
-            .select(*keep, F.element_at(names, F.col("_at") + 1).alias("word"), "weight")
-        )
+        names = F.array(*[F.lit(w) for w in self.vocabulary]).alias("word")
+        # The generator takes an expression, not a column: for a column Spark adds a
+        # size filter below it, which computes the vector a second time.
+        pairs = F.filter(F.arrays_zip(names, vector.alias("weight")), lambda x: x["weight"] != 0)
+        return df.select(*keep, F.explode(pairs).alias("pair")).select(*keep, "pair.*")
 
 
 def chunks(words: Column, size: int = CHUNK_TOKENS, stride: int = CHUNK_STRIDE) -> Column:
@@ -98,7 +99,8 @@ def embed_long_texts(
     stride: int = CHUNK_STRIDE,
 ) -> DataFrame:
     """``id, vector``: the mean of the chunk vectors of the whole text; blank text gives no row."""
-    parts = texts.filter(~T.is_blank(F.col(text_col))).select(
+    usable = spread(texts.select(id_col, text_col)).filter(~T.is_blank(F.col(text_col)))
+    parts = usable.select(
         id_col, F.explode(chunks(T.words(F.col(text_col)), size, stride)).alias("_words")
     )
     vectors = vectorizer.vector(parts, "_words", "_vector")
@@ -130,12 +132,10 @@ def summarize(
     letters or more. The whole text takes part. The texts are shuffled once by
     id; every later step keeps that partitioning. Blank text gives ``""``.
     """
-    keyed = (
-        texts.select(id_col, text_col)
-        .repartition(F.col(id_col))
-        .withColumn("_sentences", sentences(F.col(text_col)))
+    keyed = texts.select(id_col, text_col).repartition(F.col(id_col))
+    split = keyed.select(
+        id_col, F.posexplode(sentences(F.col(text_col))).alias("_at", "_sentence")
     )
-    split = keyed.select(id_col, F.posexplode("_sentences").alias("_at", "_sentence"))
     counted = split.select(id_col, "_at", T.words(F.col("_sentence")).alias("_words")).select(
         id_col, "_at", F.size("_words").alias("_size"), F.explode_outer("_words").alias("_word")
     )
@@ -160,8 +160,10 @@ def summarize(
     summary = F.array_join(
         F.transform("_chosen", lambda i: F.element_at(F.col("_sentences"), i + 1)), " "
     )
-    return keyed.join(chosen, id_col, "left").select(
-        id_col, F.coalesce(summary, F.lit("")).alias("summary")
+    return (
+        keyed.join(chosen, id_col, "left")
+        .withColumn("_sentences", sentences(F.col(text_col)))
+        .select(id_col, F.coalesce(summary, F.lit("")).alias("summary"))
     )
 
 

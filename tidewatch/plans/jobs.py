@@ -21,7 +21,7 @@ from tidewatch.operators import (
     joins,
     match,
 )
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, spread
 from tidewatch.sources import files, sinks, snapshots
 
 DIMS = 512
@@ -29,11 +29,14 @@ DIMS = 512
 
 def url_rows(pages: DataFrame) -> DataFrame:
     """``html_file, group, url, domain``: each distinct URL of each page, in the page's order."""
-    found = F.array_distinct(
-        F.filter(text.url_tokens(text.visible_text(F.col("html"))), text.keep_url)
+    texts = spread(pages).select(
+        "html_file", "group", text.visible_text(F.col("html")).alias("_text")
     )
+    marked = texts.withColumn("_long", text.has_long_run(F.col("_text")))
+    tokens = text.url_tokens(F.col("_text"), F.col("_long"))
+    found = F.array_distinct(F.filter(tokens, text.keep_url))
     return (
-        pages.select("html_file", "group", F.explode(found).alias("url"))
+        marked.select("html_file", "group", F.explode(found).alias("url"))
         .withColumn("domain", text.domain_of(F.col("url")))
         .filter(F.col("domain") != "")
     )

@@ -47,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all task slots when its scan has too few pieces to keep them busy.
+
+    For jobs whose cost per row is high. A large table has more splits than
+    slots and is left as it is; only a small one is shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() * 2 <= slots else df

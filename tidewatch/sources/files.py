@@ -55,16 +55,25 @@ def parse_articles(
     parts = F.split(F.col("path"), "/")
     # The last part is the file name, so it never counts as source or date.
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return (
-        files.withColumn("article", text.article_fields(F.col("value")))
-        .filter(F.col("article").isNotNull())
-        .select(
-            "path",
-            F.col("article.title").alias("title"),
-            F.col("article.content").alias("content"),
-            dates.parse_date(F.try_element_at(folders, F.lit(2)), formats).alias("date"),
-            F.coalesce(F.try_element_at(folders, F.lit(1)), F.lit(".")).alias("source"),
-        )
+    # Lines are split once, and the explode drops files without a title line.
+    titled = files.select("path", text.article_lines(F.col("value")).alias("lines")).select(
+        "path",
+        "lines",
+        F.try_element_at(text.first_with(F.col("lines"), text.URL_LABEL), F.lit(1)).alias("url_line"),
+        F.explode(text.first_with(F.col("lines"), text.TITLE_LABEL)).alias("title_line"),
+    )
+    # The body follows the first URL line, else starts two lines after the title line.
+    start = F.coalesce(
+        F.array_position("lines", F.col("url_line")) + 1,
+        F.array_position("lines", F.col("title_line")) + 2,
+    )
+    body = F.array_join(F.slice("lines", start.cast("int"), F.size("lines")), "\n")
+    return titled.select(
+        "path",
+        text.trim_blank(F.replace("title_line", F.lit(text.TITLE_LABEL), F.lit(""))).alias("title"),
+        text.trim_blank(body).alias("content"),
+        dates.parse_date(F.try_element_at(folders, F.lit(2)), formats).alias("date"),
+        F.coalesce(F.try_element_at(folders, F.lit(1)), F.lit(".")).alias("source"),
     )
 
 

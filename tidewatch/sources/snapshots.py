@@ -2,29 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.functions import documents
+from tidewatch.session import spread
 
 
 def host_scans(snapshot: DataFrame) -> DataFrame:
     """``ip`` and its feature columns from ``(ip, json)``.
 
-    Documents with an error and malformed ones are left out.
+    Documents with an error and malformed ones are left out. Each step is a
+    projection of its own, so no document is parsed again for every feature.
     """
+
+    def usable(top: Column) -> Column:
+        error = F.try_element_at(top, F.lit("error"))
+        return top.isNotNull() & (error.isNull() | (error == ""))
+
+    names = schemas.HOST_FEATURES
+    top = F.filter(F.array(documents.parsed(F.col("json"))), usable)
     return (
-        snapshot.filter(F.get_json_object("json", "$.error").isNull())
-        .select("ip", documents.merged_document(F.col("json")).alias("doc"))
-        .filter(F.col("doc").isNotNull())
-        .select(
-            "ip",
-            *[c.alias(name) for name, c in documents.host_features(F.col("doc")).items()],
-        )
+        spread(snapshot).select("ip", F.explode(top).alias("top"))
+        .select("ip", documents.merged_document(F.col("top")).alias("doc"))
+        .select("ip", *_named(documents.opened(F.col("doc"))))
+        .select("ip", *_named(documents.raw_features()))
+        .select("ip", *_named(documents.shaped_features(names)))
+        .select("ip", *_named(documents.final_features(names)))
     )
 
 
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
 def cve_details(snapshot: DataFrame) -> DataFrame:
     """The kept fields of ``(cve_id, json)``; a missing ``cpes`` is an empty list.
 
