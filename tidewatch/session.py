@@ -49,11 +49,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# A table is small up to this many bytes, by the optimizer's estimate.
+SMALL_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all task slots when its scan has too few pieces to keep them busy.
+    """A small ``df`` over all task slots; a larger one has splits enough and stays as it is.
 
-    For jobs whose cost per row is high. A large table has more splits than
-    slots and is left as it is; only a small one is shuffled.
+    For steps whose cost per row is high: a small file may be a single split,
+    which would keep one slot busy. The size comes from the plan's statistics, so
+    nothing runs to find it.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() * 2 <= slots else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
