@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewatch import schemas
 from tidewatch.functions import dates, text
+from tidewatch.operators import dedupe
 
 # Marker for pages saved directly under the base folder (fixed value).
 ROOT_GROUP = "unknown_group_at_root"
@@ -25,8 +29,7 @@ def _whole_files(spark: SparkSession, base: str, glob: str) -> DataFrame:
     return (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .option("wholetext", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(relative.alias("path"), F.col("value"))
     )
 
@@ -93,35 +96,62 @@ def page_rows(files: DataFrame) -> DataFrame:
 
 
 def read_csv_folder(
-    spark: SparkSession, folder: str, schema: str, exclude: str = "shodan_data.csv"
+    spark: SparkSession, folder: str, schema: str = "", exclude: str = "shodan_data.csv"
 ) -> DataFrame:
     """Every CSV of ``folder`` but the base file, with ``file`` and ``ordinal`` giving row order.
 
-    Columns are matched by header name; a file that lacks a column gives null.
+    Columns are matched by header name: the result has the columns of all files, null
+    where a file lacks one. ``schema`` gives the types of known columns; other ones are
+    text. Files with the same header are read together; damaged files are skipped.
     """
-    rows = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("pathGlobFilter", "*.csv")
-        .schema(schema)
-        .csv(folder)
+    listing = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
     )
-    return _with_order(rows).filter(~F.col("file").endswith("/" + exclude))
+    # The names of the files, never their content.
+    paths = [row.path for row in listing.orderBy("path").collect()]
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        if not path.endswith("/" + exclude):
+            header = tuple(_csv(spark).csv(path).columns)
+            by_header.setdefault(header, []).append(path)
+    tables = [
+        _typed(_with_order(_csv(spark).schema(_text_columns(header)).csv(same)), schema)
+        for header, same in by_header.items()
+        if header
+    ]
+    if not tables:
+        empty = spark.createDataFrame([], schema or "url string")
+        return empty.withColumns({"file": F.lit(""), "ordinal": F.lit(0).cast("long")})
+    return dedupe.union_aligned(tables)
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: str = "") -> DataFrame:
+    """One CSV table with its row order in ``file`` and ``ordinal``."""
+    return _typed(_with_order(_csv(spark).csv(path)), schema)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One CSV table with its row order in ``file`` and ``ordinal``."""
-    rows = (
+def _csv(spark: SparkSession) -> DataFrameReader:
+    return (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .schema(schema)
-        .csv(path)
+        .option("ignoreCorruptFiles", True)
+    )
+
+
+def _text_columns(names: Sequence[str]) -> str:
+    return ", ".join(f"`{name}` string" for name in names)
+
+
+def _typed(rows: DataFrame, schema: str) -> DataFrame:
+    """Known columns cast to their types; unreadable values become null."""
+    types = {f.name: f.dataType for f in StructType.fromDDL(schema).fields} if schema else {}
+    return rows.select(
+        *[
+            F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
+            for c in rows.columns
+        ]
     )
-    return _with_order(rows)
 
 
 def _with_order(rows: DataFrame) -> DataFrame:
