@@ -56,6 +56,18 @@ def scaled_vectors(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return wide.select(key, F.array(*[z(i, c) for i, c in enumerate(columns)]).alias("vector"))
 
 
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` to all rows of ``b``."""
+    sums = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :]
+    square = np.maximum(sums - 2 * a @ b.T, 0)
+    # Rounding swamps the small difference of near copies, so that is taken directly.
+    near = np.nonzero(square <= 1e-6 * sums)
+    for start in range(0, len(near[0]), 100_000):
+        i, j = (n[start : start + 100_000] for n in near)
+        square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return np.sqrt(square)
+
+
 def euclidean_silhouette(
     labelled: DataFrame, key: str, dims: int, broadcast_elements: int = blocks.BROADCAST_ELEMENTS,
     rows_per_block: int = blocks.ROWS_PER_BLOCK,
@@ -67,9 +79,7 @@ def euclidean_silhouette(
     id_type = dict(labelled.dtypes)[key]
 
     def sums(batch: pd.DataFrame, matrix: np.ndarray, info: pd.DataFrame) -> pd.DataFrame:
-        rows = blocks.stack(batch["vector"])
-        square = (rows**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :] - 2 * rows @ matrix.T
-        distances = np.sqrt(np.maximum(square, 0))
+        distances = pair_distances(blocks.stack(batch["vector"]), matrix)
         labels = info["cluster"].to_numpy()
         parts = []
         for label in np.unique(labels):
