@@ -176,7 +176,12 @@ def test_select_articles(spark):
     )
 
 
-def test_numbers_run_over_pages(spark):
-    df = spark.createDataFrame([("s", "c", 1, 1), ("s", "c", 1, 3), ("s", "c", 2, 1), ("s", "d", 2, 5)], "site string, category string, page int, position int")
-    got = rows(crawl.number_in_listing(df, ["site", "category"], "page", "position"), "category", "page", "position", "seq")
-    assert got == [("c", 1, 1, 1), ("c", 1, 3, 2), ("c", 2, 1, 3), ("d", 2, 5, 1)]
+@pytest.mark.parametrize("sizes", [{}, {"pages_per_block": 2, "rows_per_bucket": 2}])
+def test_numbers_run_over_pages(spark, sizes):
+    cards_ = [("s", c, p, o) for c, p, o in [("c", 1, 1), ("c", 1, 3), ("c", 1, 4), ("c", 2, 1), ("c", 5, 2), ("c", 5, 9), ("d", 2, 5), ("d", 3, 1)]]
+    df = spark.createDataFrame(cards_, "site string, category string, page int, position int")
+    numbered = crawl.number_in_listing(df, ["site", "category"], "page", "position", **sizes)
+    got = rows(numbered, "category", "page", "position", "seq")
+    assert got == [
+        ("c", 1, 1, 1), ("c", 1, 3, 2), ("c", 1, 4, 3), ("c", 2, 1, 4), ("c", 5, 2, 5), ("c", 5, 9, 6), ("d", 2, 5, 1), ("d", 3, 1, 2),
+    ]

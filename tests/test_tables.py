@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.operators import aggregates, dedupe, filters, joins
+from tidewatch.plans import jobs
 
 
 def rows(df, *columns):
@@ -55,12 +56,24 @@ def test_cve_refresh_keeps_unmatched_ones_wanted(spark):
     cves = spark.createDataFrame([("CVE-1", "old"), (None, "x")], "cve_id string, summary string")
     wanted = joins.new_cves(pairs, cves)
     assert [r[0] for r in wanted.collect()] == ["CVE-2", "CVE-3"]
-    details = spark.createDataFrame([("CVE-2", "new", 5.0)], "cve_id string, summary string, cvss double")
-    assert rows(joins.append_details(cves, wanted, details)) == [
+    details = spark.createDataFrame(
+        [("CVE-2", '{"cve_id": "CVE-2", "summary": "new", "cvss": 5.0}'), ("CVE-1", '{"cve_id": "CVE-1"}'), ("CVE-3", None)],
+        "cve_id string, json string",
+    )
+    refreshed = jobs.refresh_cve_table(pairs, cves, details)
+    assert rows(refreshed, "cve_id", "summary", "cvss") == [
         ("CVE-1", "old", None), ("CVE-2", "new", 5.0), (None, "x", None),
     ]
 
 
+def test_newest_scan_document_counts(spark):
+    hosts = spark.createDataFrame([("u1", "1.1.1.1"), ("u2", "1.1.1.1")], "url string, ip_address string")
+    scans = spark.createDataFrame(
+        [("1.1.1.1", '{"asn": "old"}', 1), ("1.1.1.1", '{"asn": "new"}', 2), ("2.2.2.2", "{", 1)], "ip string, json string, at int"
+    )
+    assert rows(jobs.enrich_hosts(hosts, scans, "at"), "url", "asn") == [("u1", "new"), ("u2", "new")]
+
+
 def test_merge_keeps_base_rows_and_aligns_columns(spark):
     base = spark.createDataFrame(
         [("u1", "base1", "f0", 0), ("u1", "base2", "f0", 1), (None, "base3", "f0", 2)],

@@ -120,7 +120,8 @@ def trim_blank(text: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _urls_of_long_runs(text: pd.Series) -> pd.Series:
+def python_urls(text: pd.Series) -> pd.Series:
+    """URL-like tokens by Python's regex engine; null stays null."""
     pattern = re.compile(URL_PATTERN, re.IGNORECASE)
     return text.map(lambda t: None if t is None else pattern.findall(t))
 
@@ -129,16 +130,16 @@ def has_long_run(text: Column) -> Column:
     return text.rlike(_LONG_RUN)
 
 
-def url_tokens(text: Column, long_run: Column) -> Column:
-    """All URL-like tokens of ``text``, bare domains included, in order.
+def jvm_urls(text: Column, long_run: Column) -> Column:
+    """All URL-like tokens of ``text``, bare domains included, in order; null if ``long_run``."""
+    found = F.regexp_extract_all(text, F.lit("(?iU)" + URL_PATTERN), F.lit(0))
+    return F.when(~long_run, found)
 
-    ``long_run`` is ``has_long_run(text)``: only such texts travel to Python, the
-    others cross as nulls, so a page is still scanned once.
-    """
-    in_jvm = F.when(
-        ~long_run, F.regexp_extract_all(text, F.lit("(?iU)" + URL_PATTERN), F.lit(0))
-    )
-    return F.coalesce(in_jvm, _urls_of_long_runs(F.when(long_run, text)))
+
+def url_tokens(text: Column) -> Column:
+    """URL-like tokens of any text: only one with an over-long dotted run travels to Python."""
+    long_run = has_long_run(text)
+    return F.coalesce(jvm_urls(text, long_run), python_urls(F.when(long_run, text)))
 
 
 def keep_url(url: Column) -> Column:

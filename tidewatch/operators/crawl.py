@@ -114,27 +114,46 @@ def category_links(html: Column, paths: Sequence[str] = CATEGORY_PATHS) -> Colum
     return F.filter(links, wanted)
 
 
-def number_in_listing(cards: DataFrame, keys: Sequence[str], page: str, order: str) -> DataFrame:
-    """Running number of each card within its listing, pages in order.
+def number_in_listing(
+    cards: DataFrame,
+    keys: Sequence[str],
+    page: str,
+    order: str,
+    pages_per_block: int = 4_096,
+    rows_per_bucket: int = 65_536,
+) -> DataFrame:
+    """Running number ``seq`` of each card within its listing, pages in order.
 
-    Cards are ranked inside their page, then shifted by the counts of the pages
-    before it, so a long listing is never sorted in one task. Keys are not null.
-    ``cards`` is read twice, so pass a written table.
+    ``page`` and ``order`` are integers and keys are not null. Cards are ranked
+    inside buckets of a page; counts of the buckets before them, in their block of
+    pages and in the blocks before it, shift them into place. So neither a long
+    listing nor a long page is sorted in one task. ``cards`` is read twice.
     """
-    inside = Window.partitionBy(*keys, page).orderBy(order)
-    counts = cards.groupBy(*keys, page).agg(F.count("*").alias("_n"))
-    line = Window.partitionBy(*keys).orderBy(page)
-    shift = counts.select(
-        *[F.col(c).alias(f"_{c}") for c in (*keys, page)],
-        F.coalesce(
-            F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_offset"),
+    bucketed = cards.withColumn("_bucket", F.floor(F.col(order) / F.lit(rows_per_bucket)))
+    unit = [*keys, page, "_bucket"]
+    counts = (
+        bucketed.groupBy(*unit)
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_block", F.floor(F.col(page) / F.lit(pages_per_block)))
+    )
+    earlier = (Window.unboundedPreceding, -1)
+    in_block = Window.partitionBy(*keys, "_block").orderBy(page, "_bucket").rowsBetween(*earlier)
+    in_listing = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*earlier)
+    blocks = (
+        counts.groupBy(*keys, "_block")
+        .agg(F.sum("_n").alias("_n"))
+        .select(*keys, "_block", F.coalesce(F.sum("_n").over(in_listing), F.lit(0)).alias("_before"))
+    )
+    shift = (
+        counts.withColumn("_inside", F.coalesce(F.sum("_n").over(in_block), F.lit(0)))
+        .join(blocks, [*keys, "_block"])
+        .select(*unit, (F.col("_inside") + F.col("_before")).alias("_shift"))
     )
-    same = [cards[c] == shift[f"_{c}"] for c in (*keys, page)]
+    inside = Window.partitionBy(*unit).orderBy(order)
     return (
-        cards.withColumn("_row", F.row_number().over(inside))
-        .join(shift, same)
-        .select(*cards.columns, (F.col("_offset") + F.col("_row")).alias("seq"))
+        bucketed.withColumn("_row", F.row_number().over(inside))
+        .join(shift, unit)
+        .select(*cards.columns, (F.col("_shift") + F.col("_row")).alias("seq"))
     )
 
 

@@ -42,16 +42,21 @@ class TextVectorizer:
     @classmethod
     def fit(cls, texts: DataFrame, text_col: str, dims: int) -> TextVectorizer:
         usable = spread(texts.select(text_col)).filter(~T.is_blank(F.col(text_col)))
-        per_word = (
-            usable.select(F.explode(F.array_distinct(T.words(F.col(text_col)))).alias("word"))
+        # An empty word per text counts the texts in the same pass; no real word is empty
+        # and none is more frequent, so it comes first.
+        found = F.array_append(F.array_distinct(T.words(F.col(text_col))), "")
+        top = (
+            usable.select(F.explode(found).alias("word"))
             .groupBy("word")
             .agg(F.count("*").alias("df"))
+            .orderBy(F.desc("df"), "word")
+            .limit(dims + 1)
+            .collect()
         )
-        top = per_word.orderBy(F.desc("df"), "word").limit(dims).collect()
-        total = usable.count()
+        total = top[0]["df"] if top else 0
         return cls(
-            tuple(row["word"] for row in top),
-            tuple(math.log((total + 1) / (row["df"] + 1)) for row in top),
+            tuple(row["word"] for row in top[1:]),
+            tuple(math.log((total + 1) / (row["df"] + 1)) for row in top[1:]),
         )
 
     def vector(self, df: DataFrame, words_col: str, output: str = "vector") -> DataFrame:

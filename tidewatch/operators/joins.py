@@ -39,6 +39,14 @@ def resolve_domains(urls: DataFrame, dns: DataFrame) -> DataFrame:
     )
 
 
+def wanted_addresses(hosts: DataFrame) -> DataFrame:
+    """Distinct addresses, as ``ip``, of the hosts that need enrichment."""
+    hosts = dedupe.add_missing(hosts, filters.ENRICHED_BY)
+    return (
+        hosts.filter(filters.needs_enrichment()).select(F.trim("ip_address").alias("ip")).distinct()
+    )
+
+
 def enrich_hosts(hosts: DataFrame, scans: DataFrame) -> DataFrame:
     """Fill the feature columns of hosts never enriched before from ``scans`` (one row per ip).
 
@@ -67,15 +75,6 @@ def new_cves(pairs: DataFrame, cves: DataFrame) -> DataFrame:
     return pairs.select("cve_id").distinct().join(known, "cve_id", "left_anti").orderBy("cve_id")
 
 
-def append_details(cves: DataFrame, wanted: DataFrame, details: DataFrame) -> DataFrame:
-    """Existing CVE rows, then the wanted ones that have details.
-
-    A CVE without details stays wanted and is looked up again on the next run.
-    """
-    fresh = wanted.join(details, "cve_id", "left_semi").join(details, "cve_id", "inner")
-    return dedupe.union_aligned([cves, fresh])
-
-
 def add_coordinates(hosts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Coordinates for hosts that lack one, by region and country; full pairs are kept."""
     hosts = hosts if "latitude" in hosts.columns else hosts.withColumns(

@@ -29,14 +29,22 @@ DIMS = 512
 
 def url_rows(pages: DataFrame) -> DataFrame:
     """``html_file, group, url, domain``: each distinct URL of each page, in the page's order."""
-    texts = spread(pages).select(
-        "html_file", "group", text.visible_text(F.col("html")).alias("_text")
+    page = F.col("_text")
+    marked = (
+        spread(pages)
+        .select("html_file", "group", text.visible_text(F.col("html")).alias("_text"))
+        .withColumn("_long", text.has_long_run(page))
     )
-    marked = texts.withColumn("_long", text.has_long_run(F.col("_text")))
-    tokens = text.url_tokens(F.col("_text"), F.col("_long"))
-    found = F.array_distinct(F.filter(tokens, text.keep_url))
+    # Generated, so that only the found URLs and the rare long text meet the Python
+    # step; a plain projection would carry every page's text past it.
+    found = F.struct(
+        text.jvm_urls(page, F.col("_long")).alias("urls"), F.when(F.col("_long"), page).alias("rest")
+    )
+    tokens = F.coalesce(F.col("found.urls"), text.python_urls(F.col("found.rest")))
+    kept = F.array_distinct(F.filter(tokens, text.keep_url))
     return (
-        marked.select("html_file", "group", F.explode(found).alias("url"))
+        marked.select("html_file", "group", F.explode(F.array(found)).alias("found"))
+        .select("html_file", "group", F.explode(kept).alias("url"))
         .withColumn("domain", text.domain_of(F.col("url")))
         .filter(F.col("domain") != "")
     )
@@ -52,9 +60,18 @@ def merge_hosts(base: DataFrame, *new: DataFrame) -> DataFrame:
     return dedupe.merge_keep_first(base, new)
 
 
-def enrich_hosts(hosts: DataFrame, scan_documents: DataFrame) -> DataFrame:
-    """Host rows with the features of their scan document ``(ip, json)``."""
-    return joins.enrich_hosts(hosts, snapshots.host_scans(scan_documents))
+def enrich_hosts(
+    hosts: DataFrame, scan_documents: DataFrame, newest_by: str | None = None
+) -> DataFrame:
+    """Host rows with the features of their scan document ``(ip, json)``.
+
+    Only documents of addresses that need enrichment are parsed. Of several
+    documents of an address the one with the largest ``newest_by`` counts.
+    """
+    order = F.desc(newest_by) if newest_by else F.col("json")
+    wanted = scan_documents.join(joins.wanted_addresses(hosts), "ip", "left_semi")
+    documents = dedupe.keep_first(wanted, ["ip"], [order]).select("ip", "json")
+    return joins.enrich_hosts(hosts, snapshots.host_scans(documents))
 
 
 def derive_cves(hosts: DataFrame) -> DataFrame:
@@ -64,10 +81,14 @@ def derive_cves(hosts: DataFrame) -> DataFrame:
 
 
 def refresh_cve_table(pairs: DataFrame, cves: DataFrame, detail_documents: DataFrame) -> DataFrame:
-    """The CVE table, then new CVEs of the hosts that have a detail document ``(cve_id, json)``."""
-    wanted = joins.new_cves(pairs, cves)
-    details = snapshots.cve_details(detail_documents).filter(F.col("error").isNull())
-    return joins.append_details(cves, wanted, details)
+    """The CVE table, then new CVEs of the hosts that have a detail document ``(cve_id, json)``.
+
+    Only documents of new CVEs are parsed. A CVE without one stays new and is
+    looked up again on the next run.
+    """
+    wanted = detail_documents.join(joins.new_cves(pairs, cves), "cve_id", "left_semi")
+    found = snapshots.cve_details(wanted).filter(F.col("error").isNull())
+    return dedupe.union_aligned([cves, found])
 
 
 def technique_vectors(

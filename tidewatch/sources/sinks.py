@@ -35,6 +35,8 @@ def append_news(news: DataFrame, path: str) -> None:
     day = dates.date_text(F.col("date"))
     (
         news.withColumns({"date": day, "day": F.nullif(day, F.lit(""))})
+        # Few files per day, and several tasks for a day that holds much of the news.
+        .hint("rebalance", "day")
         .write.mode("append")
         .partitionBy("day")
         .json(path)
