@@ -161,6 +161,37 @@ def group_profile_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profile(spark, sf_dir).hosts.select("host_id", "region_full", "tooltip_info")
 
 
+@query(
+    S.SQL
+    + """
+, members AS (
+  SELECT host_id, CASE WHEN n_nationkey % 4 <> 3 THEN n_nationkey % 4 END AS cluster
+  FROM placed JOIN gazetteer ON placed."group" = gazetteer.region_code
+)
+SELECT CAST(cluster AS BIGINT) AS cluster, technique_id, technique_name, description,
+       CAST(count(*) AS BIGINT) AS "count"
+FROM members JOIN pairs USING (host_id) JOIN cves USING (cve_id) JOIN techniques USING (technique_id)
+WHERE cluster IN (0, 2) GROUP BY ALL
+"""
+)
+def cluster_technique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts joined to given cluster labels, some groups without one; two clusters selected."""
+    key = F.col("n_nationkey") % 4
+    labels = S.gazetteer(spark, sf_dir).filter(key != 3).select(
+        F.col("region_code").alias("group"), key.cast("long").alias("cluster")
+    )
+    members = S.placed_hosts(spark, sf_dir).join(labels, "group", "left")
+    counts = aggregates.key_technique_counts(
+        S.pairs(spark, sf_dir),
+        members.filter(F.col("cluster").isin(0, 2)),
+        S.cves(spark, sf_dir),
+        "cluster",
+    )
+    return aggregates.describe_techniques(
+        counts, aggregates.usable_techniques(S.techniques(spark, sf_dir))
+    )
+
+
 TOP5 = """
 , top5 AS (
   SELECT "group" AS cluster, technique_id, technique_name, description, "count",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
+from tidewatch.catalog import vectors
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions import dates, text
 from tidewatch.operators import aggregates, features
@@ -162,6 +163,45 @@ def source_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("doc_id", F.col("source").alias("lang"), F.md5("content").alias("text_md5"))
 
 
+PARSED = (
+    ARTICLE_SQL
+    + r"""
+SELECT doc_id AS id, source, regexp_replace(head, '^\s+|\s+$', '', 'g') AS title,
+  CASE WHEN doc_id % 3 = 2 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS date,
+  regexp_replace(CASE WHEN doc_id % 4 = 0 THEN '날짜: today' || chr(10) || body ELSE body END,
+      '^\s+|\s+$', '', 'g') AS text
+FROM parts WHERE doc_id % 4 <> 3
+"""
+)
+
+
+@query(
+    vectors.vector_sql(PARSED, vectors.ITEMS)
+    + vectors.UNIT_SQL
+    + vectors.MATCH_SQL
+    + ", "
+    + vectors.summary_sql(PARSED)
+    + f"""
+SELECT title, date, source, md5(text) AS content_md5, md5(COALESCE(summary, '')) AS summary_md5,
+  COALESCE(CAST(item_id AS VARCHAR), 'none') AS match_id, COALESCE(round(score, 6), -1) AS score
+FROM ({PARSED}) p LEFT JOIN best ON best.id = p.id LEFT JOIN chosen ON chosen.id = p.id
+"""
+)
+def built_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole news job: article files to summarized articles with their technique."""
+    techniques = vectors.benchmark_techniques(spark, sf_dir)
+    news = jobs.build_news(_article_files(spark, sf_dir), techniques, dims=vectors.DIMS)
+    return news.select(
+        "title",
+        "date",
+        "source",
+        F.md5("content").alias("content_md5"),
+        F.md5("summary").alias("summary_md5"),
+        F.coalesce("mitre_match.id", F.lit("none")).alias("match_id"),
+        F.coalesce(F.round("mitre_match.score", 6), F.lit(-1.0)).alias("score"),
+    )
+
+
 def _notations(day: Column) -> dict[str, Column]:
     part = F.date_format
     return {

@@ -99,10 +99,16 @@ def nearest_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("score", F.round("score", 6))
 
 
-@query(
-    vector_sql(DOCS, "SELECT item_id AS id, text FROM benchmark")
-    + UNIT_SQL
-    + """
+def benchmark_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").orderBy("item_id").select(
+        F.col("item_id").cast("string").alias("technique_id"), F.col("text").alias("technique_name")
+    )
+
+
+ITEMS = "SELECT item_id AS id, text FROM benchmark"
+
+# Best benchmark item of each text, after ``vector_sql`` and ``UNIT_SQL``.
+MATCH_SQL = """
 , item_words AS (
   SELECT id, word, count(*) * any_value(idf) AS x
   FROM (SELECT id, unnest(words) AS word FROM fit_tokens) JOIN vocabulary USING (word) GROUP BY id, word
@@ -112,6 +118,14 @@ scores AS (
 ), best AS (
   SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, item_id) = 1
 )
+"""
+
+
+@query(
+    vector_sql(DOCS, ITEMS)
+    + UNIT_SQL
+    + MATCH_SQL
+    + """
 SELECT d.doc_id, COALESCE(CAST(item_id AS VARCHAR), 'none') AS match_id, COALESCE(round(score, 6), -1) AS score
 FROM documents d LEFT JOIN best ON best.id = d.doc_id
 """
@@ -119,9 +133,7 @@ FROM documents d LEFT JOIN best ON best.id = d.doc_id
 def matched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the benchmark items as techniques."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").orderBy("item_id").select(
-        F.col("item_id").cast("string").alias("technique_id"), F.col("text").alias("technique_name")
-    )
+    items = benchmark_techniques(spark, sf_dir)
     matched = jobs.match_techniques(docs, items, "doc_id", "text", dims=DIMS)
     return matched.select(
         "doc_id",
@@ -130,30 +142,36 @@ def matched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    r"""
-WITH s AS (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(
+def summary_sql(texts: str) -> str:
+    """CTEs up to ``chosen`` (id, summary) over ``texts`` (id, text)."""
+    return rf"""
+s AS (
+  SELECT id, list_filter(list_transform(string_split_regex(
       regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS ss
-  FROM documents
+  FROM ({texts})
 ), sentences AS (
-  SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM s
+  SELECT id, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM s
 ), sized AS (
-  SELECT doc_id, pos, list_filter(string_split_regex(lower(sentence), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws
+  SELECT id, pos, list_filter(string_split_regex(lower(sentence), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws
   FROM sentences
-), words AS (SELECT doc_id, pos, len(ws) AS size, unnest(ws) AS word FROM sized WHERE len(ws) > 0),
+), words AS (SELECT id, pos, len(ws) AS size, unnest(ws) AS word FROM sized WHERE len(ws) > 0),
 weights AS (
-  SELECT *, CASE WHEN length(word) > 3 THEN count(*) OVER (PARTITION BY doc_id, word) ELSE 0 END AS weight FROM words
+  SELECT *, CASE WHEN length(word) > 3 THEN count(*) OVER (PARTITION BY id, word) ELSE 0 END AS weight FROM words
 ), scored AS (
-  SELECT doc_id, pos, max(size) AS size, sum(weight) / max(size) AS score FROM weights GROUP BY doc_id, pos
+  SELECT id, pos, max(size) AS size, sum(weight) / max(size) AS score FROM weights GROUP BY id, pos
 ), taken AS (
-  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS total FROM scored
+  SELECT *, sum(size) OVER (PARTITION BY id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING) AS total FROM scored
 ), chosen AS (
-  SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary
-  FROM taken JOIN sentences USING (doc_id, pos) WHERE total <= 130 OR total - size < 30 GROUP BY doc_id
+  SELECT id, string_agg(sentence, ' ' ORDER BY pos) AS summary
+  FROM taken JOIN sentences USING (id, pos) WHERE total <= 130 OR total - size < 30 GROUP BY id
 )
-SELECT doc_id, md5(COALESCE(summary, '')) AS summary_md5 FROM documents LEFT JOIN chosen USING (doc_id)
 """
+
+
+@query(
+    "WITH "
+    + summary_sql(DOCS)
+    + "SELECT doc_id, md5(COALESCE(summary, '')) AS summary_md5 FROM documents LEFT JOIN chosen ON id = doc_id"
 )
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
