@@ -205,9 +205,9 @@ SELECT page_id, md5(CASE WHEN body = '' THEN '(본문 없음)' ELSE body END) AS
 """
 )
 def article_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.md5(cards.body_text(F.col("html"), MENU_RULE)).alias("body_md5")
-    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("menu").alias("site"), "html")
+    bodies = cards.article_bodies(pages, [MENU_RULE])
+    return bodies.select("page_id", F.md5("body").alias("body_md5"))
 
 
 @query(

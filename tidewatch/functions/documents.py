@@ -35,14 +35,17 @@ def parsed(json: Column) -> Column:
     return F.from_json(json, _MAP)
 
 
-def flatten(value: Column) -> Column:
-    """A JSON list to its items joined by ``", "``; objects and plain values stay."""
-    items = F.array_join(F.from_json(value, "array<string>"), ", ")
-    return F.when(value.startswith("["), F.coalesce(items, value)).otherwise(value)
+def flatten(name: str) -> Column:
+    """A JSON list column to its items joined by ``", "``; objects and plain values stay."""
+    return F.expr(
+        f"CASE WHEN startswith({name}, '[') "
+        f"THEN coalesce(array_join(from_json({name}, 'array<string>'), ', '), {name}) ELSE {name} END"
+    )
 
 
-def unless_empty(value: Column) -> Column:
-    return F.when(~value.isin("", "{}", "[]"), value)
+def key_names(name: str) -> Column:
+    """The keys of a JSON object column joined by ``", "``."""
+    return F.expr(f"array_join(json_object_keys({name}), ', ')")
 
 
 # Top-level features, and the nested ones with their place (fixed values).
@@ -91,22 +94,17 @@ def raw_features() -> dict[str, Column]:
 
 def shaped_features(names: list[str]) -> dict[str, Column]:
     """Third step: lists flattened, object keys named, and place fields filled up."""
-    shaped = {name: flatten(F.col(name)) for name in (*PLAIN, *NESTED)}
-    shaped["components"] = F.array_join(F.json_object_keys("components"), ", ")
+    shaped = {name: flatten(name) for name in (*PLAIN, *NESTED, "vulns")}
+    shaped["components"] = key_names("components")
     # An object of vulnerabilities counts by its keys, so that the CVE names survive.
-    shaped["vulns"] = F.when(
-        F.col("vulns").startswith("{"), F.array_join(F.json_object_keys("vulns"), ", ")
-    ).otherwise(flatten(F.col("vulns")))
+    is_object = F.col("vulns").startswith("{")
+    shaped["vulns"] = F.when(is_object, key_names("vulns")).otherwise(shaped["vulns"])
     for name in LOCATED:
-        shaped[name] = F.coalesce(F.nullif(F.col(name), F.lit("")), F.col(f"_{name}"))
+        shaped[name] = F.expr(f"coalesce(nullif({name}, ''), _{name})")
     return {name: shaped[name] for name in names}
 
 
 def final_features(names: list[str]) -> dict[str, Column]:
     """Fourth step: empty values to null; a nested zero or false counts as empty too."""
-    return {
-        name: F.when(~F.col(name).isin("0", "false"), unless_empty(F.col(name)))
-        if name in NESTED
-        else unless_empty(F.col(name))
-        for name in names
-    }
+    empty = {name: "'', '{}', '[]'" + (", '0', 'false'" if name in NESTED else "") for name in names}
+    return {name: F.expr(f"CASE WHEN {name} NOT IN ({empty[name]}) THEN {name} END") for name in names}

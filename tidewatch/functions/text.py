@@ -77,12 +77,11 @@ def unescape(text: Column) -> Column:
         rest = F.substr(part, F.length(name) + F.lit(2))
         return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
 
-    parts = F.split(text, "&")
-    decoded = F.concat(
-        parts[0],
-        F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolve), ""),
+    # One reference to ``text``, which may be a costly expression.
+    pieces = F.transform(
+        F.split(text, "&"), lambda part, i: F.when(i == 0, part).otherwise(resolve(part))
     )
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    return F.array_join(pieces, "")
 
 
 def strip_tags(html: Column) -> Column:

@@ -225,19 +225,24 @@ def body_fragment(html: Column, rule: SiteRule) -> Column:
 
 
 def body_text(html: Column, rule: SiteRule) -> Column:
-    """Body text; paragraphs are trimmed, blanks dropped, joined by an empty line.
+    """Body text; paragraphs are trimmed, blanks dropped, joined by an empty line."""
+    fragment = body_fragment(html, rule)
+    if not rule.paragraph:
+        return text.block_text(fragment)
+    paragraphs = F.transform(
+        F.regexp_extract_all(fragment, F.lit(rule.paragraph), F.lit(1)), text.inner_text
+    )
+    return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
-    A body without text gives the site's placeholder, or null where the site drops the article.
+
+def article_bodies(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
+    """``body`` in the place of ``html``: an empty one is the site's placeholder, or null where
+    the site drops such articles.
     """
-    fragment = body_fragment(html, rule)
-    if rule.paragraph:
-        paragraphs = F.transform(
-            F.regexp_extract_all(fragment, F.lit(rule.paragraph), F.lit(1)), text.inner_text
-        )
-        body = F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
-    else:
-        body = text.block_text(fragment)
-    return F.coalesce(F.nullif(body, F.lit("")), F.lit(rule.no_body))
+    body = per_site(rules, lambda r: body_text(F.col("html"), r))
+    empty = per_site(rules, lambda r: F.lit(r.no_body))
+    found = pages.withColumn("_body", body).drop("html")
+    return found.withColumn("body", F.coalesce(F.nullif("_body", F.lit("")), empty)).drop("_body")
 
 
 def image_links(html: Column) -> Column:
@@ -264,7 +269,6 @@ def read_articles(
     patterns apply only to that site's cards through the address's own row.
     """
     pages = spread(article_pages.select("site", "url", "html"))
-    body = per_site(rules, lambda r: body_text(F.col("html"), r))
     images = per_site(
         rules,
         lambda r: image_links(body_fragment(F.col("html"), r))
@@ -274,12 +278,14 @@ def read_articles(
     shown = per_site(
         rules, lambda r: dates.display_date(text.inner_text(_found(F.col("html"), r.article_date)))
     )
-    parsed = pages.select(
-        "site",
-        "url",
-        body.alias("body"),
-        shown.alias("_shown"),
-        F.coalesce(images, F.array().cast("array<string>")).alias("images"),
+    parsed = article_bodies(
+        pages.withColumns(
+            {
+                "_shown": shown,
+                "images": F.coalesce(images, F.array().cast("array<string>")),
+            }
+        ),
+        rules,
     )
     return (
         cards.join(parsed, ["site", "url"])

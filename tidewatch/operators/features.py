@@ -105,8 +105,10 @@ def embed_long_texts(
 ) -> DataFrame:
     """``id, vector``: the mean of the chunk vectors of the whole text; blank text gives no row."""
     usable = spread(texts.select(id_col, text_col)).filter(~T.is_blank(F.col(text_col)))
-    parts = usable.select(
-        id_col, F.explode(chunks(T.words(F.col(text_col)), size, stride)).alias("_words")
+    # Words are a column of their own, or every chunk would split the text again.
+    split = usable.select(id_col, T.words(F.col(text_col)).alias("_all"))
+    parts = split.select(
+        id_col, F.explode(chunks(F.col("_all"), size, stride)).alias("_words")
     )
     vectors = vectorizer.vector(parts, "_words", "_vector")
     return (
@@ -135,15 +137,21 @@ def summarize(
 
     A sentence scores the mean count, in its own text, of its words of four
     letters or more. The whole text takes part. The texts are shuffled once by
-    id; every later step keeps that partitioning. Blank text gives ``""``.
+    id, which is not null; every later step keeps that partitioning. Blank text
+    gives ``""``.
     """
-    keyed = texts.select(id_col, text_col).repartition(F.col(id_col))
+    keyed = (
+        texts.select(id_col, text_col)
+        .filter(F.col(id_col).isNotNull())
+        .repartition(F.col(id_col))
+    )
     split = keyed.select(
         id_col, F.posexplode(sentences(F.col(text_col))).alias("_at", "_sentence")
     )
-    counted = split.select(id_col, "_at", T.words(F.col("_sentence")).alias("_words")).select(
-        id_col, "_at", F.size("_words").alias("_size"), F.explode_outer("_words").alias("_word")
+    sized = split.select(id_col, "_at", T.words(F.col("_sentence")).alias("_words")).withColumn(
+        "_size", F.size("_words")
     )
+    counted = sized.select(id_col, "_at", "_size", F.explode_outer("_words").alias("_word"))
     same_word = Window.partitionBy(id_col, "_word")
     weight = F.when(F.length("_word") > 3, F.count("*").over(same_word)).otherwise(0)
     scored = (
@@ -160,15 +168,13 @@ def summarize(
             (F.col("_taken") <= max_words) | (F.col("_taken") - F.col("_size") < min_words)
         )
         .groupBy(id_col)
-        .agg(F.array_sort(F.collect_list("_at")).alias("_chosen"))
+        .agg(F.collect_list("_at").alias("_chosen"))
     )
-    summary = F.array_join(
-        F.transform("_chosen", lambda i: F.element_at(F.col("_sentences"), i + 1)), " "
+    in_order = F.filter(
+        sentences(F.col(text_col)), lambda _, i: F.array_contains(F.col("_chosen"), i)
     )
-    return (
-        keyed.join(chosen, id_col, "left")
-        .withColumn("_sentences", sentences(F.col(text_col)))
-        .select(id_col, F.coalesce(summary, F.lit("")).alias("summary"))
+    return keyed.join(chosen, id_col, "left").select(
+        id_col, F.coalesce(F.array_join(in_order, " "), F.lit("")).alias("summary")
     )
 
 
