@@ -43,7 +43,8 @@ def against_reference(
 ) -> tuple[DataFrame, bool]:
     """``reduce_batch(batch, matrix, reference_rows)`` for each batch and reference block.
 
-    Both tables have a ``vector`` column of ``dims`` numbers. The flag tells
+    Both tables have a ``vector`` column of ``dims`` numbers; a row of ``rows``
+    without one gives nothing. The flag tells
     whether each input row met the whole reference at once; if not, there is one
     output row per block and the caller combines them by ``id_col``.
     """
@@ -55,6 +56,9 @@ def against_reference(
 
 
 def _pieces(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    # Rows without a vector are left out here: a filter before this step would be
+    # pushed below the vector's own projection and compute it twice.
+    batch = batch[batch["vector"].notna()]
     step = max(1, CELLS_AT_ONCE // max(1, width))
     for start in range(0, len(batch), step):
         yield batch.iloc[start : start + step]
@@ -100,9 +104,8 @@ def _blocked(
         if not len(batch) or not len(block):
             return pd.DataFrame(columns=names)
         vectors, info = stack(block["vector"]), block.drop(columns="vector")
-        return pd.concat(
-            [reduce_batch(piece, vectors, info) for piece in _pieces(batch, len(vectors))]
-        )
+        parts = [reduce_batch(piece, vectors, info) for piece in _pieces(batch, len(vectors))]
+        return pd.concat(parts) if parts else pd.DataFrame(columns=names)
 
     return (
         left.groupBy("_block", "_slice")

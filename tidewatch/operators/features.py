@@ -72,11 +72,14 @@ class TextVectorizer:
 
     def embed(self, df: DataFrame, text_col: str, output: str = "vector") -> DataFrame:
         """Add ``array<double>``; null for blank text and for text without a known word."""
-        split = spread(df).withColumn("_words", T.words(F.col(text_col)))
-        found = self.vector(split, "_words", "_vector")
-        dense = vector_to_array("_vector")
-        known = ~T.is_blank(F.col(text_col)) & F.exists(dense, lambda x: x != 0)
-        return found.withColumn(output, F.when(known, dense)).drop("_words", "_vector")
+        full_text = F.coalesce(F.col(text_col), F.lit(""))
+        split = spread(df).withColumn("_words", T.words(full_text))
+        found = self.vector(split, "_words", "_vector").withColumn(
+            "_dense", vector_to_array("_vector")
+        )
+        known = F.exists("_dense", lambda x: x != 0)
+        dense = F.when(known, F.col("_dense"))
+        return found.withColumn(output, dense).drop("_words", "_vector", "_dense")
 
     def words_of(self, df: DataFrame, vector: Column, *keep: str) -> DataFrame:
         """Long form of a dense vector column: one row per non-zero word weight."""

@@ -48,7 +48,7 @@ def nearest(
         [F.col("ordinal")],
     )
     best, whole = blocks.against_reference(
-        texts.filter(F.col("vector").isNotNull()).select("text_id", "vector"),
+        texts.select("text_id", "vector"),
         usable,
         _best,
         f"text_id {id_type}, ordinal long, score double",
