@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ctph, decontam, language, packing, pitman_yor, simhash, urls
+from tidewatch.llm import ctph, decontam, language, lines, packing, pii, pitman_yor, secrets, simhash, urls
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,45 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_hit > 0).alias("contaminated"),
         F.coalesce(F.size("near"), F.lit(0)).alias("n_near_items"),
     )
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.findings(table(spark, sf_dir, "documents"))
+    count = {r: F.size(F.filter("findings", lambda f: f["rule"] == r)).cast("long") for r in secrets.BASE}
+    base = F.filter("findings", lambda f: f["rule"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{r}") for r, n in count.items()],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("findings")).alias("spans"),
+    )
+
+
+@query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeated_runs(table(spark, sf_dir, "documents"))
+    removed = F.transform("runs", lambda r: F.concat_ws("-", r["first"], r["last"]))
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + w).alias("n_words"),
+        F.size(lines.covered(F.col("runs"))).cast("long").alias("n_removed"),
+        F.aggregate(
+            lines.covered(F.col("runs")), F.lit(0).cast("long"), lambda n, i: n + F.get("words", i)
+        ).alias("n_removed_words"),
+        F.array_join(removed, ",").alias("removed"),
+    )
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.redactions(table(spark, sf_dir, "documents"))
+    count = {k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long") for k in pii.KINDS}
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{k}") for k, n in count.items()],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(pii.in_order(F.col("base"), F.col("added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )

@@ -40,47 +40,74 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it in inner functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_totals(numbers: Column) -> Column:
     """Sum of all numbers before each one, for an array of integers, inside the row.
 
     Totals of blocks of 64 are built first, so a row with n numbers costs about
     64 n steps and not n squared.
     """
-    count = F.size(numbers)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int")),
-        lambda b: _total(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))),
-    )
-    before = F.aggregate(
-        blocks,
-        F.array(F.lit(0).cast("long")),
-        lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x),
-    )
-    # The one-element array binds the block totals, so they are built once a row.
-    return F.when(count <= 0, F.array().cast("array<bigint>")).otherwise(
-        F.flatten(
-            F.transform(
-                F.array(before),
-                lambda known: F.transform(
-                    F.sequence(F.lit(0), count - 1),
-                    lambda i: F.get(known, F.floor(i / BLOCK).cast("int"))
-                    + _total(
-                        F.slice(
-                            numbers,
-                            (F.floor(i / BLOCK) * BLOCK).cast("int") + 1,
-                            (i % BLOCK).cast("int"),
-                        )
-                    ),
-                ),
-            )
+
+    def totals(numbers: Column) -> Column:
+        last = F.floor((F.size(numbers) - 1) / BLOCK).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda b: _total(F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK))),
+        )
+        before = F.aggregate(
+            blocks,
+            F.array(F.lit(0).cast("long")),
+            lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x),
         )
+        return bound(before, lambda known: F.transform(numbers, lambda _, i: _before(numbers, known, i)))
+
+    return bound(
+        numbers,
+        lambda x: F.when(F.size(x) > 0, totals(x)).otherwise(F.array().cast("array<bigint>")),
     )
 
 
+def _before(numbers: Column, known: Column, i: Column) -> Column:
+    block = F.floor(i / BLOCK).cast("int")
+    return F.get(known, block) + _total(F.slice(numbers, block * BLOCK + 1, i - block * BLOCK))
+
+
 def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
+def pattern_matches(text: Column, pattern: str) -> Column:
+    """Matches of a Java pattern: ``array<struct<start, end, match>>``, in code points, end exclusive.
+
+    A text is cut at the matches, so lengths of what lies between give the places.
+    The pattern must not match an empty string.
+    """
+    pieces = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda gap, match: F.struct(
+            F.length(gap).alias("gap"), F.length(match).alias("size"), match.alias("match")
+        ),
+    )
+    found = F.filter(pieces, lambda x: x["match"].isNotNull())
+    return bound(
+        found,
+        lambda rows: F.zip_with(
+            rows,
+            running_totals(F.transform(rows, lambda x: x["gap"] + x["size"])),
+            lambda x, before: F.struct(
+                (before + x["gap"]).alias("start"),
+                (before + x["gap"] + x["size"]).alias("end"),
+                x["match"].alias("match"),
+            ),
+        ),
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable over ``links(a, b)``, for every linked node.
 
