@@ -46,9 +46,12 @@ def grams_of(points: np.ndarray, max_gram: int = MAX_GRAM) -> np.ndarray:
 
     Runs of non-letters count as one edge, and an n-gram that has an edge inside is left out.
     """
-    points = points[(points != 0) | (np.roll(points, 1) != 0)]
+    before = np.concatenate([[1], points[:-1]])
+    points = points[(points != 0) | (before != 0)]
     letter = points != 0
     found = [points[letter]]
+    # As a sign an edge is 1, or an n-gram that begins with one would look like a shorter one.
+    points = np.where(letter, points, 1)
     code = points
     for n in range(2, max_gram + 1):
         code = (code[:-1] << _SHIFT) | points[n - 1 :]
