@@ -8,7 +8,12 @@ from tidewatch.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", app="tidewatch-tests", spark__sql__shuffle__partitions="4")
+def spark(tmp_path_factory):
+    session = local_session(
+        "4",
+        app="tidewatch-tests",
+        spark__sql__shuffle__partitions="4",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+    )
     yield session
     session.stop()

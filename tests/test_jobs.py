@@ -55,7 +55,7 @@ def test_indicator_flow(spark):
     techniques = spark.createDataFrame(
         [("T1", "Phishing", "phishing by mail"), ("T2", "Discovery", "scan networks")], schemas.TECHNIQUE
     )
-    matched = {r.cve_id: r.mitre_match for r in jobs.match_unmatched(table, techniques, 16).collect()}
+    matched = {r.cve_id: r.mitre_match for r in jobs.match_unmatched(table, techniques).collect()}
     assert {c: (m.id, m.name) for c, m in matched.items()} == {"CVE-2024-1": ("T1", "Phishing"), "CVE-2024-2": ("T2", "Discovery")}
 
     places = spark.createDataFrame([("11", "KR", 37.5, 127.0)], schemas.GAZETTEER)
@@ -85,7 +85,7 @@ def test_news_flow(spark, tmp_path):
         for batch in batches:
             yield batch.assign(content=batch["content"].str.replace("피싱 메일 공격", "phishing mail attack"))
 
-    news = jobs.build_news(texts, techniques, "boannews", translate, dims=16)
+    news = jobs.build_news(texts, techniques, "boannews", translate)
     got = {r.title: r for r in news.collect()}
     assert set(got) == {"가", "b", "c"}
     assert got["가"].content == "phishing mail attack." and got["가"].mitre_match.id == "T1"

@@ -46,6 +46,11 @@ def test_scans_read_only_what_they_need(spark, name, columns):
     assert f"ReadSchema: struct<{columns}>" in plan(spark, name)
 
 
+@pytest.mark.parametrize("name", ["matched_documents", "built_news", "extractive_summary"])
+def test_texts_stay_in_their_row(spark, name):
+    assert "Exchange" not in plan(spark, name).split("Scan parquet")[0].replace("BroadcastExchange", "")
+
+
 def test_counts_are_combined_before_the_cve_join(spark):
     text = plan(spark, "group_technique_counts")
     joins = text.index("p_partkey")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import cluster, features, match
 from tidewatch.plans import jobs
-from tidewatch.session import cut_lineage
+from tidewatch.session import written
 
 RNG = np.random.default_rng(7)
 
@@ -46,13 +46,41 @@ def test_blank_texts_have_no_match(spark):
         [("T1", "Phishing Mail", "d"), ("T2", "Scan Network", "d"), ("T3", None, "d")],
         "technique_id string, technique_name string, description string",
     )
-    got = {r.id: r.mitre_match for r in jobs.match_techniques(texts, techniques, "id", "body", dims=16).collect()}
+    got = {r.id: r.mitre_match for r in jobs.match_techniques(texts, techniques, "body").collect()}
     assert (got[1].id, got[1].name) == ("T1", "Phishing Mail")
     assert got[2] is None and got[3] is None and got[4] is None
-    by_text = jobs.match_techniques(texts, techniques.withColumn("description", F.concat(F.lit("scan "), "technique_id")), "id", "body", "description", 16)
+    by_text = jobs.match_techniques(texts, techniques.withColumn("description", F.concat(F.lit("scan "), "technique_id")), "body", "description")
     assert len(by_text.collect()) == 4
 
 
+@pytest.mark.parametrize("broadcast_postings", [10_000, 0])
+def test_every_technique_can_be_found(spark, broadcast_postings):
+    """700 techniques that differ in one word; ties, repeated and null ids keep their rows."""
+    techniques = spark.createDataFrame(
+        [(f"T{i}", f"name {i}", f"shared text word{i}") for i in range(700)] + [("T700", "again", "shared text word3")],
+        "technique_id string, technique_name string, description string",
+    ).coalesce(1)
+    rows = [(i, f"some text has word{i} in it") for i in range(700)]
+    rows += [(5, "word5 word5 word6"), (None, "WORD9"), (None, "nothing"), (5, "word5 word5 word6"), (1, None)]
+    texts = spark.createDataFrame(rows, "id int, body string")
+    found = jobs.match_techniques(texts, techniques, "body", "description", broadcast_postings).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        if row.body is None or row.body == "nothing":
+            assert row.mitre_match is None
+        elif row.body.startswith("some"):
+            assert row.mitre_match.id == f"T{row.id}"
+    assert [r.mitre_match.id for r in found if r.body and r.body.startswith("word5")] == ["T5", "T5"]
+    assert [r.mitre_match.id for r in found if r.body == "WORD9"] == ["T9"]
+
+
+def test_flat_match(spark):
+    df = spark.sql("SELECT 1 a, named_struct('id','T1','name','n','score',0.5D) mitre_match UNION ALL SELECT 2, null")
+    got = match.flatten_match(df)
+    assert got.columns == ["a", "technique_id", "similarity"]
+    assert sorted(map(tuple, got.collect())) == [(1, "T1", 0.5), (2, None, None)]
+
+
 def test_match_unmatched_keeps_old_matches(spark):
     cves = spark.sql(
         "SELECT 'C1' cve_id, 'scan network' summary, named_struct('id','T9','name','old','score',1D) mitre_match "
@@ -62,7 +90,7 @@ def test_match_unmatched_keeps_old_matches(spark):
         [("T1", "n1", "phishing mail"), ("T2", "n2", "scan network"), ("T3", "n3", None)],
         "technique_id string, technique_name string, description string",
     )
-    got = {r.cve_id: r.mitre_match for r in jobs.match_unmatched(cves, techniques, 16).collect()}
+    got = {r.cve_id: r.mitre_match for r in jobs.match_unmatched(cves, techniques).collect()}
     assert got["C1"].id == "T9" and got["C2"].id == "T2" and got["C2"].name == "n2" and got["C3"] is None
 
 
@@ -73,44 +101,47 @@ def words(text):
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def brute_weights(dims):
+def brute_weights():
     docs = [words(t) for t in TEXTS if t.strip()]
     df = Counter(w for d in docs for w in set(d))
-    vocabulary = sorted(df, key=lambda w: (-df[w], w))[:dims]
-    return {w: math.log((len(docs) + 1) / (df[w] + 1)) for w in vocabulary}
+    return {w: math.log((len(docs) + 1) / (n + 1)) for w, n in df.items()}
 
 
 def brute_vector(tokens, weights):
-    counts = Counter(t for t in tokens if t in weights)
-    vector = np.array([counts[w] * weights[w] for w in weights])
-    norm = np.linalg.norm(vector)
-    return vector / norm if norm else vector
+    counts = {w: n * weights[w] for w, n in Counter(tokens).items() if weights.get(w)}
+    norm = math.sqrt(sum(x * x for x in counts.values()))
+    return {w: x / norm for w, x in counts.items()}
+
+
+def by_id(rows):
+    found = {}
+    for row in rows.collect():
+        found.setdefault(row.id, {})[row.word] = row.weight
+    return found
 
 
-def test_vectorizer(spark):
+def test_vectors_hold_every_word(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
-    fitted = features.TextVectorizer.fit(df, "t", 4)
-    weights = brute_weights(4)
-    assert fitted.vocabulary == tuple(weights)
-    assert fitted.weights == pytest.approx(tuple(weights.values()))
-    got = {r.id: r.vector for r in fitted.embed(df, "t").collect()}
-    assert got[2] is None
-    for i in (0, 1, 3, 4):
-        assert np.allclose(got[i], brute_vector(words(TEXTS[i]), weights))
+    weights = features.word_weights(df, "t")
+    assert {r.word: r.idf for r in weights.collect()} == pytest.approx(brute_weights())
+    got = by_id(features.embed(df, weights, "id", "t"))
+    assert set(got) == {0, 1, 3, 4}
+    for i, vector in got.items():
+        assert vector == pytest.approx(brute_vector(words(TEXTS[i]), brute_weights()))
 
 
 def test_long_texts_are_pooled_over_all_chunks(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
-    fitted = features.TextVectorizer.fit(df, "t", 5)
-    weights = dict(zip(fitted.vocabulary, fitted.weights, strict=True))
+    weights = features.word_weights(df, "t")
     long = " ".join(RNG.choice(["alpha", "beta", "gamma", "delta", "epsilon", "other"], 1300))
     texts = spark.createDataFrame([(0, long), (1, "beta"), (2, " ")], "id int, t string")
-    got = {r.id: r.vector for r in features.embed_long_texts(texts, fitted, "id", "t").collect()}
+    got = by_id(features.embed_long_texts(texts, weights, "id", "t"))
     assert set(got) == {0, 1}
     for i, text in ((0, long), (1, "beta")):
         tokens = words(text)
-        parts = [brute_vector(tokens[s : s + 510], weights) for s in range(0, len(tokens), 256)]
-        assert np.allclose(got[i], np.mean(parts, axis=0))
+        parts = [brute_vector(tokens[s : s + 510], brute_weights()) for s in range(0, len(tokens), 256)]
+        mean = {w: sum(p.get(w, 0) for p in parts) / len(parts) for p in parts for w in p}
+        assert got[i] == pytest.approx(mean)
 
 
 def test_chunks_start_at_every_stride(spark):
@@ -121,8 +152,10 @@ def test_chunks_start_at_every_stride(spark):
 
 def test_summary(spark):
     text = "Ransom groups attack hospitals. Nice day! Ransom groups attack banks and hospitals.\nUnrelated closing words here? The end."
-    df = spark.createDataFrame([(1, text), (2, "  "), (3, None), (4, "One only.")], "id int, t string")
-    got = {r.id: r.summary for r in features.summarize(df, "id", "t", min_words=3, max_words=10).collect()}
+    df = spark.createDataFrame([(1, text), (2, "  "), (3, None), (4, "One only."), (None, "No id."), (4, "One only.")], "id int, t string")
+    rows = df.select("id", features.summary(F.col("t"), min_words=3, max_words=10).alias("summary")).collect()
+    assert sorted(r.summary for r in rows if r.id in (None, 4)) == ["No id.", "One only.", "One only."]
+    got = {r.id: r.summary for r in rows}
     assert got[1] == "Ransom groups attack hospitals. Ransom groups attack banks and hospitals."
     assert got[2] == got[3] == "" and got[4] == "One only."
 
@@ -200,7 +233,7 @@ def test_silhouette_equals_brute_force(spark, broadcast_elements):
 
 def test_sweep_finds_the_planted_clusters(spark):
     wide, columns = matrix_frame(spark, DATA)
-    table = cut_lineage(cluster.scaled_vectors(wide, "group", columns))
+    table = written(cluster.scaled_vectors(wide, "group", columns))
     sweep = cluster.sweep_k(table, "group", len(DATA), len(columns))
     assert [k for k, _, _ in sweep.scores] == list(range(2, 11))
     assert sweep.best_k == 3
@@ -217,7 +250,7 @@ def test_sweep_finds_the_planted_clusters(spark):
 
 def test_tiny_table_falls_back(spark):
     wide, columns = matrix_frame(spark, DATA[[0, 7]])
-    table = cut_lineage(cluster.scaled_vectors(wide, "group", columns))
+    table = written(cluster.scaled_vectors(wide, "group", columns))
     sweep = cluster.sweep_k(table, "group", 2, len(columns))
     assert sweep.scores == () and sweep.best_k == 2
     assert cluster.assign(table, "group", sweep.model).count() == 2

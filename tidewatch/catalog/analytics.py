@@ -10,7 +10,7 @@ from tidewatch.catalog.registry import query
 from tidewatch.functions import lists
 from tidewatch.operators import aggregates, cluster
 from tidewatch.plans import jobs
-from tidewatch.session import cut_lineage
+from tidewatch.session import written
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ LEFT JOIN counts c ON c."group" = g.cluster AND c.technique_id = t.technique_id
 )
 def radar_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir).withColumnRenamed("group", "cluster")
-    return aggregates.radar_counts(cut_lineage(counts))
+    return aggregates.radar_counts(written(counts))
 
 
 @query(S.SQL + "SELECT DISTINCT technique_id, technique_name, description FROM techniques")
@@ -302,7 +302,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     matrix, columns = jobs.technique_matrix(
         S.pairs(spark, sf_dir), S.placed_hosts(spark, sf_dir), S.cves(spark, sf_dir)
     )
-    return cut_lineage(cluster.scaled_vectors(matrix, "group", columns)), len(columns)
+    return written(cluster.scaled_vectors(matrix, "group", columns)), len(columns)
 
 
 @query(

@@ -13,7 +13,7 @@ from tidewatch.catalog.registry import query, table
 from tidewatch.functions import dates, text
 from tidewatch.operators import aggregates, features
 from tidewatch.plans import jobs
-from tidewatch.session import shared_dir
+from tidewatch.session import delete_at_exit, shared_dir
 from tidewatch.sources import files, sinks
 
 
@@ -190,7 +190,7 @@ FROM ({PARSED}) p LEFT JOIN best ON best.id = p.id LEFT JOIN chosen ON chosen.id
 def built_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole news job: article files to summarized articles with their technique."""
     techniques = vectors.benchmark_techniques(spark, sf_dir)
-    news = jobs.build_news(_article_files(spark, sf_dir), techniques, dims=vectors.DIMS)
+    news = jobs.build_news(_article_files(spark, sf_dir), techniques)
     return news.select(
         "title",
         "date",
@@ -263,7 +263,9 @@ def title_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    return folder
 
 
 @query(

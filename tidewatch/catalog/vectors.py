@@ -9,10 +9,8 @@ from tidewatch.catalog.registry import query, table
 from tidewatch.operators import features, match
 from tidewatch.plans import jobs
 
-DIMS = 256
 
-
-def vector_sql(texts: str, fit: str | None = None, dims: int = DIMS) -> str:
+def vector_sql(texts: str, fit: str | None = None) -> str:
     """CTEs ``tokens`` (id, raw, words) and ``vocabulary`` (word, idf) fitted on ``fit``."""
     split = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
     return f"""
@@ -21,7 +19,7 @@ fit_tokens AS (SELECT id, text AS raw, {split} AS words FROM ({fit or texts})),
 vocabulary AS (
   SELECT word, ln(((SELECT count(*) FROM fit_tokens WHERE trim(raw) <> '') + 1) / (count(*) + 1)) AS idf
   FROM (SELECT unnest(list_distinct(words)) AS word FROM fit_tokens)
-  GROUP BY word ORDER BY count(*) DESC, word LIMIT {dims}
+  GROUP BY word
 )
 """
 
@@ -43,11 +41,8 @@ DOCS = "SELECT doc_id AS id, text FROM documents"
 )
 def tfidf_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectorizer = features.TextVectorizer.fit(docs, "text", DIMS)
-    vectors = vectorizer.embed(docs, "text")
-    return vectorizer.words_of(vectors, F.col("vector"), "doc_id").withColumn(
-        "weight", F.round("weight", 6)
-    )
+    weights = features.word_weights(docs, "text")
+    return features.embed(docs, weights, "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -69,11 +64,7 @@ FROM unit JOIN n USING (id) GROUP BY id, word
 )
 def chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectorizer = features.TextVectorizer.fit(docs, "text", DIMS)
-    pooled = features.embed_long_texts(docs, vectorizer, "doc_id", "text")
-    return vectorizer.words_of(pooled, F.col("vector"), "doc_id").withColumn(
-        "weight", F.round("weight", 6)
-    )
+    return jobs.embed_long_texts(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -134,7 +125,7 @@ def matched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the benchmark items as techniques."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = benchmark_techniques(spark, sf_dir)
-    matched = jobs.match_techniques(docs, items, "doc_id", "text", dims=DIMS)
+    matched = jobs.match_techniques(docs, items, "text")
     return matched.select(
         "doc_id",
         F.coalesce("mitre_match.id", F.lit("none")).alias("match_id"),
@@ -175,5 +166,4 @@ weights AS (
 )
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    summaries = features.summarize(docs, "doc_id", "text")
-    return summaries.select("doc_id", F.md5("summary").alias("summary_md5"))
+    return docs.select("doc_id", F.md5(features.summary(F.col("text"))).alias("summary_md5"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import written
 
 # A reference table up to this many vector elements is sent whole to the executors
 # (8 bytes each); a larger one is compared in blocks that are shuffled, not broadcast.
@@ -89,7 +89,7 @@ def _blocked(
     rows_per_block: int,
 ) -> DataFrame:
     # Both sides are counted and then read again.
-    rows, reference = cut_lineage(rows), cut_lineage(reference)
+    rows, reference = written(rows), written(reference)
     blocks = ceil(reference.count() / rows_per_block)
     slices = ceil(rows.count() / rows_per_block)
     left = rows.withColumn("_slice", F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), slices)).withColumn(

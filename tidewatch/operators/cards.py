@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, text
 from tidewatch.operators import crawl, filters
-from tidewatch.session import cut_lineage, spread
+from tidewatch.session import written
 
 NOTHING = r"(?!)"
 
@@ -196,7 +196,7 @@ def extract_cards(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> D
     """
     # The text before the first start tag is no card; positions count from it.
     fragments = per_site(rules, lambda r: F.split("html", r.start))
-    cards = spread(pages).select(
+    cards = pages.select(
         *[c for c in pages.columns if c != "html"],
         F.posexplode(fragments).alias("_at", "_card"),
     ).filter(F.col("_at") > 0)
@@ -268,7 +268,7 @@ def read_articles(
     out of the page before the join, so its markup is not shuffled; every site's
     patterns apply only to that site's cards through the address's own row.
     """
-    pages = spread(article_pages.select("site", "url", "html"))
+    pages = article_pages.select("site", "url", "html")
     images = per_site(
         rules,
         lambda r: image_links(body_fragment(F.col("html"), r))
@@ -323,10 +323,10 @@ def select_articles(
     )
     once = per_site(rules, lambda r: F.lit(r.once_per_url))
     # Today's articles are few next to the pages, and each branch below needs them.
-    today = cut_lineage(today.withColumn("_once", once))
+    today = written(today.withColumn("_once", once))
     kept = crawl.once_per_url(today.filter("_once")).unionByName(today.filter(~F.col("_once")))
     numbered = crawl.number_in_listing(
-        cut_lineage(kept.drop("_once")), ["site", "category"], "page", "position"
+        written(kept.drop("_once")), ["site", "category"], "page", "position"
     )
     return numbered.withColumns(
         {"text": article_text(rules), "path": article_path(rules, as_of)}

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.session import spread
+from tidewatch.session import written
 
 # Chunk length and step of long-text embedding, in tokens (fixed values).
 CHUNK_TOKENS = 510
@@ -27,67 +22,48 @@ SUMMARY_MIN_WORDS = 30
 SUMMARY_MAX_WORDS = 130
 
 
-@dataclass(frozen=True)
-class TextVectorizer:
-    """Unit-length TF-IDF vectors over a vocabulary of at most ``dims`` words.
+def word_weights(texts: DataFrame, text_col: str) -> DataFrame:
+    """``word, idf`` of every word of the texts: ``ln((texts + 1) / (texts with the word + 1))``.
 
-    The vocabulary is the words found in most texts (ties by word), so fitting
-    is one aggregate and the driver holds ``dims`` words and weights, whatever
-    the size of the corpus.
+    Blank texts do not count. The table has a row for each distinct word and is written,
+    as it is read several times.
     """
+    usable = texts.select(text_col).filter(~T.is_blank(F.col(text_col)))
+    # An empty word per text counts the texts in the same pass; no real word is empty.
+    found = F.array_append(F.array_distinct(T.words(F.col(text_col))), "")
+    counts = written(
+        usable.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    )
+    first = counts.filter("word = ''").first()
+    total = first["df"] if first else 0
+    return counts.filter("word <> ''").select(
+        "word", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf")
+    )
+
+
+def _unit_weights(counted: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, word, weight``: counts ``n`` times idf, scaled to unit length for each of ``keys``."""
+    weighed = counted.join(weights, "word").withColumn("_x", F.col("n") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(*keys)))
+    return (
+        weighed.filter(F.col("_x") != 0)
+        .withColumn("weight", F.col("_x") / length)
+        .select(*keys, "word", "weight")
+    )
+
 
-    vocabulary: tuple[str, ...]
-    weights: tuple[float, ...]
-
-    @classmethod
-    def fit(cls, texts: DataFrame, text_col: str, dims: int) -> TextVectorizer:
-        usable = spread(texts.select(text_col)).filter(~T.is_blank(F.col(text_col)))
-        # An empty word per text counts the texts in the same pass; no real word is empty
-        # and none is more frequent, so it comes first.
-        found = F.array_append(F.array_distinct(T.words(F.col(text_col))), "")
-        top = (
-            usable.select(F.explode(found).alias("word"))
-            .groupBy("word")
-            .agg(F.count("*").alias("df"))
-            .orderBy(F.desc("df"), "word")
-            .limit(dims + 1)
-            .collect()
-        )
-        total = top[0]["df"] if top else 0
-        return cls(
-            tuple(row["word"] for row in top[1:]),
-            tuple(math.log((total + 1) / (row["df"] + 1)) for row in top[1:]),
-        )
-
-    def vector(self, df: DataFrame, words_col: str, output: str = "vector") -> DataFrame:
-        """Add the ML vector of an array of words; its zero entries are not stored."""
-        counts = CountVectorizerModel.from_vocabulary(
-            list(self.vocabulary), inputCol=words_col, outputCol="_counts"
-        )
-        weigh = ElementwiseProduct(
-            scalingVec=Vectors.dense(self.weights), inputCol="_counts", outputCol="_weighted"
-        )
-        unit = Normalizer(p=2.0, inputCol="_weighted", outputCol=output)
-        return PipelineModel([counts, weigh, unit]).transform(df).drop("_counts", "_weighted")
-
-    def embed(self, df: DataFrame, text_col: str, output: str = "vector") -> DataFrame:
-        """Add ``array<double>``; null for blank text and for text without a known word."""
-        full_text = F.coalesce(F.col(text_col), F.lit(""))
-        split = spread(df).withColumn("_words", T.words(full_text))
-        found = self.vector(split, "_words", "_vector").withColumn(
-            "_dense", vector_to_array("_vector")
-        )
-        known = F.exists("_dense", lambda x: x != 0)
-        dense = F.when(known, F.col("_dense"))
-        return found.withColumn(output, dense).drop("_words", "_vector", "_dense")
-
-    def words_of(self, df: DataFrame, vector: Column, *keep: str) -> DataFrame:
-        """Long form of a dense vector column: one row per non-zero word weight."""
-        names = F.array(*[F.lit(w) for w in self.vocabulary]).alias("word")
-        # The generator takes an expression, not a column: for a column Spark adds a
-        # size filter below it, which computes the vector a second time.
-        pairs = F.filter(F.arrays_zip(names, vector.alias("weight")), lambda x: x["weight"] != 0)
-        return df.select(*keep, F.explode(pairs).alias("pair")).select(*keep, "pair.*")
+def embed(texts: DataFrame, weights: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, word, weight``: the unit-length TF-IDF vector of each text, a row for each word in it.
+
+    No word is left out or merged, so a vector is as long as the text has weighted words. Texts
+    of the same id are one text.
+    """
+    counted = (
+        texts.select(id_col, F.explode(T.words(F.col(text_col))).alias("word"))
+        .groupBy(id_col, "word")
+        .agg(F.count("*").alias("n"))
+    )
+    return _unit_weights(counted, weights, [id_col])
 
 
 def chunks(words: Column, size: int = CHUNK_TOKENS, stride: int = CHUNK_STRIDE) -> Column:
@@ -100,85 +76,70 @@ def chunks(words: Column, size: int = CHUNK_TOKENS, stride: int = CHUNK_STRIDE)
 
 def embed_long_texts(
     texts: DataFrame,
-    vectorizer: TextVectorizer,
+    weights: DataFrame,
     id_col: str,
     text_col: str,
     size: int = CHUNK_TOKENS,
     stride: int = CHUNK_STRIDE,
 ) -> DataFrame:
-    """``id, vector``: the mean of the chunk vectors of the whole text; blank text gives no row."""
-    usable = spread(texts.select(id_col, text_col)).filter(~T.is_blank(F.col(text_col)))
+    """``id, word, weight``: the mean of the chunk vectors of the whole text; blank text gives no row."""
+    usable = texts.select(id_col, text_col).filter(~T.is_blank(F.col(text_col)))
     # Words are a column of their own, or every chunk would split the text again.
     split = usable.select(id_col, T.words(F.col(text_col)).alias("_all"))
     parts = split.select(
-        id_col, F.explode(chunks(F.col("_all"), size, stride)).alias("_words")
+        id_col,
+        F.size(chunks(F.col("_all"), size, stride)).alias("_chunks"),
+        F.posexplode(chunks(F.col("_all"), size, stride)).alias("_chunk", "_words"),
     )
-    vectors = vectorizer.vector(parts, "_words", "_vector")
-    return (
-        vectors.groupBy(id_col)
-        .agg(Summarizer.mean(F.col("_vector")).alias("_mean"))
-        .select(id_col, vector_to_array("_mean").alias("vector"))
+    counted = (
+        parts.select(id_col, "_chunks", "_chunk", F.explode("_words").alias("word"))
+        .groupBy(id_col, "_chunks", "_chunk", "word")
+        .agg(F.count("*").alias("n"))
+    )
+    units = _unit_weights(counted, weights, [id_col, "_chunks", "_chunk"])
+    return units.groupBy(id_col, "word").agg(
+        (F.sum("weight") / F.max("_chunks")).alias("weight")
     )
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text: cut after ``.``, ``!`` or ``?`` before white space, and at line ends."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1\n")
-    return F.filter(
-        F.transform(F.split(marked, r"\n+"), lambda s: F.trim(s)), lambda s: s != ""
-    )
+_WORD = re.compile(r"[^\W_]+")
+_SENTENCE_END = re.compile(r"([.!?])[ \t\n\x0b\f\r]+")
 
 
-def summarize(
-    texts: DataFrame,
-    id_col: str,
-    text_col: str,
-    min_words: int = SUMMARY_MIN_WORDS,
-    max_words: int = SUMMARY_MAX_WORDS,
-) -> DataFrame:
-    """``id, summary``: the best sentences, in text order, within the word budget.
+def best_sentences(text: str | None, min_words: int, max_words: int) -> str:
+    """The best sentences of one text, in text order, within the word budget."""
+    parts = (x.strip(" ") for x in re.split(r"\n+", _SENTENCE_END.sub(r"\1\n", text or "")))
+    found = [x for x in parts if x]
+    words = [_WORD.findall(x.lower()) for x in found]
+    counts = Counter(w for sentence in words for w in sentence)
+    scores = {
+        i: sum(counts[w] for w in sentence if len(w) > 3) / len(sentence)
+        for i, sentence in enumerate(words)
+        if sentence
+    }
+    taken, chosen = 0, []
+    for i in sorted(scores, key=lambda i: (-scores[i], i)):
+        if taken + len(words[i]) <= max_words or taken < min_words:
+            chosen.append(i)
+        taken += len(words[i])
+    return " ".join(found[i] for i in sorted(chosen))
+
+
+def summary(
+    text: Column, min_words: int = SUMMARY_MIN_WORDS, max_words: int = SUMMARY_MAX_WORDS
+) -> Column:
+    """The best sentences of a text, in text order, within the word budget.
 
     A sentence scores the mean count, in its own text, of its words of four
-    letters or more. The whole text takes part. The texts are shuffled once by
-    id, which is not null; every later step keeps that partitioning. Blank text
-    gives ``""``.
+    letters or more. The whole text takes part. Only the text column passes to
+    the Python workers, in Arrow batches, and the row stays where it is. Blank text gives ``""``.
     """
-    keyed = (
-        texts.select(id_col, text_col)
-        .filter(F.col(id_col).isNotNull())
-        .repartition(F.col(id_col))
-    )
-    split = keyed.select(
-        id_col, F.posexplode(sentences(F.col(text_col))).alias("_at", "_sentence")
-    )
-    sized = split.select(id_col, "_at", T.words(F.col("_sentence")).alias("_words")).withColumn(
-        "_size", F.size("_words")
-    )
-    counted = sized.select(id_col, "_at", "_size", F.explode_outer("_words").alias("_word"))
-    same_word = Window.partitionBy(id_col, "_word")
-    weight = F.when(F.length("_word") > 3, F.count("*").over(same_word)).otherwise(0)
-    scored = (
-        counted.withColumn("_weight", weight)
-        .groupBy(id_col, "_at")
-        .agg((F.sum("_weight") / F.max("_size")).alias("_score"), F.max("_size").alias("_size"))
-    )
-    by_score = Window.partitionBy(id_col).orderBy(F.desc("_score"), "_at")
-    taken = F.sum("_size").over(by_score.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = (
-        scored.filter(F.col("_size") > 0)
-        .withColumn("_taken", taken)
-        .filter(
-            (F.col("_taken") <= max_words) | (F.col("_taken") - F.col("_size") < min_words)
-        )
-        .groupBy(id_col)
-        .agg(F.collect_list("_at").alias("_chosen"))
-    )
-    in_order = F.filter(
-        sentences(F.col(text_col)), lambda _, i: F.array_contains(F.col("_chosen"), i)
-    )
-    return keyed.join(chosen, id_col, "left").select(
-        id_col, F.coalesce(F.array_join(in_order, " "), F.lit("")).alias("summary")
-    )
+
+    @F.pandas_udf("string")
+    def summarize(texts: pd.Series) -> pd.Series:
+        return pd.Series([best_sentences(t, min_words, max_words) for t in texts], dtype=object)
+
+    return summarize(text)
 
 
 ModelFn = Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]

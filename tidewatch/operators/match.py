@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import blocks, dedupe
+from tidewatch.functions import text as T
+from tidewatch.operators import blocks, dedupe, features
+from tidewatch.session import written
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -63,23 +67,117 @@ def nearest(
     return best.groupBy("text_id").agg(top.alias("b")).select("text_id", "b.*")
 
 
-def match_struct(ident: Column, name: Column, score: Column) -> Column:
-    return F.when(
-        ident.isNotNull(), F.struct(ident.alias("id"), name.alias("name"), score.alias("score"))
-    )
+# Technique postings (word, technique, weight) up to this number are sent whole to the
+# executors, some 40 bytes each; more are joined by word.
+BROADCAST_POSTINGS = 2_000_000
+
+_MATCH = "struct<id:string,name:string,score:double>"
 
 
-def attach_match(texts: DataFrame, best: DataFrame, techniques: DataFrame) -> DataFrame:
-    """``mitre_match`` next to every row of ``texts``; null where the text has no vector.
+def postings(techniques: DataFrame) -> DataFrame:
+    """``ordinal, word, weight, idf`` of all words of ``techniques(ordinal, text)``, written.
 
-    The name travels with its own technique row.
+    The words' weights come from the techniques themselves: other words cannot add to a similarity.
     """
-    named = best.join(
-        techniques.select(F.col("ordinal").cast("long"), "technique_id", "technique_name"), "ordinal"
-    ).select(
-        "text_id",
-        match_struct(F.col("technique_id"), F.col("technique_name"), F.col("score")).alias(
-            "mitre_match"
-        ),
+    weights = features.word_weights(techniques, "text")
+    units = features.embed(techniques, weights, "ordinal", "text")
+    return written(units.join(weights, "word").select("ordinal", "word", "weight", "idf"))
+
+
+def with_match(
+    texts: DataFrame,
+    text_col: str,
+    techniques: DataFrame,
+    broadcast_postings: int = BROADCAST_POSTINGS,
+) -> DataFrame:
+    """``texts`` with ``mitre_match``: the technique of the most similar words, null without a common one.
+
+    ``techniques`` holds ``ordinal, technique_id, technique_name, text``; scores that are equal to nine digits
+    go to the lowest ordinal. Up to a number of postings they are sent to the tasks and each text is
+    matched in its row, so repeated and null ids keep their rows and nothing is shuffled. Beyond it
+    the texts' words are joined to the postings.
+    """
+    table = postings(techniques)
+    known = techniques.select("ordinal", "technique_id", "technique_name")
+    if table.count() <= broadcast_postings:
+        return _matched_in_row(texts, text_col, table, known)
+    return _matched_by_word(texts, text_col, table, known)
+
+
+def _matched_in_row(texts: DataFrame, text_col: str, table: DataFrame, known: DataFrame) -> DataFrame:
+    rows = table.toPandas().sort_values(["word", "ordinal"], kind="stable")
+    used = known.join(table.select("ordinal").distinct(), "ordinal", "left_semi")
+    names = {r["ordinal"]: (r["technique_id"], r["technique_name"]) for r in used.collect()}
+    ordinals = np.unique(rows["ordinal"].to_numpy(dtype=np.int64))
+    place = np.searchsorted(ordinals, rows["ordinal"].to_numpy(dtype=np.int64))
+    words, first = np.unique(rows["word"].to_numpy(dtype=object), return_index=True)
+    cuts = np.append(first, len(rows)).tolist()
+    index = {w: k for k, w in enumerate(words)}
+    shared = texts.sparkSession.sparkContext.broadcast(
+        (index, cuts, place, rows["weight"].to_numpy(), rows["idf"].to_numpy(), [names[o] for o in ordinals.tolist()])
+    )
+
+    @F.pandas_udf(_MATCH)
+    def best(found: pd.Series) -> pd.DataFrame:
+        index, cuts, place, weight, idf, names = shared.value
+        out = []
+        for words in found:
+            counts = Counter(index[w] for w in (() if words is None else words) if w in index)
+            scores = np.zeros(len(names))
+            square = 0.0
+            for k, n in counts.items():
+                start, end = cuts[k], cuts[k + 1]
+                x = n * idf[start]
+                square += x * x
+                scores[place[start:end]] += x * weight[start:end]
+            if square == 0:
+                out.append((None, None, None))
+                continue
+            scores = np.round(scores / np.sqrt(square), 9)
+            top = int(scores.argmax())
+            out.append((*names[top], float(scores[top])))
+        return pd.DataFrame(out, columns=["id", "name", "score"])
+
+    match = best(T.words(F.col(text_col)))
+    named = texts.withColumn("mitre_match", match)
+    return named.withColumn(
+        "mitre_match", F.when(F.col("mitre_match.score").isNotNull(), F.col("mitre_match"))
+    )
+
+
+def _matched_by_word(texts: DataFrame, text_col: str, table: DataFrame, known: DataFrame) -> DataFrame:
+    # The rows are read twice and must keep their numbers.
+    numbered = written(texts.withColumn("_row", F.monotonically_increasing_id()))
+    counted = (
+        numbered.select("_row", F.explode(T.words(F.col(text_col))).alias("word"))
+        .groupBy("_row", "word")
+        .agg(F.count("*").alias("n"))
+    )
+    idf = table.select("word", "idf").distinct()
+    length = counted.join(idf, "word").groupBy("_row").agg(
+        F.sqrt(F.sum((F.col("n") * F.col("idf")) ** 2)).alias("_length")
+    )
+    scores = (
+        counted.join(table, "word")
+        .groupBy("_row", "ordinal")
+        .agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("x"))
+        .join(length, "_row")
+        .select("_row", "ordinal", F.round(F.col("x") / F.col("_length"), 9).alias("score"))
     )
-    return texts.join(named, "text_id", "left")
+    best = scores.groupBy("_row").agg(
+        F.max(F.struct(F.col("score"), (-F.col("ordinal")).alias("o"))).alias("b")
+    ).select("_row", "b.score", (-F.col("b.o")).alias("ordinal"))
+    named = best.join(known, "ordinal").select(
+        "_row",
+        F.struct(
+            F.col("technique_id").alias("id"), F.col("technique_name").alias("name"), "score"
+        ).alias("mitre_match"),
+    )
+    return numbered.join(named, "_row", "left").drop("_row")
+
+
+def flatten_match(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``technique_id`` and ``similarity`` columns in place of ``mitre_match``."""
+    return rows.withColumns(
+        {"technique_id": F.col("mitre_match.id"), "similarity": F.col("mitre_match.score")}
+    ).drop("mitre_match")

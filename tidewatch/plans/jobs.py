@@ -21,18 +21,15 @@ from tidewatch.operators import (
     joins,
     match,
 )
-from tidewatch.session import cut_lineage, spread
+from tidewatch.session import written
 from tidewatch.sources import files, sinks, snapshots
 
-DIMS = 512
-
 
 def url_rows(pages: DataFrame) -> DataFrame:
     """``html_file, group, url, domain``: each distinct URL of each page, in the page's order."""
     page = F.col("_text")
     marked = (
-        spread(pages)
-        .select("html_file", "group", text.visible_text(F.col("html")).alias("_text"))
+        pages.select("html_file", "group", text.visible_text(F.col("html")).alias("_text"))
         .withColumn("_long", text.has_long_run(page))
     )
     # Generated, so that only the found URLs and the rare long text meet the Python
@@ -91,53 +88,31 @@ def refresh_cve_table(pairs: DataFrame, cves: DataFrame, detail_documents: DataF
     return dedupe.union_aligned([cves, found])
 
 
-def technique_vectors(
-    techniques: DataFrame, vectorizer: features.TextVectorizer
-) -> DataFrame:
-    """``ordinal, technique_id, technique_name, vector`` of techniques with usable text."""
-    ranked = techniques.filter(~text.is_blank(F.col("text")))
-    if "ordinal" not in ranked.columns:
-        ranked = ranked.withColumn("ordinal", F.monotonically_increasing_id())
-    return vectorizer.embed(ranked, "text").filter(F.col("vector").isNotNull())
-
-
 def match_techniques(
     texts: DataFrame,
     techniques: DataFrame,
-    id_col: str,
     text_col: str,
     match_on: str = "technique_name",
-    dims: int = DIMS,
+    broadcast_postings: int = match.BROADCAST_POSTINGS,
 ) -> DataFrame:
-    """``texts`` with ``mitre_match``: the most similar technique of each text.
+    """``texts`` with ``mitre_match``: the most similar technique of each text, row by row.
 
     Articles match technique names, CVE summaries match descriptions
-    (``match_on="description"``). The vocabulary is that of the techniques: other
-    words cannot add to a similarity.
+    (``match_on="description"``). Every word of the techniques counts. Techniques without
+    text have no part; those without an ``ordinal`` are numbered as they come.
     """
-    table = cut_lineage(
-        files.match_texts(techniques, match_on).withColumn(
-            "ordinal", F.monotonically_increasing_id()
-        )
-    )
-    vectorizer = features.TextVectorizer.fit(table, "text", dims)
-    vectors = cut_lineage(technique_vectors(table, vectorizer))
-    embedded = vectorizer.embed(
-        texts.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("_text")), "_text"
-    )
-    best = match.nearest(embedded, vectors, len(vectorizer.vocabulary))
-    named = texts.withColumn("text_id", F.col(id_col))
-    return match.attach_match(named, best, vectors).drop("text_id")
+    usable = files.match_texts(techniques, match_on).filter(~text.is_blank(F.col("text")))
+    if "ordinal" not in usable.columns:
+        usable = usable.withColumn("ordinal", F.monotonically_increasing_id())
+    return match.with_match(texts, text_col, written(usable), broadcast_postings)
 
 
-def match_unmatched(
-    cves: DataFrame, techniques: DataFrame, dims: int = DIMS
-) -> DataFrame:
+def match_unmatched(cves: DataFrame, techniques: DataFrame) -> DataFrame:
     """CVE rows with a match for each that lacks one; matched rows pass by."""
     if "mitre_match" not in cves.columns:
-        return match_techniques(cves, techniques, "cve_id", "summary", "description", dims)
+        return match_techniques(cves, techniques, "summary", "description")
     open_rows = cves.filter(F.col("mitre_match").isNull()).drop("mitre_match")
-    matched = match_techniques(open_rows, techniques, "cve_id", "summary", "description", dims)
+    matched = match_techniques(open_rows, techniques, "summary", "description")
     return cves.filter(F.col("mitre_match").isNotNull()).unionByName(matched)
 
 
@@ -150,17 +125,15 @@ def build_news(
     techniques: DataFrame,
     translated_source: str | None = None,
     translate: features.ModelFn | None = None,
-    dims: int = DIMS,
 ) -> DataFrame:
     """Articles of ``(path, value)`` files with summary and technique match, ready to append."""
     articles = files.parse_articles(article_files)
     if translated_source and translate:
         articles = features.transform_source(articles, translated_source, translate)
         # A model is costly and need not repeat itself, so its output is written once.
-        articles = cut_lineage(articles)
-    summaries = features.summarize(articles, "path", "content")
-    matched = match_techniques(articles, techniques, "path", "content", dims=dims)
-    return matched.join(summaries, "path").select(
+        articles = written(articles)
+    summed = articles.withColumn("summary", features.summary(F.col("content")))
+    return match_techniques(summed, techniques, "content").select(
         "title",
         "content",
         dates.date_text(F.col("date")).alias("date"),
@@ -235,9 +208,9 @@ def technique_matrix(
     pairs: DataFrame, hosts: DataFrame, cves: DataFrame
 ) -> tuple[DataFrame, list[str]]:
     """The written group x technique matrix with zero fill, and its technique columns."""
-    counts = cut_lineage(aggregates.key_technique_counts(pairs, hosts, cves))
+    counts = written(aggregates.key_technique_counts(pairs, hosts, cves))
     columns = aggregates.pivot_values(counts, "technique_id")
-    return cut_lineage(aggregates.pivot_counts(counts, "group", columns)), columns
+    return written(aggregates.pivot_counts(counts, "group", columns)), columns
 
 
 def cluster_profile(
@@ -252,13 +225,13 @@ def cluster_profile(
     usable = aggregates.usable_cves(cves)
     placed = hosts.dropna(subset=["latitude", "longitude"])
     matrix, columns = technique_matrix(pairs, placed, usable)
-    vectors = cut_lineage(cluster.scaled_vectors(matrix, "group", columns))
+    vectors = written(cluster.scaled_vectors(matrix, "group", columns))
     sweep = cluster.sweep_k(vectors, "group", vectors.count(), len(columns))
-    labels = cut_lineage(cluster.assign(vectors, "group", sweep.model))
+    labels = written(cluster.assign(vectors, "group", sweep.model))
     members = placed.select("host_id", "group").join(labels, "group", "left")
     if selected is not None:
         members = members.filter(F.col("cluster").isin(list(selected)))
-    counts = cut_lineage(
+    counts = written(
         aggregates.describe_techniques(
             aggregates.key_technique_counts(pairs, members, usable, "cluster"), known
         )
@@ -336,9 +309,7 @@ def retain(table: DataFrame, as_of: date | str, column: str = "date") -> DataFra
     return sinks.retain(table, as_of, column)
 
 
-def embed_long_texts(
-    texts: DataFrame, id_col: str, text_col: str, dims: int = DIMS
-) -> DataFrame:
-    """One vector per text of any length, with a vocabulary from the texts themselves."""
-    vectorizer = features.TextVectorizer.fit(texts, text_col, dims)
-    return features.embed_long_texts(texts, vectorizer, id_col, text_col)
+def embed_long_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, word, weight`` of texts of any length, with word weights from the texts themselves."""
+    weights = features.word_weights(texts, text_col)
+    return features.embed_long_texts(texts, weights, id_col, text_col)

@@ -1,8 +1,8 @@
-"""Session set-up and the shared folder used to cut lineage."""
+"""Session set-up and tables written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +20,8 @@ def local_session(cores: str = "8", app: str = "tidewatch", **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Splits small enough that a file of a few row groups keeps all cores busy.
+        .config("spark.sql.files.maxPartitionBytes", "16m")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -29,38 +31,26 @@ def local_session(cores: str = "8", app: str = "tidewatch", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's setting, or a temporary one in local mode."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tidewatch-")
-    sc.setCheckpointDir(folder)
-    return folder
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and go on from the written table.
 
-
-# A table is small up to this many bytes, by the optimizer's estimate.
-SMALL_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small ``df`` over all task slots; a larger one has splits enough and stays as it is.
-
-    For steps whose cost per row is high: a small file may be a single split,
-    which would keep one slot busy. The size comes from the plan's statistics, so
-    nothing runs to find it.
+    Lineage ends there, so a lost executor costs a re-read only, and later readers
+    take just the columns they need. The table is deleted when the driver ends.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system of ``path`` delete it when the driver's JVM ends."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)

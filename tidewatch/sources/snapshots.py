@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.functions import documents
-from tidewatch.session import spread
 
 
 def host_scans(snapshot: DataFrame) -> DataFrame:
@@ -24,7 +23,7 @@ def host_scans(snapshot: DataFrame) -> DataFrame:
     names = schemas.HOST_FEATURES
     top = F.filter(F.array(documents.parsed(F.col("json"))), usable)
     return (
-        spread(snapshot).select("ip", F.explode(top).alias("top"))
+        snapshot.select("ip", F.explode(top).alias("top"))
         .select("ip", documents.merged_document(F.col("top")).alias("doc"))
         .select("ip", *_named(documents.opened(F.col("doc"))))
         .select("ip", *_named(documents.raw_features()))
