@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import decontam, language, lines, packing, simhash
 from tidewatch.llm.queries import table, tokenizer_path
-from tidewatch.llm.shared import fresh, written
+from tidewatch.llm.shared import fresh
+from tidewatch.session import written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

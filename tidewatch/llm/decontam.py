@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bytewords import ALPHANUMERIC, lowered, words_of_all
-from tidewatch.llm.shared import fresh, written
+from tidewatch.llm.shared import fresh
+from tidewatch.session import written
 
 WINDOW = 10
 # Terms that a near match must have, and how far each may stand from its place.

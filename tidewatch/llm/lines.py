@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import bound, fresh, written
+from tidewatch.llm.shared import bound, fresh
+from tidewatch.session import written
 
 # Words of a run that is removed.
 LEAST_WORDS = 25

@@ -18,7 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import bound, pattern_matches, written
+from tidewatch.llm.shared import bound, pattern_matches
+from tidewatch.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import pattern_matches, written
+from tidewatch.llm.shared import pattern_matches
+from tidewatch.session import written
 
 
 @dataclass(frozen=True)

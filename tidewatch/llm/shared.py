@@ -1,37 +1,16 @@
-"""Helpers of the text operators: written tables, offsets inside a row, components of links."""
+"""Helpers of the text operators: names, places of matches inside a row, components of links."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import shared_dir
+from tidewatch.session import written
 
 # Rows of numbers summed at a time when running totals are built inside a row.
 BLOCK = 64
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the cluster's shared folder and go on from the written table.
-
-    Lineage ends there, so a lost executor costs a re-read only, and later readers
-    take just the columns they need. The folder is deleted when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewatch-llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import components, fresh, written
+from tidewatch.llm.shared import components, fresh
+from tidewatch.session import written
 
 BITS = 64
 SEED = 42
