@@ -147,8 +147,6 @@ def test_technique_counts_with_edges(spark):
     assert rows(counts) == [("g1", "T1", 2), ("g1", "T2", 1)]
     wide = aggregates.pivot_counts(counts, "group", ["T1", "T2", "T3"])
     assert rows(wide) == [("g1", 2, 1, 0)]
-    with pytest.raises(ValueError):
-        aggregates.pivot_values(counts, "technique_id", 1)
 
 
 def test_top_techniques_and_radar_keep_ids_with_values(spark):

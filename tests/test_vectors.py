@@ -179,11 +179,10 @@ def test_source_transform_keeps_failed_and_blank_texts(spark):
     )
 
 
-def matrix_frame(spark, data):
-    rows = [(f"g{i:02d}", *[int(x) for x in row]) for i, row in enumerate(data)]
-    columns = [f"T{i}" for i in range(data.shape[1])]
-    ddl = "`group` string, " + ", ".join(f"{c} long" for c in columns)
-    return spark.createDataFrame(rows, ddl), columns
+def counts_frame(spark, data):
+    """Positive counts in long form, as the jobs make them."""
+    rows = [(f"g{i:02d}", f"T{j}", int(x)) for i, row in enumerate(data) for j, x in enumerate(row) if x]
+    return spark.createDataFrame(rows, "`group` string, technique_id string, count long")
 
 
 DATA = np.vstack([RNG.integers(0, 3, (6, 4)), RNG.integers(20, 23, (6, 4)), RNG.integers(50, 53, (5, 4))])
@@ -196,13 +195,29 @@ def scaled(data):
 
 
 def test_standardize(spark):
-    wide, columns = matrix_frame(spark, DATA)
-    got = {(r.group, r.technique_id): r.z for r in cluster.standardize(wide, "group", columns).collect()}
-    rows = {r.group: r.vector for r in cluster.scaled_vectors(wide, "group", columns).collect()}
+    counts = counts_frame(spark, DATA)
+    got = {(r.group, r.technique_id): r.z for r in cluster.standardize(counts, "group").collect()}
+    vectors_, dims = cluster.scaled_vectors(counts, "group")
+    rows = {r.group: np.array(r.vector) for r in vectors_.collect()}
     want = scaled(DATA)
+    assert dims == DATA.shape[1]
     for i in range(len(DATA)):
-        assert np.allclose(rows[f"g{i:02d}"], want[i])
-        assert np.allclose([got[f"g{i:02d}", c] for c in columns], want[i])
+        # Not centred: differences between rows are those of the standardized matrix.
+        assert np.allclose(rows[f"g{i:02d}"] - rows["g00"], want[i] - want[0])
+        assert np.allclose([got[f"g{i:02d}", f"T{j}"] for j in range(DATA.shape[1])], want[i])
+
+
+def test_many_techniques(spark):
+    """3,000 techniques, planted in three groups of keys."""
+    data = np.zeros((12, 3_000), dtype=int)
+    for i in range(12):
+        data[i, (i % 3) * 1_000 : (i % 3 + 1) * 1_000] = 3 + i
+    vectors_, dims = cluster.scaled_vectors(counts_frame(spark, data), "group")
+    assert dims == 3_000
+    table = written(vectors_)
+    sweep = cluster.sweep_k(table, "group", 12, dims, max_k=4)
+    labels = {r.group: r.cluster for r in cluster.assign(table, "group", sweep.model).collect()}
+    assert sweep.best_k == 3 and len({(labels[f"g{i:02d}"], i % 3) for i in range(12)}) == 3
 
 
 def brute_silhouette(x, labels):
@@ -232,9 +247,9 @@ def test_silhouette_equals_brute_force(spark, broadcast_elements):
 
 
 def test_sweep_finds_the_planted_clusters(spark):
-    wide, columns = matrix_frame(spark, DATA)
-    table = written(cluster.scaled_vectors(wide, "group", columns))
-    sweep = cluster.sweep_k(table, "group", len(DATA), len(columns))
+    vectors_, dims = cluster.scaled_vectors(counts_frame(spark, DATA), "group")
+    table = written(vectors_)
+    sweep = cluster.sweep_k(table, "group", len(DATA), dims)
     assert [k for k, _, _ in sweep.scores] == list(range(2, 11))
     assert sweep.best_k == 3
     labels = {r.group: r.cluster for r in cluster.assign(table, "group", sweep.model).collect()}
@@ -245,12 +260,13 @@ def test_sweep_finds_the_planted_clusters(spark):
     assert len(plane) == 17
     u, s, vt = np.linalg.svd(scaled(DATA) - scaled(DATA).mean(0), full_matrices=False)
     first = np.array([plane[n][0] for n in names])
-    assert np.allclose(np.abs(first), np.abs(scaled(DATA) @ vt[0]), atol=1e-8)
+    # The origin is not that of the standardized matrix, so positions count from their mean.
+    assert np.allclose(np.abs(first - first.mean()), np.abs((scaled(DATA) - scaled(DATA).mean(0)) @ vt[0]), atol=1e-8)
 
 
 def test_tiny_table_falls_back(spark):
-    wide, columns = matrix_frame(spark, DATA[[0, 7]])
-    table = written(cluster.scaled_vectors(wide, "group", columns))
-    sweep = cluster.sweep_k(table, "group", 2, len(columns))
+    vectors_, dims = cluster.scaled_vectors(counts_frame(spark, DATA[[0, 7]]), "group")
+    table = written(vectors_)
+    sweep = cluster.sweep_k(table, "group", 2, dims)
     assert sweep.scores == () and sweep.best_k == 2
     assert cluster.assign(table, "group", sweep.model).count() == 2

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import standins as S
-from tidewatch.catalog.registry import query
+from tidewatch.catalog.registry import query, table
 from tidewatch.functions import lists
 from tidewatch.operators import aggregates, cluster
 from tidewatch.plans import jobs
@@ -217,13 +217,24 @@ def cluster_top5_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     S.SQL
     + TOP5
-    + f"""
+    + """
 , texts AS (
   SELECT cluster, string_agg(technique_name || ' (' || technique_id || '): ' || description, '. '
                              ORDER BY rank) AS description_text
   FROM top5 GROUP BY cluster
 )
-SELECT cluster, description_text, format('{aggregates.PROMPT.replace("%s", "{}")}', cluster, description_text) AS prompt
+SELECT cluster, description_text, format('
+    아래는 사이버 공격 클러스터 {}에서 자주 나타나는 MITRE ATT&CK TTP 설명입니다:
+
+    {}
+
+    이 클러스터의 위협 행위 특성과 관련 랜섬웨어 그룹의 공격 전략을 기반으로 다음을 요약해 주세요:
+    - 어떤 공격 유형이 포함되는가 (초기 침입, lateral movement 등)
+    - 특징적인 TTP 조합이 의미하는 위협 유형
+    - 관련 랜섬웨어 그룹 사례 예시가 있다면
+
+    요약으로 제시해 주세요.
+        ', cluster, description_text) AS prompt
 FROM texts
 """
 )
@@ -291,18 +302,19 @@ MATRIX = """
 
 @query(S.SQL + MATRIX + 'SELECT "group", technique_id, round(z, 6) + 0.0 AS z FROM scaled')
 def standardized_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix, columns = jobs.technique_matrix(
+    matrix = jobs.technique_matrix(
         S.pairs(spark, sf_dir), S.placed_hosts(spark, sf_dir), S.cves(spark, sf_dir)
     )
-    scaled = cluster.standardize(matrix, "group", columns)
+    scaled = cluster.standardize(matrix, "group")
     return scaled.withColumn("z", F.round("z", 6) + 0.0)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    matrix, columns = jobs.technique_matrix(
+    matrix = jobs.technique_matrix(
         S.pairs(spark, sf_dir), S.placed_hosts(spark, sf_dir), S.cves(spark, sf_dir)
     )
-    return written(cluster.scaled_vectors(matrix, "group", columns)), len(columns)
+    vectors, dims = cluster.scaled_vectors(matrix, "group")
+    return written(vectors), dims
 
 
 @query(
@@ -337,24 +349,157 @@ def group_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query()
+# Groups of three planted kinds, from all orders: a kind has four techniques of its own.
+PLANTED_SQL = """
+WITH counts AS (
+  SELECT 'G' || lpad(CAST(o_custkey % 30 AS VARCHAR), 2, '0') AS "group",
+         'T' || (o_custkey % 3 * 4 + o_orderkey % 4) AS technique_id, CAST(count(*) AS BIGINT) AS "count"
+  FROM orders GROUP BY ALL
+)
+"""
+# The first group of the same kind.
+KIND_SQL = """'G' || lpad(CAST(CAST(substr("group", 2) AS INTEGER) % 3 AS VARCHAR), 2, '0')"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Hosts, pairs, CVEs and techniques: an order is a host with one CVE."""
+    key = F.col("o_custkey")
+    cve = key % 3 * 4 + F.col("o_orderkey") % 4
+    orders = table(spark, sf_dir, "orders")
+    hosts = orders.select(
+        F.col("o_orderkey").alias("host_id"),
+        F.concat(F.lit("G"), F.lpad((key % 30).cast("string"), 2, "0")).alias("group"),
+        F.lit(1.0).alias("latitude"),
+        F.lit(2.0).alias("longitude"),
+    )
+    pairs = orders.select(F.col("o_orderkey").alias("host_id"), cve.alias("cve_id"))
+    technique = F.concat(F.lit("T"), F.col("cve_id").cast("string"))
+    cves = pairs.select("cve_id").distinct().select(
+        "cve_id", F.lit(5.0).alias("cvss"), technique.alias("technique_id")
+    )
+    techniques = cves.select(
+        "technique_id",
+        F.concat(F.lit("name "), "technique_id").alias("technique_name"),
+        F.concat(F.lit("about "), "technique_id").alias("description"),
+    )
+    return hosts, pairs, cves, techniques
+
+
+def _planted_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    hosts, pairs, cves, _ = _planted(spark, sf_dir)
+    vectors, dims = cluster.scaled_vectors(jobs.technique_matrix(pairs, hosts, cves), "group")
+    return written(vectors), dims
+
+
+def _by_first_member(labels: DataFrame) -> DataFrame:
+    """``cluster, first``: a cluster's number and its smallest group, which does not depend on the fit."""
+    return labels.groupBy("cluster").agg(F.min("group").alias("first"))
+
+
+@query(
+    PLANTED_SQL
+    + MATRIX
+    + f"""
+, labelled AS (SELECT *, {KIND_SQL} AS kind FROM scaled),
+centres AS (SELECT kind, technique_id, avg(z) AS c FROM labelled GROUP BY kind, technique_id),
+cost AS (SELECT sum((z - c) * (z - c)) AS inertia FROM labelled JOIN centres USING (kind, technique_id)),
+distances AS (
+  SELECT a."group", a.kind, b.kind AS other, b."group" AS member, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS d
+  FROM labelled a JOIN labelled b USING (technique_id) GROUP BY ALL
+), means AS (
+  SELECT "group", kind, other, CASE WHEN kind = other THEN sum(d) / (count(*) - 1) ELSE avg(d) END AS m
+  FROM distances GROUP BY "group", kind, other
+), ab AS (
+  SELECT "group", max(CASE WHEN kind = other THEN m END) AS a, min(CASE WHEN kind <> other THEN m END) AS b
+  FROM means GROUP BY "group"
+)
+SELECT 3 AS k, round(any_value(inertia), 4) AS inertia, round(avg((b - a) / greatest(a, b)), 6) AS silhouette
+FROM ab, cost
+"""
+)
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, dims = _vectors(spark, sf_dir)
+    """The best k of the sweep over planted groups, with its cost and score."""
+    vectors, dims = _planted_vectors(spark, sf_dir)
     sweep = cluster.sweep_k(vectors, "group", vectors.count(), dims)
-    return spark.createDataFrame(
-        [(k, inertia, score, k == sweep.best_k) for k, inertia, score in sweep.scores],
-        "k int, inertia double, silhouette double, best boolean",
-    )
+    scores = spark.createDataFrame(list(sweep.scores), "k int, inertia double, silhouette double")
+    best = scores.filter(F.col("k") == sweep.best_k)
+    return best.select("k", F.round("inertia", 4).alias("inertia"), F.round("silhouette", 6).alias("silhouette"))
 
 
-@query()
+@query(PLANTED_SQL + f'SELECT DISTINCT "group", {KIND_SQL} AS cluster FROM counts')
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, dims = _vectors(spark, sf_dir)
+    """Planted groups with their cluster, named after its first group."""
+    vectors, dims = _planted_vectors(spark, sf_dir)
     sweep = cluster.sweep_k(vectors, "group", vectors.count(), dims)
-    return cluster.assign(vectors, "group", sweep.model)
+    labels = written(cluster.assign(vectors, "group", sweep.model))
+    return labels.join(_by_first_member(labels), "cluster").select("group", F.col("first").alias("cluster"))
 
 
-@query()
+@query(
+    """
+WITH counts AS (
+  SELECT 'G' || o_custkey % 50 AS "group", count(DISTINCT o_orderkey) AS a, count(*) AS b
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+), scaled AS (
+  SELECT "group", a / stddev_pop(a) OVER () AS a, b / stddev_pop(b) OVER () AS b FROM counts
+)
+SELECT "group", round(abs(a + b) / sqrt(2), 5) AS x, round(abs(a - b) / sqrt(2), 5) AS y FROM scaled
+"""
+)
 def projection_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, _ = _vectors(spark, sf_dir)
-    return cluster.project_2d(vectors, "group")
+    """Two techniques that grow together: the components are their sum and difference."""
+    group = F.concat(F.lit("G"), (F.col("o_custkey") % 50).cast("string")).alias("group")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", group)
+    items = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    counts = items.groupBy("group").agg(
+        F.count_distinct("o_orderkey").alias("T0"), F.count("*").alias("T1")
+    ).unpivot(["group"], ["T0", "T1"], "technique_id", "count")
+    vectors, _ = cluster.scaled_vectors(written(counts), "group")
+    plane = cluster.project_2d(written(vectors), "group")
+    return plane.select("group", F.round(F.abs("x"), 5).alias("x"), F.round(F.abs("y"), 5).alias("y"))
+
+
+def _profile(spark: SparkSession, sf_dir: str) -> jobs.ClusterProfile:
+    return jobs.cluster_profile(*_planted(spark, sf_dir))
+
+
+KIND_COUNTS = f"""
+, kinds AS (
+  SELECT {KIND_SQL} AS cluster, technique_id, CAST(sum("count") AS BIGINT) AS "count" FROM counts GROUP BY ALL
+)
+"""
+
+
+@query(
+    PLANTED_SQL
+    + KIND_COUNTS
+    + """
+SELECT cluster, technique_id, 'name ' || technique_id AS technique_name, "count",
+  row_number() OVER (PARTITION BY cluster ORDER BY "count" DESC, technique_id) AS rank FROM kinds
+"""
+)
+def cluster_profile_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top techniques of the cluster page's job over planted groups."""
+    profile = _profile(spark, sf_dir)
+    first = _by_first_member(profile.labels)
+    return profile.top.join(first, "cluster").select(
+        F.col("first").alias("cluster"), "technique_id", "technique_name", "count", F.col("rank").cast("long").alias("rank")
+    )
+
+
+@query(
+    PLANTED_SQL
+    + KIND_COUNTS
+    + """
+, top8 AS (SELECT technique_id FROM kinds GROUP BY ALL ORDER BY sum("count") DESC, technique_id LIMIT 8),
+of AS (SELECT DISTINCT cluster FROM kinds JOIN top8 USING (technique_id))
+SELECT of.cluster, t.technique_id, COALESCE(k."count", 0) AS "count"
+FROM of CROSS JOIN top8 t LEFT JOIN kinds k ON k.cluster = of.cluster AND k.technique_id = t.technique_id
+"""
+)
+def cluster_profile_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = _profile(spark, sf_dir)
+    first = _by_first_member(profile.labels)
+    return profile.radar.join(first, "cluster").select(
+        F.col("first").alias("cluster"), "technique_id", "count"
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import standins as S
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions import lists
-from tidewatch.operators import aggregates, dedupe, joins
+from tidewatch.operators import aggregates, dedupe, joins, match
 from tidewatch.plans import jobs
 from tidewatch.sources import snapshots
 
@@ -43,9 +43,9 @@ WITH urls AS (
     URL_SQL
     + """
 , merged AS (
-  SELECT url, "group", row_id, CASE WHEN part = 1 THEN row_id % 10 END AS note,
+  SELECT url, "group", row_id, CASE WHEN noted THEN row_id % 10 END AS note,
          row_number() OVER (PARTITION BY url ORDER BY part, row_id) AS r
-  FROM urls WHERE part IN (0, 1)
+  FROM (SELECT url, "group", row_id, least(part, 1) AS part, part = 1 AS noted FROM urls)
 )
 SELECT COALESCE(url, 'none') AS url, "group", row_id, COALESCE(CAST(note AS VARCHAR), 'none') AS note
 FROM merged WHERE r = 1
@@ -54,7 +54,7 @@ FROM merged WHERE r = 1
 def merge_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _url_table(spark, sf_dir, 0)
     new = _url_table(spark, sf_dir, 1, extra="note")
-    merged = jobs.merge_hosts(base, new)
+    merged = jobs.merge_hosts(base, new, _url_table(spark, sf_dir, 2))
     return merged.select(
         F.coalesce("url", F.lit("none")).alias("url"),
         "group",
@@ -69,7 +69,7 @@ def merge_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 , n AS (
   SELECT count(DISTINCT COALESCE(url, '')) FILTER (WHERE part = 0) AS base_rows,
          count(DISTINCT COALESCE(url, '')) AS merged_rows
-  FROM urls WHERE part IN (0, 1)
+  FROM urls
 )
 SELECT CAST(base_rows AS BIGINT) AS base_rows, CAST(merged_rows AS BIGINT) AS merged_rows,
        CAST(greatest(0, merged_rows - base_rows) AS BIGINT) AS added_rows FROM n
@@ -77,10 +77,26 @@ SELECT CAST(base_rows AS BIGINT) AS base_rows, CAST(merged_rows AS BIGINT) AS me
 )
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _url_table(spark, sf_dir, 0)
-    merged = jobs.merge_hosts(base, _url_table(spark, sf_dir, 1))
+    merged = jobs.merge_hosts(base, _url_table(spark, sf_dir, 1), _url_table(spark, sf_dir, 2))
     return dedupe.merge_counts(base, merged)
 
 
+@query(
+    URL_SQL
+    + """
+, fresh AS (
+  SELECT url FROM urls u
+  WHERE part = 2 AND NOT EXISTS (SELECT 1 FROM urls t WHERE t.part = 1 AND t.url IS NOT DISTINCT FROM u.url)
+), joined AS (SELECT url FROM urls WHERE part = 0 UNION ALL SELECT url FROM fresh)
+SELECT (SELECT count(*) FROM fresh) AS left_rows, count(*) AS merged_rows,
+       count(DISTINCT COALESCE(url, '')) AS final_rows FROM joined
+"""
+)
+def holdout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _url_table(spark, sf_dir, 2).withColumnRenamed("url", "extracted_url")
+    return dedupe.holdout_counts(new, _url_table(spark, sf_dir, 1), _url_table(spark, sf_dir, 0))
+
+
 @query(
     URL_SQL
     + """
@@ -247,11 +263,14 @@ def _scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = [
         '{"data":[{"product":"old","http":{"server":"first","components":{"x":{}}},"version":"1"},',
         '{"product":"', F.col("event_type"), '","http":{"components":{"', F.col("event_type"),
-        '":{},"php":{"v":[1]}}},"ssh":{"key":"k', number, '","kex":{"kex_algorithms":["a","b"]}},',
-        '"version":null}],"asn":"AS', user, '","hostnames":["h', number, '","w"],"tags":[],',
+        '":{},"php":{"v":[1]}}},"ssh":{"key":"k', number, '","kex":{"kex_algorithms":["a","b"],',
+        '"mac_algorithms":["m', number, '"]},"cipher":"c', user, '"},"cpe":["cpe:/a:', F.col("event_type"),
+        '"],"cpe23":["x:', user, '","y"],"version":null}],"asn":"AS', user, '","hostnames":["h', number,
+        '","w"],"tags":[],"domains":["d', number, '","e"],"org":"O', user, '","isp":"",',
         '"vulns":{"CVE-', user, '":{"cvss":1},"CVE-X":{}},"location":{"country_code":"C',
         F.col("event_type"), '"},"region_code":"R', user,
-        '","ssl":{"cert":{"fingerprint":{"sha256":"f', number, '"},"issuer":{"CN":"i"}}}}',
+        '","ssl":{"ja3s":"j', number, '","jarm":"r', user, '","cert":{"fingerprint":{"sha256":"f', number,
+        '"},"issuer":{"CN":"i"},"subject":{"CN":"', number, '"}}}}',
     ]
     full = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in quoted])
     json = (
@@ -268,17 +287,17 @@ SELECT CAST(event_id AS VARCHAR) AS ip, event_type AS product, 'none' AS version
   event_type || ', php' AS components, 'k' || event_id AS ssh_key, 'a, b' AS ssh_kex,
   'f' || event_id AS ssl_fingerprint, 'h' || event_id || ', w' AS hostnames,
   'CVE-' || user_id || ', CVE-X' AS vulns, 'none' AS tags, 'none' AS server, 'AS' || user_id AS asn,
-  'C' || event_type AS country_code, 'R' || user_id AS region_code, '{"CN":"i"}' AS ssl_issuer
+  'C' || event_type AS country_code, 'R' || user_id AS region_code, '{"CN":"i"}' AS ssl_issuer,
+  'cpe:/a:' || event_type AS cpe, 'x:' || user_id || ', y' AS cpe23, 'm' || event_id AS ssh_mac,
+  'c' || user_id AS ssh_cipher, 'j' || event_id AS ssl_ja3s, 'r' || user_id AS ssl_jarm,
+  'd' || event_id || ', e' AS domains, 'O' || user_id AS org, 'none' AS isp,
+  '{"CN":"' || event_id || '"}' AS ssl_subject
 FROM events WHERE event_id % 11 NOT IN (0, 1)
 """
 )
 def host_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = (
-        "product version components ssh_key ssh_kex ssl_fingerprint hostnames vulns tags server "
-        "asn country_code region_code ssl_issuer"
-    ).split()
     scans = snapshots.host_scans(_scan_documents(spark, sf_dir))
-    return scans.select("ip", *[F.coalesce(c, F.lit("none")).alias(c) for c in shown])
+    return scans.select("ip", *[F.coalesce(c, F.lit("none")).alias(c) for c in scans.columns if c != "ip"])
 
 
 def _address(key: Column) -> Column:
@@ -353,3 +372,26 @@ def added_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey",
         *[F.round(F.coalesce(c, F.lit(-999.0)), 6).alias(c) for c in ("latitude", "longitude")],
     )
+
+
+@query(
+    """
+SELECT p_partkey AS cve_id, p_brand AS technique_id, round(p_retailprice / 1000, 6) AS similarity
+FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0
+"""
+)
+def flattened_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored matches as flat columns; rows without a match, a similarity or a score are of no use."""
+    key = F.col("p_partkey")
+    found = F.struct(
+        F.col("p_brand").alias("id"),
+        F.col("p_type").alias("name"),
+        F.when(key % 7 != 0, F.col("p_retailprice") / 1000).alias("score"),
+    )
+    cves = table(spark, sf_dir, "part").select(
+        key.alias("cve_id"),
+        F.when(key % 11 != 0, F.col("p_retailprice")).alias("cvss"),
+        F.when(key % 5 != 0, found).alias("mitre_match"),
+    )
+    usable = aggregates.usable_cves(match.flatten_match(cves))
+    return usable.select("cve_id", "technique_id", F.round("similarity", 6).alias("similarity"))

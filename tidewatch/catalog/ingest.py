@@ -88,10 +88,9 @@ def seed_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = orders.select(
         F.to_date("o_orderdate").alias("date"), F.col("o_custkey").cast("string").alias("group")
     )
-    feed = _locations(spark, sf_dir)
-    today = posts.filter(filters.on_day(F.col("date"), AS_OF)).select("group").distinct()
-    newest = joins.latest_locations(feed.join(today, feed["name"] == today["group"], "left_semi"))
-    return joins.upsert_seeds(_seeds(spark, sf_dir), newest.withColumnRenamed("name", "group"))
+    place = F.struct("fqdn", "enabled", "updated")
+    feed = _locations(spark, sf_dir).select("name", F.array(place).alias("locations"))
+    return jobs.refresh_seeds(posts, feed, _seeds(spark, sf_dir), AS_OF)
 
 
 @query(
@@ -242,16 +241,19 @@ def groups_today(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 SELECT o_orderkey FROM orders
-WHERE CAST(o_orderdate AS DATE) = DATE '1998-03-01' AND o_orderkey % 3 <> 2
+WHERE CAST(o_orderdate AS DATE) = DATE '1998-03-01' AND o_orderkey % 6 <> 5
 """
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partition dates in two notations; a third one is unreadable and never kept."""
+    """Folders and saved pages in the five notations that are written; another is never kept."""
     key = F.col("o_orderkey")
     day = F.col("o_orderdate")
     label = (
-        F.when(key % 3 == 0, F.date_format(day, "MMMM d, yyyy"))
-        .when(key % 3 == 1, F.date_format(day, "yyyy-MM-dd"))
+        F.when(key % 6 == 0, F.date_format(day, "MMMM d, yyyy"))
+        .when(key % 6 == 1, F.date_format(day, "yyyy-MM-dd"))
+        .when(key % 6 == 2, F.date_format(day, "MMM dd, yyyy"))
+        .when(key % 6 == 3, F.date_format(day, "MMMM dd, yyyy"))
+        .when(key % 6 == 4, F.concat(F.lit("play_"), F.date_format(day, "yyyyMMdd"), F.lit("_page2.html")))
         .otherwise(F.date_format(day, "dd/MM/yyyy"))
     )
     stored = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("date"))

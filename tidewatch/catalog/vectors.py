@@ -133,6 +133,57 @@ def matched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    vector_sql(DOCS, ITEMS)
+    + UNIT_SQL
+    + MATCH_SQL
+    + """
+SELECT d.doc_id // 2 AS cve_id, CASE WHEN d.doc_id % 5 = 0 THEN 'old' ELSE COALESCE(CAST(item_id AS VARCHAR), 'none') END AS match_id,
+  CASE WHEN d.doc_id % 5 = 0 THEN 0.5 ELSE COALESCE(round(score, 6), -1) END AS score
+FROM documents d LEFT JOIN best ON best.id = d.doc_id
+"""
+)
+def cve_technique_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents play CVE summaries, two to an id; a fifth was matched before."""
+    key = F.col("doc_id")
+    old = F.struct(F.lit("old").alias("id"), F.lit("n").alias("name"), F.lit(0.5).alias("score"))
+    cves = table(spark, sf_dir, "documents").select(
+        F.floor(key / 2).alias("cve_id"),
+        F.col("text").alias("summary"),
+        F.when(key % 5 == 0, old).alias("mitre_match"),
+    )
+    items = benchmark_techniques(spark, sf_dir).withColumn("description", F.col("technique_name"))
+    return jobs.match_unmatched(cves, items).select(
+        "cve_id",
+        F.coalesce("mitre_match.id", F.lit("none")).alias("match_id"),
+        F.coalesce(F.round("mitre_match.score", 6), F.lit(-1.0)).alias("score"),
+    )
+
+
+@query(
+    """
+WITH scores AS (
+  SELECT t.vec_id AS text_id, m.vec_id AS ordinal,
+    list_cosine_similarity(t.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS score
+  FROM embeddings t, embeddings m WHERE m.vec_id % 2 = 1 AND t.vec_id % 2 = 0
+)
+SELECT text_id, ordinal, round(score, 6) AS score FROM scores
+QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, ordinal) = 1
+"""
+)
+def nearest_technique_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the vectors play the techniques, compared in shuffled blocks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    known = F.col("vec_id") % 2 == 1
+    best = match.nearest(
+        vectors.filter(~known).select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")),
+        vectors.filter(known).select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector")),
+        64,
+        broadcast_elements=64,
+    )
+    return best.withColumn("score", F.round("score", 6))
+
+
 def summary_sql(texts: str) -> str:
     """CTEs up to ``chosen`` (id, summary) over ``texts`` (id, text)."""
     return rf"""

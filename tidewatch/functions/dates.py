@@ -21,6 +21,13 @@ def display_date(text: Column) -> Column:
     return parse_date(text, DISPLAY_FORMATS)
 
 
+def stored_day(text: Column) -> Column:
+    """Day of a folder in any notation, or of a saved page named ``group_yyyymmdd_pageN.html``."""
+    in_name = F.regexp_extract(text, r"_(\d{8})_page\d+\.html$", 1)
+    folder = parse_date(text, DIRECTORY_FORMATS + DISPLAY_FORMATS)
+    return F.coalesce(folder, F.try_to_date(in_name, "yyyyMMdd"))
+
+
 def korean_date(text: Column) -> Column:
     """Year, month and day marks, blanks allowed between them, to a date."""
     pattern = r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일"

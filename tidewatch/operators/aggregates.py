@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import dedupe
 
-# A pivot wider than this is refused; its long form has no limit.
-MAX_PIVOT_COLUMNS = 2000
-
 
 def explode_cves(hosts: DataFrame, host: str = "host_id") -> DataFrame:
     """Pairs of a host table with an in-row CVE list; empty lists give no row."""
@@ -29,8 +26,9 @@ def distinct_cves(pairs: DataFrame) -> DataFrame:
 
 
 def usable_cves(cves: DataFrame) -> DataFrame:
-    """CVE rows with a score and a technique."""
-    return cves.dropna(subset=["cvss", "technique_id"])
+    """CVE rows with a score, a technique and, where there is such a column, a similarity."""
+    needed = [c for c in ("cvss", "technique_id", "similarity") if c in cves.columns]
+    return cves.dropna(subset=needed)
 
 
 def usable_techniques(techniques: DataFrame) -> DataFrame:
@@ -106,14 +104,6 @@ def top_totals(counts: DataFrame, k: int = 8) -> DataFrame:
     return technique_totals(counts).orderBy(F.desc("count"), "technique_id").limit(k)
 
 
-def pivot_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_COLUMNS) -> list:
-    """The sorted values of a pivot column, refused when there are more than ``limit``."""
-    values = [row[0] for row in df.select(column).distinct().limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{column} has over {limit} values: use the long form")
-    return sorted(v for v in values if v is not None)
-
-
 def pivot_counts(counts: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Wide matrix of counts, one column per technique, missing pairs as 0."""
     wide = counts.groupBy(key).pivot("technique_id", list(values)).agg(F.sum("count"))
@@ -143,21 +133,22 @@ def technique_text(top: DataFrame, key: str = "cluster") -> DataFrame:
 
 # Request text around the technique descriptions of a cluster (fixed value).
 PROMPT = """
-아래는 사이버 공격 클러스터 %s에서 자주 나타나는 MITRE ATT&CK TTP 설명입니다:
+    아래는 사이버 공격 클러스터 %s에서 자주 나타나는 MITRE ATT&CK TTP 설명입니다:
 
-%s
+    %s
 
-이 클러스터의 위협 행위 특성과 관련 랜섬웨어 그룹의 공격 전략을 기반으로 다음을 요약해 주세요:
-- 어떤 공격 유형이 포함되는가 (초기 침입, lateral movement 등)
-- 특징적인 TTP 조합이 의미하는 위협 유형
-- 관련 랜섬웨어 그룹 사례 예시가 있다면
+    이 클러스터의 위협 행위 특성과 관련 랜섬웨어 그룹의 공격 전략을 기반으로 다음을 요약해 주세요:
+    - 어떤 공격 유형이 포함되는가 (초기 침입, lateral movement 등)
+    - 특징적인 TTP 조합이 의미하는 위협 유형
+    - 관련 랜섬웨어 그룹 사례 예시가 있다면
 
-요약으로 제시해 주세요.
-"""
+    요약으로 제시해 주세요.
+        """
 
 
-def prompt_text(key: Column, description: Column) -> Column:
-    return F.format_string(PROMPT, key.cast("string"), description)
+def prompt_text(key: Column, description: Column, template: str = PROMPT) -> Column:
+    """``template`` with the key and the description in its two places."""
+    return F.format_string(template, key.cast("string"), description)
 
 
 def technique_catalogue(techniques: DataFrame) -> DataFrame:

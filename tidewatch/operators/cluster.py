@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -11,10 +10,11 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import blocks
+from tidewatch.session import written
 
 # Seed, largest k and fall-back k of the sweep (fixed values).
 SEED = 42
@@ -25,35 +25,58 @@ DEFAULT_K = 2
 FITS_AT_ONCE = 4
 
 
-def standardize(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Long form ``key, technique_id, z``: zero mean, unit population variance per column.
-
-    A constant column keeps scale 1, so its values are 0.
-    """
-    long = wide.unpivot([key], list(columns), "technique_id", "count")
-    stats = long.groupBy("technique_id").agg(
-        F.avg("count").alias("_mean"), F.stddev_pop("count").alias("_std")
-    )
-    scale = F.when(F.col("_std") == 0, 1.0).otherwise(F.col("_std"))
-    return long.join(stats, "technique_id").select(
-        key, "technique_id", ((F.col("count") - F.col("_mean")) / scale).alias("z")
+def _scales(counts: DataFrame, keys: int) -> DataFrame:
+    """``technique_id, mean, scale`` over all ``keys`` keys, absent counts as 0; a constant has scale 1."""
+    stats = counts.groupBy("technique_id").agg(
+        F.sum("count").alias("_sum"),
+        F.sum(F.col("count").cast("double") * F.col("count")).alias("_squares"),
+        F.count("*").alias("_present"),
+        F.min("count").alias("_least"),
+        F.max("count").alias("_most"),
     )
+    mean = F.col("_sum") / keys
+    constant = (F.col("_present") == keys) & (F.col("_least") == F.col("_most"))
+    scale = F.when(constant, 1.0).otherwise(F.sqrt(F.col("_squares") / keys - mean * mean))
+    return stats.select("technique_id", mean.alias("mean"), scale.alias("scale"))
 
 
-def scaled_vectors(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``key, vector`` (``array<double>``) of the standardized matrix, one row per key.
+def standardize(counts: DataFrame, key: str) -> DataFrame:
+    """``key, technique_id, z`` of every pair: zero mean, unit population variance per technique.
 
-    Means and deviations are two numbers per column, as many as the pivot's checked width.
+    ``counts`` are the positive counts (key, technique_id, count). A constant column keeps scale 1,
+    so its values are 0. The keys, which name the rows of the matrix, are listed by the driver.
     """
-    stats = wide.agg(
-        *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)],
-    ).first()
+    names = [row[0] for row in counts.select(key).distinct().collect()]
+    scales = _scales(counts, len(names))
+    kind = counts.schema[key].dataType
+    grid = scales.withColumn(key, F.explode(F.array(*[F.lit(n).cast(kind) for n in names])))
+    count = F.coalesce("count", F.lit(0))
+    return grid.join(counts.select(key, "technique_id", "count"), [key, "technique_id"], "left").select(
+        key, "technique_id", ((count - F.col("mean")) / F.col("scale")).alias("z")
+    )
 
-    def z(i: int, name: str) -> Column:
-        return (F.col(f"`{name}`") - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0)
 
-    return wide.select(key, F.array(*[z(i, c) for i, c in enumerate(columns)]).alias("vector"))
+def scaled_vectors(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``key, vector`` of the scaled matrix, one row per key, and the number of techniques.
+
+    Counts are divided by their technique's deviation but not centred: distances, clusters and
+    principal components do not change with the origin, and absent pairs stay 0.
+    """
+    order = Window.orderBy("technique_id")
+    # One row per technique, numbered in one task.
+    scales = _scales(counts, counts.select(key).distinct().count()).withColumn(
+        "_at", F.row_number().over(order) - 1
+    )
+    scales = written(scales)
+    dims = scales.count()
+    found = (
+        counts.join(scales, "technique_id")
+        .groupBy(key)
+        .agg(F.map_from_entries(F.collect_list(F.struct("_at", F.col("count") / F.col("scale")))).alias("_row"))
+    )
+    places = F.sequence(F.lit(0), F.lit(max(dims, 1) - 1))
+    vector = F.transform(places, lambda i: F.coalesce(F.try_element_at("_row", i), F.lit(0.0)))
+    return found.select(key, vector.alias("vector")), dims
 
 
 def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

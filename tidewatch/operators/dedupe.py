@@ -82,3 +82,18 @@ def refresh_holdout(new: DataFrame, train: DataFrame, holdout: DataFrame) -> Dat
         new = new.withColumnRenamed("extracted_url", "url")
     fresh = without_known(new, train)
     return merge_keep_first(holdout, [fresh])
+
+
+def holdout_counts(new: DataFrame, train: DataFrame, holdout: DataFrame, key: str = "url") -> DataFrame:
+    """Run counters of the hold-out job: new rows left after the training table, rows before and after dedupe."""
+    if "extracted_url" in new.columns:
+        new = new.withColumnRenamed("extracted_url", key)
+    both = without_known(new, train, key).select(key, F.lit(1).alias("_new")).unionByName(
+        holdout.select(key, F.lit(0).alias("_new"))
+    )
+    per_key = both.groupBy(key).agg(F.count("*").alias("n"), F.sum("_new").alias("new"))
+    return per_key.agg(
+        F.coalesce(F.sum("new"), F.lit(0)).alias("left_rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("merged_rows"),
+        F.count("*").alias("final_rows"),
+    )

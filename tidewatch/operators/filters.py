@@ -7,9 +7,12 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions import text
+
 # Columns that show a host was enriched before (fixed values).
 ENRICHED_BY = ("asn", "product", "vulns", "ssl_fingerprint")
 
+# Four groups of digits (fixed value).
 _IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 
 
@@ -19,7 +22,7 @@ def is_ipv4(address: Column) -> Column:
 
 def is_missing(value: Column) -> Column:
     """Null, blank, or the text ``nan``."""
-    return value.isNull() | F.trim(value).isin("") | (F.lower(value) == "nan")
+    return text.is_blank(value) | (F.lower(value) == "nan")
 
 
 def needs_enrichment(address: str = "ip_address") -> Column:

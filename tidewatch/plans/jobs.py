@@ -204,13 +204,9 @@ class ClusterProfile:
     catalogue: DataFrame
 
 
-def technique_matrix(
-    pairs: DataFrame, hosts: DataFrame, cves: DataFrame
-) -> tuple[DataFrame, list[str]]:
-    """The written group x technique matrix with zero fill, and its technique columns."""
-    counts = written(aggregates.key_technique_counts(pairs, hosts, cves))
-    columns = aggregates.pivot_values(counts, "technique_id")
-    return written(aggregates.pivot_counts(counts, "group", columns)), columns
+def technique_matrix(pairs: DataFrame, hosts: DataFrame, cves: DataFrame) -> DataFrame:
+    """The written group x technique counts, in long form: a pair without a row is 0."""
+    return written(aggregates.key_technique_counts(pairs, hosts, cves))
 
 
 def cluster_profile(
@@ -224,9 +220,9 @@ def cluster_profile(
     known = aggregates.usable_techniques(techniques)
     usable = aggregates.usable_cves(cves)
     placed = hosts.dropna(subset=["latitude", "longitude"])
-    matrix, columns = technique_matrix(pairs, placed, usable)
-    vectors = written(cluster.scaled_vectors(matrix, "group", columns))
-    sweep = cluster.sweep_k(vectors, "group", vectors.count(), len(columns))
+    scaled, dims = cluster.scaled_vectors(technique_matrix(pairs, placed, usable), "group")
+    vectors = written(scaled)
+    sweep = cluster.sweep_k(vectors, "group", vectors.count(), dims)
     labels = written(cluster.assign(vectors, "group", sweep.model))
     members = placed.select("host_id", "group").join(labels, "group", "left")
     if selected is not None:

@@ -78,5 +78,5 @@ def write_search_documents(docs: DataFrame, path: str) -> None:
 
 
 def retain(table: DataFrame, as_of: date | str, column: str = "date") -> DataFrame:
-    """Rows whose date text, in either directory notation, is ``as_of``."""
-    return table.filter(dates.parse_date(F.col(column)) == F.lit(str(as_of)).cast("date"))
+    """Rows whose date text, in any notation that is written, is ``as_of``."""
+    return table.filter(dates.stored_day(F.col(column)) == F.lit(str(as_of)).cast("date"))
