@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import schemas
+from tidewatch.functions import text
 from tidewatch.operators import cards, crawl
 from tidewatch.plans import jobs
 
@@ -54,8 +55,9 @@ def test_listing_pages(spark):
 
 
 def test_category_links(spark):
-    menu = ('<a class="m" href="https://www.boannews.com/media/list.asp?a=1&amp;b=2">A</a><a href=\'https://x.com/media/\'>x</a>'
-            '<A HREF="https://www.boannews.com/search/list.asp">S</A>')
+    menu = ('<a href="https://www.boannews.com/media/view.asp?idx=9">article</a><ul class="m" id="main_menu_hash"><ul><li></ul>'
+            '<a class="m" href="https://www.boannews.com/media/list.asp?a=1&amp;b=2">A</a><a href=\'https://x.com/media/\'>x</a>'
+            '<A HREF="/search/list.asp">S</A></ul><a href="/media/x.asp">after</a>')
     df = spark.createDataFrame([(menu,)], "html string")
     assert df.select(crawl.category_links(F.col("html"))).first()[0] == [
         "https://www.boannews.com/media/list.asp?a=1&b=2", "https://www.boannews.com/search/list.asp",
@@ -71,7 +73,7 @@ LISTINGS = {
       <h2 class="zox-s-title2">One &amp; only</h2><meta itemprop="dateModified" content="2025-06-03"><p class="zox-s-graph">Sum  one</p></article>
       <article class="zox-art-wrap"><a rel="bookmark" href="https://sw/2"></a><h2 class="zox-s-title2">Old</h2><meta content="2025-06-02" itemprop="dateModified"/></article>""",
     "gbhackers": "".join(
-        f'<div class="td_module_10 td"><h3 class="entry-title td"><a href="https://gb/{i}">G{i}</a></h3></div>' for i in range(1, 8)
+        f'<div class="td_module_10 td td-module-container"><h3 class="entry-title td"><a href="https://gb/{i}">G{i}</a></h3></div>' for i in range(1, 8)
     ),
     "security_affairs": """<div class="banner-content"><p class="date">June 03, 2025</p><h1><a href="https://sa/1">Banner</a></h1></div>
       <div class="sngl-article"><h6><a href="https://sa/2">Single</a></h6><div class="post-time"><span>June 02, 2025</span></div></div>
@@ -185,3 +187,38 @@ def test_numbers_run_over_pages(spark, sizes):
     assert got == [
         ("c", 1, 1, 1), ("c", 1, 3, 2), ("c", 1, 4, 3), ("c", 2, 1, 4), ("c", 5, 2, 5), ("c", 5, 9, 6), ("d", 2, 5, 1), ("d", 3, 1, 2),
     ]
+
+
+def test_element_ends_at_its_own_tag(spark):
+    pages = [
+        '<div id="a">one<div>two</div>three<p>four</p></div>five', '<DIV ID="a"><divider></divider>x</DIV>y',
+        '<div id="a">open <div>inner</div> to the end', "<p>none</p>", None, '<div id="a"></div>',
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    found = df.orderBy("i").select(text.element(F.col("html"), r'(?i)<div\b[^>]*id="a"[^>]*>', "div")).collect()
+    assert [r[0] for r in found] == [
+        "one<div>two</div>three<p>four</p>", "<divider></divider>x", "open <div>inner</div> to the end", None, None, "",
+    ]
+
+
+def test_images_by_site(spark):
+    tags = '<img src="https://a/1.jpg" data-src="https://a/2.svg"><img src="https://a/3.svg">'
+    df = spark.createDataFrame([(tags,)], "html string")
+    row = df.select(
+        cards.image_links(F.col("html"), True, True), cards.image_links(F.col("html"), False, False)
+    ).first()
+    assert row[0] == ["https://a/2.svg", "https://a/3.svg"] and row[1] == ["https://a/1.jpg"]
+
+
+def test_repeated_article_pages_count_once(spark):
+    listing = spark.createDataFrame(
+        [("boannews", "main", 0, 1, LISTINGS["boannews"])],
+        "site string, category string, category_rank int, page int, html string",
+    )
+    url = "https://www.boannews.com/media/view.asp?idx=1&k=2"
+    pages = spark.createDataFrame(
+        [("boannews", url, f'<div id="news_content">copy {n}</div>', n) for n in (1, 3, 2)],
+        "site string, url string, html string, saved int",
+    )
+    (got,) = jobs.select_articles(listing, pages, DAY, newest_by="saved").collect()
+    assert got.body == "copy 3"

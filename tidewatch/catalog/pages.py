@@ -143,7 +143,7 @@ MENU_RULE = cards.SiteRule(
     url=r'<a href="([^"]*)"',
     base="http://menu",
     body_start=r"<article>",
-    body_end=r"</article>|$",
+    body_tag="article",
     paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
     labels=("date",),
 )
@@ -177,11 +177,18 @@ WITH links AS (
   SELECT page_id, unnest(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1),
     lambda u: contains(u, '/th') OR contains(u, '/an'))) AS link FROM pages
 )
-SELECT page_id, link, count(*) AS n FROM links GROUP BY page_id, link
+SELECT page_id, CASE WHEN starts_with(link, '/') THEN 'http://menu' ELSE '' END || link AS link, count(*) AS n
+FROM links GROUP BY page_id, link
 """
 )
 def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = crawl.category_links(F.col("html"), ("/th", "/an"))
+    """Each page stands inside a menu with blocks of its own, between links that are not in the menu."""
+    framed = F.concat(
+        F.lit('<a href="/the">out</a><div id="main_menu_hash"><div class="row"></div><div>'),
+        F.col("html"),
+        F.lit('</div></div><div><a href="/and">out</a></div>'),
+    )
+    links = crawl.category_links(framed, ("/th", "/an"), "http://menu")
     return (
         table(spark, sf_dir, "pages")
         .select("page_id", F.explode(links).alias("link"))
@@ -236,7 +243,7 @@ NEWS_RULE = cards.SiteRule(
     date=r"<i>([^<]*)</i>",
     url_prefix="http",
     body_start=r"<article>",
-    body_end=r"</article>|$",
+    body_tag="article",
     paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
     labels=("date",),
     category_in_name=True,
@@ -249,7 +256,7 @@ NEWS_RULE = cards.SiteRule(
 WITH first AS (
   SELECT *, {sql_inner("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title,
     page_id % 3 AS category_rank FROM pages
-  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1
 ), b AS (
   SELECT page_id, 'c' || category_rank AS category, title, url, {BODY_SQL} AS body FROM first
   WHERE page_id % 2 = 0 AND title <> ''
@@ -265,8 +272,9 @@ FROM n
 """
 )
 def selected_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page is listed once as an article, half of them today, half the day before."""
-    pages = dedupe.keep_first(table(spark, sf_dir, "pages"), ["url"], [F.col("page_id")])
+    """Each url is listed once, half of them today; of its saved copies the newest is read."""
+    saved = table(spark, sf_dir, "pages")
+    pages = dedupe.keep_first(saved, ["url"], [F.desc("page_id")])
     day = F.when(F.col("page_id") % 2 == 0, AS_OF).otherwise("2024-02-29")
     card = F.concat(
         F.lit('<ul><li><a href="'), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit('">'),
@@ -281,11 +289,67 @@ def selected_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("page"),
         card.alias("html"),
     )
-    articles = pages.select(F.lit("news").alias("site"), "url", "html")
-    chosen = jobs.select_articles(listing, articles, AS_OF, [NEWS_RULE])
+    # A copy saved before has another text, so taking it would show.
+    older = saved.select("url", F.concat(F.lit("<article><p>old</p></article>"), "html").alias("html"), F.lit(-1).alias("page_id"))
+    every = saved.select("url", "html", "page_id").unionByName(older)
+    articles = every.select(F.lit("news").alias("site"), "url", "html", "page_id")
+    chosen = jobs.select_articles(listing, articles, AS_OF, [NEWS_RULE], newest_by="page_id")
     return chosen.select(
         F.col("page").alias("page_id"),
         F.col("seq").cast("long").alias("seq"),
         F.md5("text").alias("text_md5"),
         "path",
     )
+
+
+@query(
+    """
+SELECT page_id, 'first' || chr(10) || 'cap ' || page_id || chr(10) || 'second' || chr(10) || 'third' AS body FROM pages
+"""
+)
+def nested_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with blocks inside, each in front of its page, whose text must stay out."""
+    key = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit('<div>before</div><div class="x" id="news_content">first<div>cap '), key,
+        F.lit("</div>second<p>third</p></div><div>RELATED POSTS</div>"), F.col("html"),
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("boannews").alias("site"), html.alias("html"))
+    return cards.article_bodies(pages).select("page_id", "body")
+
+
+@query(
+    """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS position, 'Title ' || page_id AS title,
+  'https://gb/' || page_id AS url, '1998-03-01' AS shown
+FROM pages
+UNION ALL
+SELECT page_id, 1, 'News ' || page_id, 'https://www.boannews.com/media/view.asp?idx=' || page_id, '1998-03-01' FROM pages
+"""
+)
+def site_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of two sites built around all pages: two kinds of blocks, and two dates in a card."""
+    key = F.col("page_id").cast("string")
+    main = F.col("page_id") % 2 == 0
+    link = F.concat(F.lit('<h3 class="entry-title"><a href="https://gb/'), key, F.lit('">Title '), key, F.lit("</a></h3></div>"))
+    other = F.lit('<h3 class="entry-title"><a href="https://gb/x">Other</a></h3></div>')
+    ten, container = F.lit('<div class="td_module_10 a">'), F.lit('<div class="td-module-container b">')
+    # The main page shows both kinds; a card without a title does not count.
+    gb = F.when(main, F.concat(container, other, ten, F.lit("</div>"), ten, link, F.col("html"))).otherwise(
+        F.concat(ten, other, container, other, container, link, F.col("html"))
+    )
+    boan = F.concat(
+        F.lit('<div class="news_list"><a href="/media/view.asp?idx='), key, F.lit('"><span class="news_txt">News '), key,
+        F.lit('</span></a><p class="news_content">2024년 1월 2일 events</p><span class="news_writer">Kim | 1998년 03월 01일</span></div>'),
+        F.col("html"),
+    )
+    pages = table(spark, sf_dir, "pages")
+    category = F.when(main, "main").otherwise("apt")
+    listing = pages.select("page_id", F.lit("gbhackers").alias("site"), category.alias("category"), gb.alias("html")).unionByName(
+        pages.select("page_id", F.lit("boannews").alias("site"), F.lit("main").alias("category"), boan.alias("html"))
+    )
+    found = cards.extract_cards(listing).filter(F.col("url") != "https://gb/x")
+    return found.select(
+        "page_id", "position", "title", "url",
+        F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("1998-03-01")).alias("shown"),
+    )

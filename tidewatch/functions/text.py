@@ -102,13 +102,15 @@ def inner_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(visible_text(html), r"(?U)\s+", " "))
 
 
-_BLOCK_END = r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|tr|table|blockquote|section|article|h[1-6])\s*>"
+_BLOCK_EDGES = r"(?i)(?:\s*</?(?:p|div|li|ul|ol|tr|table|blockquote|section|article|h[1-6])(?=[\s>/])[^>]*>\s*)++"
+_LINE_BREAK = r"(?i)\s*<br\s*/?>\s*"
 
 
 def block_text(html: Column) -> Column:
-    """Visible text of a fragment with a line end after each block, as a browser shows it."""
+    """Visible text of a fragment with a line end before and after each block, as a browser shows it."""
     flat = F.regexp_replace(html, r"\s+", " ")
-    lines = visible_text(F.regexp_replace(flat, _BLOCK_END, "\n"))
+    edged = F.regexp_replace(F.regexp_replace(flat, _BLOCK_EDGES, "\n"), _LINE_BREAK, "\n")
+    lines = visible_text(edged)
     tidy = F.regexp_replace(F.regexp_replace(lines, r"[ \xa0]+", " "), r" ?\n ?", "\n")
     return trim_blank(F.regexp_replace(tidy, r"\n{3,}", "\n\n"))
 
@@ -141,6 +143,46 @@ def url_tokens(text: Column) -> Column:
     return F.coalesce(jvm_urls(text, long_run), python_urls(F.when(long_run, text)))
 
 
+def element(html: Column, start: str, tag: str) -> Column:
+    """Content of the first ``tag`` element whose start tag matches ``start``; null if there is none.
+
+    The element ends where its own end tag stands, found by counting the tags of its
+    name inside; without one it reaches to the end.
+    """
+    after = F.try_element_at(F.split(html, start, 2), F.lit(2))
+    own = rf"(?is)</?{tag}(?=[\s>/])[^>]*>"
+    cut = F.struct(
+        F.split(after, own, -1).alias("between"),
+        F.regexp_extract_all(after, F.lit(own), F.lit(0)).alias("tags"),
+    )
+
+    def inside(found: Column) -> Column:
+        count = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("tags"))
+
+        def step(state: Column, tag_: Column) -> Column:
+            depth = state["depth"] + F.when(tag_.startswith("</"), -1).otherwise(1)
+            on = F.struct(depth.alias("depth"), (state["tags"] + 1).alias("tags"))
+            return F.when(state["depth"] == 0, state).otherwise(on)
+
+        end = F.aggregate(found["tags"], count, step)
+        # Of n tags the last is the element's own end; without one all belong to it.
+        kept = F.when(end["depth"] == 0, end["tags"] - 1).otherwise(end["tags"])
+        return F.transform(
+            F.array(kept),
+            lambda n: F.array_join(
+                F.zip_with(
+                    F.slice(found["between"], F.lit(1), n + 1),
+                    F.slice(found["tags"], F.lit(1), n),
+                    lambda text, t: F.concat(text, F.coalesce(t, F.lit(""))),
+                ),
+                "",
+            ),
+        )[0]
+
+    # The one-element array binds the pieces, so the page is cut once.
+    return F.when(after.isNotNull(), F.transform(F.array(cut), inside)[0])
+
+
 def keep_url(url: Column) -> Column:
     """A dot, seven characters or more, and no onion address."""
     return F.contains(url, F.lit(".")) & (F.length(url) >= 7) & ~F.contains(url, F.lit(".onion"))

@@ -1,8 +1,8 @@
 """Article cards and bodies from saved listing and article pages, by per-site rules.
 
 A rule is data: where a card starts and a pattern for each field. A card's
-fragment runs from its start tag to the next one, so nested blocks need no
-balancing. Patterns become literals of one CASE expression, hence one scan of
+fragment runs from its start tag to the next one; an article's body is an
+element, which ends at its own end tag. Patterns become literals of one CASE expression, hence one scan of
 the pages serves every site and each pattern is compiled once.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, text
-from tidewatch.operators import crawl, filters
+from tidewatch.operators import crawl, dedupe, filters
 from tidewatch.session import written
 
 NOTHING = r"(?!)"
@@ -24,13 +24,21 @@ NOTHING = r"(?!)"
 
 @dataclass(frozen=True)
 class SiteRule:
-    """Patterns use one group for the value; a card starts where ``start`` matches."""
+    """Patterns use one group for the value; a card starts where ``start`` matches.
+
+    ``main_start`` stands in for ``start`` on the main listing. Where ``date_element`` matches, the date
+    is read from there on only, else from the whole card. With ``count_titled`` only cards with a
+    title and an address count as positions.
+    """
 
     site: str
     start: str
     title: str
     url: str
+    main_start: str | None = None
+    count_titled: bool = False
     date: str = NOTHING
+    date_element: str = NOTHING
     date_kind: str = "iso"
     summary: str = NOTHING
     image: str = NOTHING
@@ -39,12 +47,16 @@ class SiteRule:
     max_cards: int | None = None
     main_max_cards: int | None = None
     main_exempt_from_date: bool = False
-    # Article page: the body starts here and ends there; empty ``paragraph`` takes its whole text.
+    # Article page: the body is the element of this tag that starts here; empty ``paragraph`` takes
+    # its whole text.
     body_start: str = NOTHING
-    body_end: str = r"</body>|$"
+    body_tag: str = "div"
     paragraph: str = ""
     article_date: str = NOTHING
+    # Images of the body; whether ``data-src`` goes before ``src``, and svg files count.
     images_in_body: bool = False
+    lazy_images: bool = True
+    vector_images: bool = False
     no_body: str | None = "(본문 없음)"
     once_per_url: bool = False
     # Stored article: labelled lines, folder date notation, and what the folder name starts with.
@@ -77,11 +89,11 @@ SITE_RULES = (
         title=r"""(?is)<(?:span|div|a|p)\b[^>]*?\bclass\s*=\s*["'](?=[^"']*\bnews_(?:txt|main_title)\b)[^"']*["'][^>]*>(.*?)</(?:span|div|a|p)\s*>""",
         url=r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*/media/view\.asp[^"']*)["']""",
         date=r"(\d{4}년\s*\d{1,2}월\s*\d{1,2}일)",
+        date_element=r"""(?i)<([a-z0-9]+)\b[^>]*?\bclass\s*=\s*["'][^"']*?\bnews_writer\b[^"']*["'][^>]*>""",
         date_kind="korean",
         summary=r"""(?is)<(?:span|div|a|p)\b[^>]*?\bclass\s*=\s*["'](?=[^"']*\bnews_(?:content|main_txt)\b)[^"']*["'][^>]*>(.*?)</(?:span|div|a|p)\s*>""",
         base="https://www.boannews.com",
-        body_start=r"""(?i)<[a-z]+\b[^>]*?\bid\s*=\s*["']news_content["'][^>]*>""",
-        body_end=r"(?i)</div\s*>|$",
+        body_start=r"""(?i)<div\b[^>]*?\bid\s*=\s*["']news_content["'][^>]*>""",
     ),
     SiteRule(
         site="securityweek",
@@ -92,21 +104,22 @@ SITE_RULES = (
         summary=inside("p", "zox-s-graph"),
         image=r"(?is)\bimg-ratio\b.*?" + _SRC,
         body_start=start_of("div", "zox-post-body"),
-        body_end=r"(?i)</article\s*>|$",
         paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
     ),
     SiteRule(
         site="gbhackers",
-        start=start_of("div", r"(?:td_module_10|td-module-container)"),
+        start=start_of("div", "td-module-container"),
+        main_start=start_of("div", "td_module_10"),
+        count_titled=True,
         title=r"(?is)\bentry-title\b[^>]*>\s*<a\b[^>]*>(.*?)</a\s*>",
         url=r"""(?is)\bentry-title\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
         max_cards=3,
         main_max_cards=5,
         main_exempt_from_date=True,
         body_start=start_of("div", "td-post-content"),
-        body_end=r"(?i)<footer\b|</article\s*>|$",
         article_date=inside("time", "entry-date"),
         images_in_body=True,
+        vector_images=True,
         no_body="(본문을 찾을 수 없음)",
         once_per_url=True,
         labels=(),
@@ -118,11 +131,12 @@ SITE_RULES = (
         start=start_of("div", r"(?:banner-content|sngl-article|news-card-cont)"),
         title=r"(?is)<h[156]\b[^>]*>\s*<a\b[^>]*>(.*?)</a\s*>",
         url=r"""(?is)<h[156]\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
+        date_element=r"""(?i)<(p|div|span)\b[^>]*?\bclass\s*=\s*["'](?=[^"']*(?:\bdate\b|\bpost-time\b))[^"']*["'][^>]*>""",
         date=r"((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{2}, \d{4})",
         date_kind="display",
         body_start=start_of("div", "article-details-block"),
-        body_end=r"(?i)<footer\b|</article\s*>|$",
         images_in_body=True,
+        lazy_images=False,
         labels=(),
         folder_date="MMMM dd, yyyy",
         category_in_name=True,
@@ -136,7 +150,6 @@ SITE_RULES = (
         max_cards=4,
         main_max_cards=4,
         body_start=start_of("div", "articlebody"),
-        body_end=r"(?i)<footer\b|</article\s*>|$",
         paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
         article_date=r"(?is)\bpostmeta\b.*?" + inside("span", "author"),
         no_body=None,
@@ -146,15 +159,15 @@ SITE_RULES = (
     ),
     SiteRule(
         site="bleeping_computer",
-        start=r"(?i)(?=<h4\b)",
+        start=r"(?i)<li\b(?![^>]*\bbc_)[^>]*>",
         title=r"(?is)<h4\b[^>]*>\s*<a\b[^>]*>(.*?)</a\s*>",
         url=r"""(?is)<h4\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
         date=inside("li", "bc_news_date"),
         date_kind="display",
         summary=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
+        image=r"(?is)\bbc_latest_news_img\b.*?" + _SRC,
         url_prefix="https://www.bleepingcomputer.com/news/security/",
         body_start=start_of("div", "articleBody"),
-        body_end=r"(?i)<footer\b|</article\s*>|$",
         paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
         no_body="",
         folder_date="MMM dd, yyyy",
@@ -183,6 +196,31 @@ def _date(found: Column, kind: str) -> Column:
     return F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd")
 
 
+def _card_date(card: Column, rule: SiteRule) -> Column:
+    """Date of a card: from its date element on where it has one, else from anywhere in it."""
+    place = card
+    if rule.date_element != NOTHING:
+        after = F.try_element_at(F.split(card, rule.date_element, 2), F.lit(2))
+        if rule.date_kind == "korean":
+            # The writer's own line alone counts; without a date in it the card has none.
+            after = F.substring_index(after, "</", 1)
+        place = F.coalesce(after, card)
+    return _date(_found(place, rule.date), rule.date_kind)
+
+
+def _fragments(rule: SiteRule) -> Column:
+    """Cards of a listing page, in order; those without a title or an address are left out if they do not count."""
+    # The text before the first start tag is no card.
+    found = F.split("html", rule.start)
+    if rule.main_start:
+        main = F.coalesce(F.col("category") == "main", F.lit(True))
+        found = F.when(main, F.split("html", rule.main_start)).otherwise(found)
+    found = F.filter(found, lambda _, i: i > 0)
+    if not rule.count_titled:
+        return found
+    return F.filter(found, lambda c: (_found(c, rule.title) != "") & (_found(c, rule.url) != ""))
+
+
 def absolute(url: Column, base: str) -> Column:
     """Address with the site's base in front of a root-relative path."""
     return F.when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url)
@@ -194,21 +232,19 @@ def extract_cards(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> D
     Adds ``position, title, url, date, summary, image``; cards without a title or
     an address are dropped, positions still count them.
     """
-    # The text before the first start tag is no card; positions count from it.
-    fragments = per_site(rules, lambda r: F.split("html", r.start))
     cards = pages.select(
         *[c for c in pages.columns if c != "html"],
-        F.posexplode(fragments).alias("_at", "_card"),
-    ).filter(F.col("_at") > 0)
+        F.posexplode(per_site(rules, _fragments)).alias("_at", "_card"),
+    )
     card = F.col("_card")
     fields = cards.select(
         *[c for c in cards.columns if c not in ("_at", "_card")],
-        F.col("_at").alias("position"),
+        (F.col("_at") + 1).alias("position"),
         per_site(rules, lambda r: text.inner_text(_found(card, r.title))).alias("title"),
         per_site(
             rules, lambda r: absolute(F.trim(text.unescape(_found(card, r.url))), r.base)
         ).alias("url"),
-        per_site(rules, lambda r: _date(_found(card, r.date), r.date_kind)).alias("date"),
+        per_site(rules, lambda r: _card_date(card, r)).alias("date"),
         per_site(rules, lambda r: text.inner_text(_found(card, r.summary))).alias("summary"),
         per_site(rules, lambda r: _found(card, r.image)).alias("image"),
     )
@@ -219,9 +255,10 @@ def extract_cards(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> D
 
 
 def body_fragment(html: Column, rule: SiteRule) -> Column:
-    """The article body's markup: from the body start to its end; null when there is no start."""
-    after = F.try_element_at(F.split(html, rule.body_start, 2), F.lit(2))
-    return F.split(after, rule.body_end, 2)[0]
+    """The content of the article's body element; null when there is none."""
+    if rule.body_start == NOTHING:
+        return F.lit(None).cast("string")
+    return text.element(html, rule.body_start, rule.body_tag)
 
 
 def body_text(html: Column, rule: SiteRule) -> Column:
@@ -245,33 +282,39 @@ def article_bodies(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) ->
     return found.withColumn("body", F.coalesce(F.nullif("_body", F.lit("")), empty)).drop("_body")
 
 
-def image_links(html: Column) -> Column:
-    """Image addresses of a fragment: ``data-src`` before ``src``, http only, no svg."""
+def image_links(html: Column, lazy: bool = True, vectors: bool = False) -> Column:
+    """Image addresses of a fragment, http only: ``data-src`` first if ``lazy``, svg files if ``vectors``."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
 
     def link(tag: Column) -> Column:
-        lazy = F.regexp_extract(tag, r"""(?is)\bdata-src\s*=\s*["']([^"']+)["']""", 1)
+        found = F.regexp_extract(tag, r"""(?is)\bdata-src\s*=\s*["']([^"']+)["']""", 1)
         plain = F.regexp_extract(tag, r"""(?is)(?<![\w-])src\s*=\s*["']([^"']+)["']""", 1)
-        return F.coalesce(F.nullif(lazy, F.lit("")), plain)
+        return F.coalesce(F.nullif(found, F.lit("")), plain) if lazy else plain
 
-    return F.filter(
-        F.transform(tags, link), lambda x: x.startswith("http") & ~x.endswith(".svg")
-    )
+    def usable(address: Column) -> Column:
+        return address.startswith("http") & (F.lit(vectors) | ~address.endswith(".svg"))
+
+    return F.filter(F.transform(tags, link), usable)
 
 
 def read_articles(
-    cards: DataFrame, article_pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES
+    cards: DataFrame,
+    article_pages: DataFrame,
+    rules: Sequence[SiteRule] = SITE_RULES,
+    newest_by: str | None = None,
 ) -> DataFrame:
     """Cards joined to their article pages ``(url, html)``: body, date and image links.
 
     The page's own date stands in where the listing shows none. Fields are cut
     out of the page before the join, so its markup is not shuffled; every site's
-    patterns apply only to that site's cards through the address's own row.
+    patterns apply only to that site's cards through the address's own row. Of several
+    saved copies of a page the one with the largest ``newest_by`` counts.
     """
-    pages = article_pages.select("site", "url", "html")
+    order = F.col(newest_by) if newest_by else F.lit(0)
+    pages = article_pages.select("site", "url", "html", order.alias("_order"))
     images = per_site(
         rules,
-        lambda r: image_links(body_fragment(F.col("html"), r))
+        lambda r: image_links(body_fragment(F.col("html"), r), r.lazy_images, r.vector_images)
         if r.images_in_body
         else F.array().cast("array<string>"),
     )
@@ -287,8 +330,11 @@ def read_articles(
         ),
         rules,
     )
+    one = dedupe.keep_first(
+        parsed, ["site", "url"], [F.desc_nulls_last("_order"), F.col("body"), F.col("images")]
+    ).drop("_order")
     return (
-        cards.join(parsed, ["site", "url"])
+        cards.join(one, ["site", "url"])
         .withColumn("date", F.coalesce("date", "_shown"))
         .drop("_shown")
         .filter(F.col("body").isNotNull())
@@ -300,11 +346,12 @@ def select_articles(
     article_pages: DataFrame,
     as_of: date | str,
     rules: Sequence[SiteRule] = SITE_RULES,
+    newest_by: str | None = None,
 ) -> DataFrame:
     """Today's articles of every site, numbered per listing, with their text and path.
 
     ``listing_pages`` holds ``site, category, category_rank, page, html`` and
-    ``article_pages`` holds ``site, url, html``.
+    ``article_pages`` holds ``site, url, html`` and may hold a column to tell the newest copy by.
     """
     listing_pages = listing_pages.fillna("main", subset=["category"])
     is_main = F.col("category") == "main"
@@ -318,7 +365,7 @@ def select_articles(
     early = cards.filter(
         F.col("date").isNull() | exempt | filters.on_day(F.col("date"), as_of)
     )
-    today = read_articles(early, article_pages, rules).filter(
+    today = read_articles(early, article_pages, rules, newest_by).filter(
         exempt | filters.on_day(F.col("date"), as_of)
     )
     once = per_site(rules, lambda r: F.lit(r.once_per_url))

@@ -93,16 +93,37 @@ def listing_pages(listings: DataFrame, pages: int) -> DataFrame:
     )
 
 
+def _resolved(link: Column, base: str) -> Column:
+    """A link of a page at the site's root as an absolute address."""
+    scheme = base.split(":", 1)[0]
+    return (
+        F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.lit(scheme + ":"), link))
+        .when(link.startswith("/"), F.concat(F.lit(base), link))
+        .otherwise(F.concat(F.lit(base + "/"), link))
+    )
+
+
 # Path parts that mark a menu link as a category (fixed values).
 CATEGORY_PATHS = ("boannews.com/media/", "boannews.com/search/")
 
 _HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
 
-def category_links(html: Column, paths: Sequence[str] = CATEGORY_PATHS) -> Column:
-    """Menu addresses that contain one of ``paths``, in page order."""
+# The menu of the home page, by the tags it may be made of (fixed value).
+_MENU = r"""(?i)<{tag}\b[^>]*?\bid\s*=\s*["']main_menu_hash["'][^>]*>"""
+MENU_TAGS = ("div", "ul", "nav")
+
+
+def category_links(
+    html: Column, paths: Sequence[str] = CATEGORY_PATHS, base: str = "https://www.boannews.com"
+) -> Column:
+    """Addresses in the page's menu that contain one of ``paths``, made absolute, in page order."""
+    menu = F.coalesce(*[text.element(html, _MENU.format(tag=t), t) for t in MENU_TAGS])
+    found = F.coalesce(menu, F.lit(""))
     links = F.transform(
-        F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), lambda x: F.trim(text.unescape(x))
+        F.regexp_extract_all(found, F.lit(_HREF), F.lit(1)),
+        lambda x: _resolved(F.trim(text.unescape(x)), base),
     )
 
     def wanted(link: Column) -> Column:

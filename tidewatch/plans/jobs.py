@@ -289,8 +289,9 @@ def select_articles(
     article_pages: DataFrame,
     as_of: date | str,
     rules: Sequence[cards.SiteRule] = cards.SITE_RULES,
+    newest_by: str | None = None,
 ) -> DataFrame:
-    return cards.select_articles(listing_pages, article_pages, as_of, rules)
+    return cards.select_articles(listing_pages, article_pages, as_of, rules, newest_by)
 
 
 def refresh_holdout(new: DataFrame, train: DataFrame, holdout: DataFrame) -> DataFrame:
