@@ -126,8 +126,10 @@ def test_search_documents(spark, tmp_path):
 
 
 def test_retention(spark):
-    df = spark.createDataFrame([("June 3, 2025",), ("2025-06-03",), ("2025-06-02",), ("Jun 03, 2025",), (None,)], "date string")
-    assert sorted(r.date for r in sinks.retain(df, "2025-06-03").collect()) == ["2025-06-03", "June 3, 2025"]
+    df = spark.createDataFrame([("June 3, 2025",), ("2025-06-03",), ("2025-06-02",), ("Jun 03, 2025",), ("play_20250603_page2.html",), ("play_20250602_page2.html",), (None,)], "date string")
+    assert sorted(r.date for r in sinks.retain(df, "2025-06-03").collect()) == [
+        "2025-06-03", "Jun 03, 2025", "June 3, 2025", "play_20250603_page2.html",
+    ]
 
 
 def test_rendered_article_reads_back(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -96,26 +97,27 @@ def page_rows(files: DataFrame) -> DataFrame:
 
 
 def read_csv_folder(
-    spark: SparkSession, folder: str, schema: str = "", exclude: str = "shodan_data.csv"
+    spark: SparkSession,
+    folder: str,
+    schema: str = "",
+    exclude: str = "shodan_data.csv",
+    multi_line: bool = True,
 ) -> DataFrame:
     """Every CSV of ``folder`` but the base file, with ``file`` and ``ordinal`` giving row order.
 
     Columns are matched by header name: the result has the columns of all files, null
     where a file lacks one. ``schema`` gives the types of known columns; other ones are
-    text. Files with the same header are read together; damaged files are skipped.
+    text. Files with the same header are read together; damaged files are skipped. Without
+    ``multi_line`` values hold no line ends and large files are read by several tasks.
     """
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-    )
-    # The names of the files, never their content.
-    paths = [row.path for row in listing.orderBy("path").collect()]
+    headers = _headers(spark, folder).collect()
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        if not path.endswith("/" + exclude):
-            header = tuple(_csv(spark).csv(path).columns)
-            by_header.setdefault(header, []).append(path)
+    for row in sorted(headers):
+        if not row.file.endswith("/" + exclude):
+            names = next(csv.reader([row.header]), [])
+            by_header.setdefault(tuple(n.strip() for n in names), []).append(row.file)
     tables = [
-        _typed(_with_order(_csv(spark).schema(_text_columns(header)).csv(same)), schema)
+        _typed(_with_order(_csv(spark, multi_line).schema(_text_columns(header)).csv(same)), schema)
         for header, same in by_header.items()
         if header
     ]
@@ -125,15 +127,34 @@ def read_csv_folder(
     return dedupe.union_aligned(tables)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: str = "") -> DataFrame:
+def _headers(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, header``: the first line of every CSV file, found in one pass by the tasks.
+
+    Only the first line of a split leaves a task; the driver gets a line a file.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv")
+        .option("ignoreCorruptFiles", True)
+        .text(folder)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.monotonically_increasing_id().alias("at"), F.ltrim("value", F.lit("\ufeff")).alias("line")).alias("first"),
+        )
+    )
+    return lines.groupBy("file").agg(F.min("first").alias("first")).select("file", F.col("first.line").alias("header"))
+
+
+def read_csv_table(
+    spark: SparkSession, path: str, schema: str = "", multi_line: bool = True
+) -> DataFrame:
     """One CSV table with its row order in ``file`` and ``ordinal``."""
-    return _typed(_with_order(_csv(spark).csv(path)), schema)
+    return _typed(_with_order(_csv(spark, multi_line).csv(path)), schema)
 
 
-def _csv(spark: SparkSession) -> DataFrameReader:
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
     return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("ignoreCorruptFiles", True)
     )
