@@ -138,7 +138,7 @@ def matches(
     one row.
     """
     frequency = docs_index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item", "w").orderBy("n", "term", "place")
+    order = Window.partitionBy("item", "w").orderBy("n", "place")
     # A window whose words are not all in the index cannot occur, nor is it near if a rare one is missing.
     by_rarity = written(
         windows.distinct()

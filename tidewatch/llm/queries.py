@@ -19,6 +19,16 @@ def query(function):
     return function
 
 
+def checked(sql: str):
+    """Register a query with the SQL that must give the same rows."""
+
+    def add(function):
+        ORACLES[function.__name__] = sql.strip()
+        return query(function)
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +85,51 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(table(spark, sf_dir, "pages"))
 
 
-@query
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"""
+
+
+@checked(
+    f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item, ws[s : s + least(10, len(ws)) - 1] AS w
+  FROM (SELECT item, ws, unnest(generate_series(1, greatest(len(ws) - 10, 0) + 1)) AS s FROM i WHERE len(ws) > 0)
+), term AS (SELECT item, w, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM win),
+used AS (
+  SELECT * FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM d)
+  WHERE word IN (SELECT word FROM term)
+), freq AS (SELECT word, count(*) AS n FROM used GROUP BY word),
+ranked AS (
+  SELECT item, w, word, place, len(w) AS size,
+    row_number() OVER (PARTITION BY item, w ORDER BY coalesce(n, 0), place) AS rk
+  FROM term LEFT JOIN freq USING (word)
+), start AS (SELECT doc_id, item, w, pos - place AS s FROM ranked JOIN used USING (word) WHERE rk = 1),
+exact AS (
+  SELECT t.doc_id, t.item, t.s, r.size FROM start t JOIN ranked r ON r.item = t.item AND r.w = t.w
+  JOIN used u ON u.doc_id = t.doc_id AND u.word = r.word AND u.pos = t.s + r.place
+  WHERE t.s >= 0 GROUP BY t.doc_id, t.item, t.w, t.s, r.size HAVING count(*) = r.size
+), near AS (
+  SELECT DISTINCT doc_id, item FROM (
+    SELECT t.doc_id, t.item FROM start t JOIN ranked r ON r.item = t.item AND r.w = t.w AND r.rk <= 5 AND r.size > 5
+    JOIN used u ON u.doc_id = t.doc_id AND u.word = r.word AND abs(u.pos - r.place - t.s) <= 3
+    GROUP BY t.doc_id, t.item, t.w, t.s HAVING count(DISTINCT r.rk) = 5)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM exact)
+  GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, item FROM exact) GROUP BY doc_id
+), close AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, item FROM near EXCEPT SELECT doc_id, item FROM exact) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.list, '')) AS items_sha256,
+  coalesce(hits.n, 0) > 0 AS contaminated, CAST(coalesce(close.n, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)
+"""
+)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.coalesce(F.col("exact.item"), F.array().cast("array<string>"))))
@@ -87,11 +141,56 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.coalesce(F.size("near"), F.lit(0)).alias("n_near_items"),
+        F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near_items"),
     )
 
 
-@query
+def _spans_sql(place: int, rule: str, pattern: str, least: int = 0) -> str:
+    """Spans of one rule: a text is cut at the matches, so lengths give the places."""
+    kept = f"WHERE length(regexp_replace(m, '^{_ASSIGN_SQL}', '')) >= {least}" if least else ""
+    return f"""
+  SELECT doc_id, {place} AS place, '{rule}' AS rule, before + gap AS start, before + gap + length(m) AS stop
+  FROM (
+    SELECT doc_id, m, gap, sum(gap + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - gap - length(m) AS before
+    FROM (
+      SELECT doc_id, unnest(ms) AS m, unnest(list_transform(gaps[:len(ms)], lambda g: length(g))) AS gap,
+        generate_subscripts(ms, 1) AS k
+      FROM (
+        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps
+        FROM documents WHERE regexp_matches(text, '{pattern}'))
+    )
+  ) {kept}"""
+
+
+_ASSIGN_SQL = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+_RULES_SQL = [
+    ("assign", _ASSIGN_SQL + "[A-Za-z0-9+/_.=-]+", 6),
+    ("access", "AKIA[A-Z0-9]{16,}", 0),
+    ("hex", "[0-9a-f]{24,}", 0),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0),
+    ("code_host", "gh[pousr]_[A-Za-z0-9]{36,}", 0),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0),
+    ("url_login", r"://[^\s:/@]{1,256}:[^\s:/@]{1,256}@", 0),
+]
+
+
+@checked(
+    "WITH spans AS ("
+    + " UNION ALL ".join(_spans_sql(k, r, p, n) for k, (r, p, n) in enumerate(_RULES_SQL))
+    + """
+), listed AS (
+  SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access,
+    count(*) FILTER (WHERE place = 2) AS n_hex,
+    string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans,
+    string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+)
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.findings(table(spark, sf_dir, "documents"))
     count = {r: F.size(F.filter("findings", lambda f: f["rule"] == r)).cast("long") for r in secrets.BASE}
