@@ -1,8 +1,8 @@
 """Removal of repeated passages by winnowing over line hashes.
 
-A text is cut at line ends and after sentences. Of each two neighbouring hashes the smaller
-is a fingerprint, and every long line is one: so any repeated passage of the wanted length has
-a fingerprint in common with its earlier copy. Documents that share one are aligned there,
+A text is cut at line ends and after sentences. Pairs of neighbouring lines are hashed, and of each two
+neighbouring pairs the smaller is a fingerprint, as is every line or pair that is long enough alone: so
+any repeated passage of the wanted length has one. Documents that share one are aligned there,
 matches are extended both ways over all lines, and the later copy of a long enough run goes.
 All of it is DataFrame functions.
 """
@@ -90,24 +90,51 @@ def _repeats_inside(hashes: Column) -> Column:
 
 
 def _fingerprints(hashes: Column, words: Column, least_words: int) -> Column:
-    """Distinct hashes of the smaller of each two neighbours, and of lines with enough words alone.
+    """``array<struct<h, at>>``: a text's distinct fingerprints, each where it first stands.
 
-    Blank lines are none.
+    Grams are two neighbouring lines. Of each two neighbouring grams the smaller is a fingerprint, and so is
+    every gram or single line that has enough words alone. So a run of enough words
+    has one: as a single line, as a single gram, or as a window of two grams.
     """
 
-    def chosen(h: Column) -> Column:
-        last = F.size(h) - 1
-
-        def mine(x: Column, i: Column) -> Column:
-            own = F.get(words, i)
-            least = (x <= F.get(h, F.least(i + 1, last))) | (
-                (i > 0) & (x <= F.get(h, F.greatest(i - 1, F.lit(0))))
-            )
-            return F.when((own > 0) & (least | (own >= least_words)), x)
-
-        return F.array_distinct(F.filter(F.transform(h, mine), lambda x: x.isNotNull()))
+    def grams(h: Column) -> Column:
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.size(h) - 2),
+            lambda i: F.struct(
+                F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("h"),
+                (F.get(words, i) + F.get(words, i + 1)).alias("w"),
+                i.alias("at"),
+            ),
+        )
+        none = F.array().cast("array<struct<h:bigint,w:int,at:int>>")
+        return F.when(F.size(h) > 1, pairs).otherwise(none)
+
+    def least(g: Column) -> Column:
+        def smaller(x: Column, other: Column) -> Column:
+            return F.coalesce(x["h"] <= other["h"], F.lit(False))
+
+        return F.filter(
+            g,
+            lambda x, i: (x["w"] > 0)
+            & (
+                (x["w"] >= least_words)
+                | smaller(x, F.get(g, i + 1))
+                | ((i > 0) & smaller(x, F.get(g, F.greatest(i - 1, F.lit(0)))))
+            ),
+        )
 
-    return bound(hashes, chosen)
+    long_lines = F.filter(
+        F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.get(words, i).alias("w"), i.alias("at"))),
+        lambda x: x["w"] >= least_words,
+    )
+    chosen = F.concat(bound(bound(hashes, grams), least), long_lines)
+    placed = F.array_sort(F.transform(chosen, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"))))
+    return bound(
+        placed,
+        lambda rows: F.filter(
+            rows, lambda x, i: (i == 0) | (x["h"] != F.get(rows, F.greatest(i - 1, F.lit(0)))["h"])
+        ),
+    )
 
 
 def repeated_runs(
@@ -133,31 +160,24 @@ def repeated_runs(
             F.transform("lines", _words).alias("words"),
         )
     )
-    prints = numbered.select(
-        "key", "text_hash", F.explode(_fingerprints(F.col("hashes"), F.col("words"), least_words)).alias("h")
-    )
+    found = _fingerprints(F.col("hashes"), F.col("words"), least_words)
+    prints = numbered.select("key", "text_hash", F.explode(found).alias("p")).select("key", "text_hash", "p.*")
     # The first document of a fingerprint; those of a single document need no partner.
     first = (
         prints.groupBy("h")
-        .agg(F.min("key").alias("source"), F.max("key").alias("last"))
+        .agg(F.min("key").alias("source"), F.max("key").alias("last"), F.min_by("at", "key").alias("there"))
         .where("source < last")
-        .select("h", "source")
+        .select("h", "source", "there")
     )
     shared = (
         prints.join(first, "h")
         .where("source < key")
         .groupBy("key", "text_hash", "source")
-        .agg(F.collect_set("h").alias("anchors"))
+        .agg(F.collect_set(F.col("there") - F.col("at")).alias("steps"))
     )
     later = numbered.select("key", "text_hash", "hashes", "words")
     earlier = numbered.select(F.col("key").alias("source"), F.col("hashes").alias("before"))
     aligned = shared.join(later, ["key", "text_hash"]).join(earlier, "source")
-    steps = F.array_distinct(
-        F.transform(
-            "anchors",
-            lambda a: F.array_position("before", a) - F.array_position("hashes", a),
-        )
-    )
     extended = F.flatten(
         F.transform(
             "steps",
@@ -176,8 +196,7 @@ def repeated_runs(
         )
     )
     across = (
-        aligned.withColumn("steps", steps)
-        .select("key", "text_hash", extended.alias("runs"))
+        aligned.select("key", "text_hash", extended.alias("runs"))
         .where(F.size("runs") > 0)
         .groupBy("key", "text_hash")
         .agg(F.flatten(F.collect_set("runs")).alias("runs"))
