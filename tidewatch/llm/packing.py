@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidewatch.llm.bytewords import Words, words_of_all
+
 LENGTH = 2_048
 END_ID = 1
 # Cost of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -26,8 +29,8 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1_024
 # Tokens packed together, so a task holds the pieces of some million tokens at most
 # (more only for a single document that is longer).
 BLOCK_TOKENS = 4_000_000
-# Words whose ids a worker remembers, and the longest it remembers.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 32
+# Words whose ids a task remembers.
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -45,60 +48,103 @@ class Encoder:
     """Ids of texts by a tokenizer file, with the ids of words remembered.
 
     The file's tokenizer lower-cases, cuts a text into words, digits and runs of signs, and encodes each
-    on its own. Texts of ASCII and Western European letters are cut here in the same way, and
-    only words not met before are encoded, all of a text in one call. Stretches between
-    white space that hold any other sign go to the tokenizer whole.
+    on its own. Texts of ASCII and Western European letters are cut here in the same way, many at
+    once, and only words not met before are encoded, those of a portion in one call. Other texts,
+    and those with a shortened English verb, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Known words in order of their numbers; ids of word k are flat[first[k]:first[k] + size[k]].
+        self._numbers = np.empty(0, dtype=np.uint64)
+        self._first, self._size = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self._flat = np.empty(0, dtype="<u4")
 
     def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            parts = []
-            for stretch in _STRETCH.findall(text):
-                odd = _ODD.search(stretch)
-                parts.extend([stretch] if odd else _WORDS.findall(stretch.lower()))
-        else:
-            parts = _WORDS.findall(text.lower())
-        out: list[int] = []
-        known, new = self._known, {}
-        try:
-            for ids in map(known.__getitem__, parts):
-                out += ids
-        except KeyError:
-            new = self._encoded([p for p in dict.fromkeys(parts) if p not in known])
-            out = []
-            for part in parts:
-                out += known.get(part) or new.get(part, _NONE)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST_REMEMBERED)
-        return np.array(out, dtype="<u4")
-
-    def _encoded(self, parts: list[str]) -> dict[str, list[int]]:
-        # Letter runs can share one call: each is one word of it.
-        plain = [p for p in parts if p[0].isalpha() and not _ODD.search(p)]
-        found = {
-            p: self._tokenizer.encode(p, add_special_tokens=False).ids
-            for p in set(parts).difference(plain)
-        }
-        if plain:
-            whole = self._tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            ids, at = whole.ids, np.array(whole.word_ids)
-            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(ids)]
-            found.update((p, ids[s:e]) for p, s, e in zip(plain, cuts, cuts[1:]))
+        return self.ids_of_all([text])[0]
+
+    def ids_of_all(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [k for k, t in enumerate(texts) if _is_plain(t)]
+        found: list[np.ndarray] = [None] * len(texts)
+        data = [texts[k].lower().encode("latin-1") for k in plain]
+        for begin, end, words in words_of_all(data, _KINDS, _DIGIT):
+            ids, bounds = self._ids_of(words)
+            for k in range(begin, end):
+                found[plain[k]] = ids[bounds[k - begin] : bounds[k - begin + 1]]
+        for k, ids in enumerate(found):
+            if ids is None:
+                encoded = self._tokenizer.encode(texts[k], add_special_tokens=False)
+                found[k] = np.array(encoded.ids, dtype="<u4")
         return found
 
+    def _ids_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and where those of each text begin."""
+        at, known = self._find(words.numbers)
+        if not known.all():
+            self._learn(words, np.flatnonzero(~known))
+            at, _ = self._find(words.numbers)
+        size = self._size[at]
+        ends = np.cumsum(size)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._first[at] - ends + size, size)
+        return self._flat[take], np.concatenate([[0], ends])[words.first]
+
+    def _find(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self._numbers):
+            return np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=bool)
+        at = np.minimum(np.searchsorted(self._numbers, numbers), len(self._numbers) - 1)
+        return at, self._numbers[at] == numbers
+
+    def _learn(self, words: Words, new: np.ndarray) -> None:
+        if len(self._numbers) + len(new) > REMEMBERED:
+            # Start again with this portion's words.
+            self._forget()
+            new = np.arange(len(words.numbers))
+        numbers, first = np.unique(words.numbers[new], return_index=True)
+        data, new = words.data.tobytes(), new[first]
+        starts, ends = words.starts[new], words.ends[new]
+        parts = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+        # Words of ASCII letters are what the model itself takes; the rest passes through all steps.
+        plain = [p.isalpha() and p.isascii() for p in parts]
+        tokenize, encode = self._tokenizer.model.tokenize, self._tokenizer.encode
+        ids = [
+            [t.id for t in tokenize(p.decode())] if x
+            else encode(p.decode("latin-1"), add_special_tokens=False).ids
+            for p, x in zip(parts, plain)
+        ]
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        first = len(self._flat) + np.cumsum(sizes) - sizes
+        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), "<u4", sizes.sum())])
+        merged = np.concatenate([self._numbers, numbers])
+        order = np.argsort(merged)
+        self._numbers = merged[order]
+        self._first = np.concatenate([self._first, first])[order]
+        self._size = np.concatenate([self._size, sizes])[order]
+
+
+# Signs of plain texts, as Latin-1 bytes: ASCII and Western European letters.
+_PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+# An apostrophe with the letters that the tokenizer splits off.
+_SHORTENED = re.compile("'(?:[stmd]|re|ve|ll)", re.IGNORECASE)
+
+
+def _is_plain(text: str) -> bool:
+    """Whether a text can be cut here: no other signs, nothing that may be a special token, no shortened verb."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return not (data.translate(None, _PLAIN) or b"<|" in data or (b"'" in data and _SHORTENED.search(text)))
+
 
-_NONE: list[int] = []
-_LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff"
-# Signs that this module leaves to the tokenizer itself; "<|" may begin one of its special tokens.
-_ODD = re.compile("[^\\t-\\r\\x20-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\\|")
-_STRETCH = re.compile("[^\\t-\\r ]+")
-# The tokenizer's own cut, over lower-cased text of the signs above.
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
+# Classes of Latin-1 bytes after lower-casing, as the tokenizer cuts: letters, digits one by one, other signs.
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_KINDS = np.full(256, _SIGN, dtype=np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = 0
+_KINDS[[*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_KINDS[0x30:0x3A] = _DIGIT
 
 
 def powers(tokens: int, length: int = LENGTH) -> list[int]:
@@ -178,10 +224,11 @@ def packed(
         sequences = 0
         names, tokens, total = [], [], 0
         for batch in batches:
-            for part, doc, text in zip(batch["part"], batch["id"], batch["text"]):
+            encoded = encoder.ids_of_all([t or "" for t in batch["text"]])
+            for part, doc, ids in zip(batch["part"], batch["id"], encoded):
                 base = int(part) << 33
                 names.append(doc)
-                tokens.append(np.append(encoder.ids(text or ""), np.uint32(end_id)))
+                tokens.append(np.append(ids, np.uint32(end_id)))
                 total += len(tokens[-1])
                 if total >= block_tokens:
                     yield from rows(names, tokens, base + sequences)
