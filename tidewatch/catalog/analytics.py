@@ -42,10 +42,10 @@ LEFT JOIN counts c ON c."group" = g."group" AND c.technique_id = t.technique_id
 """
 )
 def group_technique_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix, columns = jobs.technique_matrix(
+    matrix = jobs.technique_matrix(
         S.pairs(spark, sf_dir), S.placed_hosts(spark, sf_dir), S.cves(spark, sf_dir)
     )
-    return matrix.unpivot(["group"], columns, "technique_id", "count")
+    return aggregates.zero_filled(matrix, "group")
 
 
 @query(
@@ -459,7 +459,7 @@ def projection_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane.select("group", F.round(F.abs("x"), 5).alias("x"), F.round(F.abs("y"), 5).alias("y"))
 
 
-def _profile(spark: SparkSession, sf_dir: str) -> jobs.ClusterProfile:
+def _cluster_profile(spark: SparkSession, sf_dir: str) -> jobs.ClusterProfile:
     return jobs.cluster_profile(*_planted(spark, sf_dir))
 
 
@@ -480,7 +480,7 @@ SELECT cluster, technique_id, 'name ' || technique_id AS technique_name, "count"
 )
 def cluster_profile_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top techniques of the cluster page's job over planted groups."""
-    profile = _profile(spark, sf_dir)
+    profile = _cluster_profile(spark, sf_dir)
     first = _by_first_member(profile.labels)
     return profile.top.join(first, "cluster").select(
         F.col("first").alias("cluster"), "technique_id", "technique_name", "count", F.col("rank").cast("long").alias("rank")
@@ -498,7 +498,7 @@ FROM of CROSS JOIN top8 t LEFT JOIN kinds k ON k.cluster = of.cluster AND k.tech
 """
 )
 def cluster_profile_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = _profile(spark, sf_dir)
+    profile = _cluster_profile(spark, sf_dir)
     first = _by_first_member(profile.labels)
     return profile.radar.join(first, "cluster").select(
         F.col("first").alias("cluster"), "technique_id", "count"

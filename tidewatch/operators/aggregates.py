@@ -104,6 +104,20 @@ def top_totals(counts: DataFrame, k: int = 8) -> DataFrame:
     return technique_totals(counts).orderBy(F.desc("count"), "technique_id").limit(k)
 
 
+def zero_filled(counts: DataFrame, key: str) -> DataFrame:
+    """``key, technique_id, count`` of every key and technique, absent pairs as 0.
+
+    The keys, which name the rows of the matrix, are listed by the driver.
+    """
+    kind = counts.schema[key].dataType
+    names = [F.lit(row[0]).cast(kind) for row in counts.select(key).distinct().collect()]
+    known = counts.select("technique_id").distinct()
+    grid = known.select(F.explode(F.array(*names)).alias(key), "technique_id")
+    return grid.join(counts, [key, "technique_id"], "left").select(
+        key, "technique_id", F.coalesce("count", F.lit(0)).alias("count")
+    )
+
+
 def pivot_counts(counts: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Wide matrix of counts, one column per technique, missing pairs as 0."""
     wide = counts.groupBy(key).pivot("technique_id", list(values)).agg(F.sum("count"))

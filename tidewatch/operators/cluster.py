@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import blocks
+from tidewatch.operators import aggregates, blocks
 from tidewatch.session import written
 
 # Seed, largest k and fall-back k of the sweep (fixed values).
@@ -44,15 +44,12 @@ def standardize(counts: DataFrame, key: str) -> DataFrame:
     """``key, technique_id, z`` of every pair: zero mean, unit population variance per technique.
 
     ``counts`` are the positive counts (key, technique_id, count). A constant column keeps scale 1,
-    so its values are 0. The keys, which name the rows of the matrix, are listed by the driver.
+    so its values are 0.
     """
-    names = [row[0] for row in counts.select(key).distinct().collect()]
-    scales = _scales(counts, len(names))
-    kind = counts.schema[key].dataType
-    grid = scales.withColumn(key, F.explode(F.array(*[F.lit(n).cast(kind) for n in names])))
-    count = F.coalesce("count", F.lit(0))
-    return grid.join(counts.select(key, "technique_id", "count"), [key, "technique_id"], "left").select(
-        key, "technique_id", ((count - F.col("mean")) / F.col("scale")).alias("z")
+    scales = _scales(counts, counts.select(key).distinct().count())
+    every = aggregates.zero_filled(counts, key)
+    return every.join(scales, "technique_id").select(
+        key, "technique_id", ((F.col("count") - F.col("mean")) / F.col("scale")).alias("z")
     )
 
 
