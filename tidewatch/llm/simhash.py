@@ -243,18 +243,8 @@ def near_duplicates(
     result. A null id is never the smallest; a group of null ids only has none.
     ``text_hash`` (64 bits) tells rows of the same id apart. Other columns are not read.
     """
-    prints = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.xxhash64(text_col).alias("text_hash"),
-            fingerprint_column(F.col(text_col), shingle).alias("fp"),
-        )
-    )
-    least = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(least.select("fp"), radius, block_rows)).withColumnRenamed("node", "fp")
-    rooted = least.join(roots, "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    prints = _prints(docs, id_col, text_col, shingle)
+    rooted = _rooted(prints, radius, block_rows)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(smallest, "root")
     return prints.join(classes, "fp").select(
@@ -262,23 +252,44 @@ def near_duplicates(
         "text_hash",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        F.col("root").alias("_class"),
     )
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``id, text_hash, fp`` of every row, written."""
+    return written(
+        docs.select(
+            F.col(id_col).alias("id"),
+            F.xxhash64(text_col).alias("text_hash"),
+            fingerprint_column(F.col(text_col), shingle).alias("fp"),
+        )
+    )
+
+
+def _rooted(prints: DataFrame, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``fp, least, root``: each different fingerprint, its smallest id and its component."""
+    least = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(least.select("fp"), radius, block_rows)).withColumnRenamed("node", "fp")
+    return least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` (columns as they are) that are first of their group, by ``doc_id``.
 
     Of equal ids the one with the smallest text hash stays, and of repeated rows one.
     A group of null ids only keeps one row too.
     """
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    order = Window.partitionBy("_class").orderBy(F.asc_nulls_last("doc_id"), "text_hash")
+    prints = _prints(docs, "doc_id", "text", shingle)
+    # The first row of each fingerprint is found before components are joined, so that a fingerprint
+    # that very many rows share is one row there.
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    by_print = prints.groupBy("fp").agg(F.min(row).alias("row"))
     doc, text_hash = fresh(docs, "_first_doc"), fresh(docs, "_first_text")
     first = (
-        found.withColumn("_place", F.row_number().over(order))
-        .where("_place = 1")
-        .select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash))
+        by_print.join(_rooted(prints, radius).select("fp", "root"), "fp")
+        .groupBy("root")
+        .agg(F.min("row").alias("row"))
+        .select(F.col("row.id").alias(doc), F.col("row.text_hash").alias(text_hash))
     )
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash))
     kept, mark = docs.join(first, same, "left_semi"), fresh(docs, "_text_hash")
