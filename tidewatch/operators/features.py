@@ -22,6 +22,14 @@ SUMMARY_MIN_WORDS = 30
 SUMMARY_MAX_WORDS = 130
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs of letters and digits of one text, the same as the words of a column."""
+    return _WORD.findall((text or "").lower())
+
+
 def word_weights(texts: DataFrame, text_col: str) -> DataFrame:
     """``word, idf`` of every word of the texts: ``ln((texts + 1) / (texts with the word + 1))``.
 
@@ -58,8 +66,10 @@ def embed(texts: DataFrame, weights: DataFrame, id_col: str, text_col: str) -> D
     No word is left out or merged, so a vector is as long as the text has weighted words. Texts
     of the same id are one text.
     """
+    # Dealt by id first: a text is smaller than its words, and counting them needs no other shuffle.
+    dealt = texts.select(id_col, text_col).repartition(F.col(id_col))
     counted = (
-        texts.select(id_col, F.explode(T.words(F.col(text_col))).alias("word"))
+        dealt.select(id_col, F.explode(T.words(F.col(text_col))).alias("word"))
         .groupBy(id_col, "word")
         .agg(F.count("*").alias("n"))
     )
@@ -85,10 +95,11 @@ def embed_long_texts(
     """``id, word, weight``: the mean of the chunk vectors of the whole text; blank text gives no row."""
     usable = texts.select(id_col, text_col).filter(~T.is_blank(F.col(text_col)))
     # Words are a column of their own, or every chunk would split the text again.
-    split = usable.select(id_col, T.words(F.col(text_col)).alias("_all"))
+    dealt = usable.repartition(F.col(id_col))
+    split = dealt.select(id_col, T.words(F.col(text_col)).alias("_all"))
     parts = split.select(
         id_col,
-        F.size(chunks(F.col("_all"), size, stride)).alias("_chunks"),
+        F.ceil(F.size("_all") / stride).alias("_chunks"),
         F.posexplode(chunks(F.col("_all"), size, stride)).alias("_chunk", "_words"),
     )
     counted = (
@@ -102,7 +113,6 @@ def embed_long_texts(
     )
 
 
-_WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"([.!?])[ \t\n\x0b\f\r]+")
 
 
@@ -110,7 +120,7 @@ def best_sentences(text: str | None, min_words: int, max_words: int) -> str:
     """The best sentences of one text, in text order, within the word budget."""
     parts = (x.strip(" ") for x in re.split(r"\n+", _SENTENCE_END.sub(r"\1\n", text or "")))
     found = [x for x in parts if x]
-    words = [_WORD.findall(x.lower()) for x in found]
+    words = [words_of(x) for x in found]
     counts = Counter(w for sentence in words for w in sentence)
     scores = {
         i: sum(counts[w] for w in sentence if len(w) > 3) / len(sentence)

@@ -121,8 +121,8 @@ def _matched_in_row(texts: DataFrame, text_col: str, table: DataFrame, known: Da
     def best(found: pd.Series) -> pd.DataFrame:
         index, cuts, place, weight, idf, names = shared.value
         out = []
-        for words in found:
-            counts = Counter(index[w] for w in (() if words is None else words) if w in index)
+        for text in found:
+            counts = Counter(index[w] for w in features.words_of(text) if w in index)
             scores = np.zeros(len(names))
             square = 0.0
             for k, n in counts.items():
@@ -133,13 +133,12 @@ def _matched_in_row(texts: DataFrame, text_col: str, table: DataFrame, known: Da
             if square == 0:
                 out.append((None, None, None))
                 continue
-            scores = np.round(scores / np.sqrt(square), 9)
-            top = int(scores.argmax())
+            scores /= np.sqrt(square)
+            top = int(np.round(scores, 9).argmax())
             out.append((*names[top], float(scores[top])))
         return pd.DataFrame(out, columns=["id", "name", "score"])
 
-    match = best(T.words(F.col(text_col)))
-    named = texts.withColumn("mitre_match", match)
+    named = texts.withColumn("mitre_match", best(F.col(text_col)))
     return named.withColumn(
         "mitre_match", F.when(F.col("mitre_match.score").isNotNull(), F.col("mitre_match"))
     )
@@ -162,10 +161,10 @@ def _matched_by_word(texts: DataFrame, text_col: str, table: DataFrame, known: D
         .groupBy("_row", "ordinal")
         .agg(F.sum(F.col("n") * F.col("idf") * F.col("weight")).alias("x"))
         .join(length, "_row")
-        .select("_row", "ordinal", F.round(F.col("x") / F.col("_length"), 9).alias("score"))
+        .select("_row", "ordinal", (F.col("x") / F.col("_length")).alias("score"))
     )
     best = scores.groupBy("_row").agg(
-        F.max(F.struct(F.col("score"), (-F.col("ordinal")).alias("o"))).alias("b")
+        F.max(F.struct(F.round("score", 9), (-F.col("ordinal")).alias("o"), "score")).alias("b")
     ).select("_row", "b.score", (-F.col("b.o")).alias("ordinal"))
     named = best.join(known, "ordinal").select(
         "_row",
