@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.operators import blocks, dedupe, features
+from tidewatch.operators.features import words_of
 from tidewatch.session import written
 
 
@@ -122,7 +123,7 @@ def _matched_in_row(texts: DataFrame, text_col: str, table: DataFrame, known: Da
         index, cuts, place, weight, idf, names = shared.value
         out = []
         for text in found:
-            counts = Counter(index[w] for w in features.words_of(text) if w in index)
+            counts = Counter(index[w] for w in words_of(text) if w in index)
             scores = np.zeros(len(names))
             square = 0.0
             for k, n in counts.items():
