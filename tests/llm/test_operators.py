@@ -359,6 +359,51 @@ def test_removed_lines_stand_in_an_earlier_place(spark, docs, texts):
                 assert windows.setdefault(bare[i], doc) == doc
 
 
+def brute_runs(rows):
+    """Lines of each (id, text) in runs of 25 words that stand earlier, by comparing along all diagonals."""
+    parsed = {doc: [p.strip(" \t\r\n") for p in cut(text)] for doc, text in rows}
+    found = {}
+    for doc, own in parsed.items():
+        gone = set()
+        for other, before in parsed.items():
+            if other > doc:
+                continue
+            for step in range(1 if other == doc else -len(own), max(len(own), len(before)) + 1):
+                run, words = [], 0
+                for i in range(len(own) + 1):
+                    at = i - step if other == doc else i + step
+                    if i < len(own) and 0 <= at < len(before) and own[i] == before[at]:
+                        run.append(i)
+                        words += len(own[i].split(" ")) if own[i] else 0
+                    else:
+                        gone |= set(run) if words >= lines.LEAST_WORDS else set()
+                        run, words = [], 0
+        found[doc] = gone
+    return found
+
+
+def runs_as_lines(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {
+        r["doc_id"]: {i for x in r["runs"] for i in range(x["first"], x["last"] + 1)}
+        for r in lines.repeated_runs(df).collect()
+    }
+
+
+def test_passages_with_a_line_twice_go_inside_a_text(spark):
+    """Blocks with blank lines and refrains, repeated in the same text."""
+    draw = random.Random(5)
+    block = "".join(f"word{i} and another one here.\n" + ("THE!!\n" if i % 2 else "\n\n") for i in range(12))
+    rows = [(1, (block + "Something else.\n") * 4)]
+    for doc in range(2, 30):
+        pool = [" ".join(draw.choices("abcdef", k=draw.randint(1, 9))) + f" {doc}.\n" for _ in range(6)] + ["\n", "\n"]
+        passage = draw.choices(pool, k=14)
+        rows.append((doc, "".join(sum((draw.choices(pool, k=4) + passage for _ in range(3)), []))))
+    want = brute_runs(rows)
+    assert len(want[1]) == 31 * 3
+    assert runs_as_lines(spark, rows) == want
+
+
 def test_lines_odd_rows(odd, none, clash):
     found = lines.without_repeats(clash)
     assert found.columns == clash.columns and found.count() == len(ODD)

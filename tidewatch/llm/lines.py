@@ -71,22 +71,81 @@ def runs_of(places: Column, words: Column, least_words: int) -> Column:
     return F.aggregate(places, empty, add, closed)
 
 
-def _repeats_inside(hashes: Column) -> Column:
-    """Lines that stand earlier in the same text: (at, group) with the way back as group."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-
-    def pairs(rows: Column) -> Column:
-        later = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
-        both = F.zip_with(
-            later, rows,
-            lambda b, a: F.when(
-                b["h"] == a["h"],
-                F.struct(b["at"].alias("at"), (a["at"] - b["at"]).cast("long").alias("group")),
+def _windows(hashes: Column, words: Column, least_words: int) -> Column:
+    """``array<struct<h, first, last>>``, sorted: the shortest stretches of lines with enough words.
+
+    From each line the shortest such stretch that begins there, and the shortest that ends there. Both depend on the
+    lines inside alone, and those inside a run of enough words cover it: so a line is in a run that stands
+    at another place exactly if it is in such a stretch that does. Blank lines at an edge are counted, not hashed.
+    """
+    lines = F.transform(words, lambda w, i: F.array_repeat(i, w))
+
+    def ends(of: Column) -> Column:
+        """Per stretch its lines with words, and how far blank lines reach before and after it."""
+
+        def place(k: Column) -> Column:
+            low, high = F.coalesce(F.get(of, k - 1), F.lit(-1)), F.coalesce(F.get(of, k + least_words), F.size(words))
+            first, last = F.get(of, k), F.get(of, k + least_words - 1)
+            return F.struct(
+                first.alias("first"),
+                last.alias("last"),
+                F.when(low < first, low + 1).alias("low"),
+                F.when(high > last, high - 1).alias("high"),
+            )
+
+        none = F.array().cast("array<struct<first:int,last:int,low:int,high:int>>")
+        every = F.transform(F.sequence(F.lit(0), F.size(of) - least_words), place)
+        return F.when(
+            F.size(of) >= least_words,
+            F.filter(every, lambda x: x["low"].isNotNull() | x["high"].isNotNull()),
+        ).otherwise(none)
+
+    def with_blanks(x: Column, core: Column, before: Column, after: Column) -> Column:
+        return F.struct(
+            F.xxhash64(core, before, after).alias("h"),
+            (x["first"] - before).alias("first"),
+            (x["last"] + after).alias("last"),
+        )
+
+    def hashed(x: Column, h: Column) -> Column:
+        core = F.xxhash64(F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1))
+        leads, trails = x["first"] - F.coalesce(x["low"], x["first"]), F.coalesce(x["high"], x["last"]) - x["last"]
+        alone = F.array(with_blanks(x, core, F.lit(0), F.lit(0)))
+        wider = bound(
+            core,
+            lambda c: F.concat(
+                F.transform(F.sequence(F.lit(0), leads), lambda n: with_blanks(x, c, n, F.lit(0))),
+                F.transform(F.sequence(F.lit(0), trails), lambda n: with_blanks(x, c, F.lit(0), n)),
             ),
         )
-        return F.array_sort(F.filter(both, lambda x: x.isNotNull()))
+        return F.when((leads == 0) & (trails == 0), alone).otherwise(wider)
+
+    return bound(
+        hashes,
+        lambda h: F.array_sort(F.flatten(F.transform(bound(F.flatten(lines), ends), lambda x: hashed(x, h)))),
+    )
 
-    return bound(placed, pairs)
+
+def _before(rows: Column, i: Column) -> Column:
+    return F.get(rows, i - 1)
+
+
+def _repeats_inside(windows: Column) -> Column:
+    """Runs of lines that stand earlier in the same text: sorted windows with an equal one before them."""
+    return bound(
+        windows,
+        lambda rows: merged(
+            F.transform(
+                F.filter(
+                    rows,
+                    lambda x, i: F.coalesce(
+                        (_before(rows, i)["h"] == x["h"]) & (_before(rows, i)["first"] != x["first"]), F.lit(False)
+                    ),
+                ),
+                lambda x: F.struct(x["first"], x["last"]),
+            )
+        ),
+    )
 
 
 def _fingerprints(hashes: Column, words: Column, least_words: int) -> Column:
@@ -201,10 +260,8 @@ def repeated_runs(
         .groupBy("key", "text_hash")
         .agg(F.flatten(F.collect_set("runs")).alias("runs"))
     )
-    inside = numbered.select(
-        "id", "key", "text_hash", "words",
-        runs_of(_repeats_inside(F.col("hashes")), F.col("words"), least_words).alias("inside"),
-    )
+    windows = _windows(F.col("hashes"), F.col("words"), least_words)
+    inside = numbered.select("id", "key", "text_hash", "words", _repeats_inside(windows).alias("inside"))
     none = F.array().cast(_RUNS)
     return inside.join(across, ["key", "text_hash"], "left").select(
         F.col("id").alias(id_col),
@@ -227,7 +284,7 @@ def merged(runs: Column) -> Column:
             F.array_append(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), joined),
         ).otherwise(F.array_append(done, run))
 
-    return F.aggregate(F.array_sort(F.array_distinct(runs)), none, add)
+    return F.aggregate(F.array_sort(runs), none, add)
 
 
 def covered(runs: Column) -> Column:
