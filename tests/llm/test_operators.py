@@ -404,6 +404,23 @@ def test_passages_with_a_line_twice_go_inside_a_text(spark):
     assert runs_as_lines(spark, rows) == want
 
 
+def test_passages_of_documents_that_share_common_lines_go(spark):
+    """The first text with a pair of lines lacks the passage that later ones share around it."""
+    draw = random.Random(6)
+    common = ["".join(draw.choices("abcdefghij", k=5)) + " is a line of eight words in all.\n" for _ in range(12)]
+    passages = ["".join(draw.choices(common, k=7)) for _ in range(5)]
+    rows = [(doc, "".join(draw.choices(common, k=6))) for doc in range(40)]
+    rows += [(doc, "".join(draw.choices(common, k=3)) + draw.choice(passages) + draw.choice(common)) for doc in range(40, 90)]
+    want = brute_runs(rows)
+    assert sum(len(x) > 6 for x in want.values()) > 30
+    assert runs_as_lines(spark, rows) == want
+
+
+def test_no_passage_of_documents_is_left(spark, docs, texts):
+    rows = list(zip(texts["doc_id"].tolist(), texts["text"].tolist()))[:100]
+    assert runs_as_lines(spark, rows) == brute_runs(rows)
+
+
 def test_lines_odd_rows(odd, none, clash):
     found = lines.without_repeats(clash)
     assert found.columns == clash.columns and found.count() == len(ODD)

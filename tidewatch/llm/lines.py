@@ -1,9 +1,9 @@
-"""Removal of repeated passages by winnowing over line hashes.
+"""Removal of repeated passages by hashes of all shortest passages.
 
-A text is cut at line ends and after sentences. Pairs of neighbouring lines are hashed, and of each two
-neighbouring pairs the smaller is a fingerprint, as is every line or pair that is long enough alone: so
-any repeated passage of the wanted length has one. Documents that share one are aligned there,
-matches are extended both ways over all lines, and the later copy of a long enough run goes.
+A text is cut at line ends and after sentences. From each line the shortest stretch of lines with
+enough words that begins there is hashed, and the shortest that ends there. Whatever repeats
+and is long enough is covered by such stretches, so the later copies of them all go: no other
+line of the texts need be compared, and none is missed.
 All of it is DataFrame functions.
 """
 
@@ -42,35 +42,6 @@ def _words(line: Column) -> Column:
     )
 
 
-def runs_of(places: Column, words: Column, least_words: int) -> Column:
-    """Runs of consecutive ``places`` with at least ``least_words`` words: (first, last) places.
-
-    ``places`` are structs (at, group) in ascending order; a run is of one group.
-    """
-    none = F.array().cast(_RUNS)
-    empty = F.struct(
-        F.lit(-1).alias("first"), F.lit(-2).alias("last"), F.lit(0).cast("long").alias("group"),
-        F.lit(0).cast("long").alias("words"), none.alias("runs"),
-    )
-
-    def closed(s: Column) -> Column:
-        run = F.struct(s["first"].alias("first"), s["last"].alias("last"))
-        return F.when(s["words"] >= least_words, F.array_append(s["runs"], run)).otherwise(s["runs"])
-
-    def add(s: Column, x: Column) -> Column:
-        own = F.get(words, x["at"]).cast("long")
-        on = (x["at"] == s["last"] + 1) & (x["group"] == s["group"])
-        return F.struct(
-            F.when(on, s["first"]).otherwise(x["at"]).alias("first"),
-            x["at"].alias("last"),
-            x["group"].alias("group"),
-            (F.when(on, s["words"]).otherwise(F.lit(0).cast("long")) + own).alias("words"),
-            F.when(on, s["runs"]).otherwise(closed(s)).alias("runs"),
-        )
-
-    return F.aggregate(places, empty, add, closed)
-
-
 def _windows(hashes: Column, words: Column, least_words: int) -> Column:
     """``array<struct<h, first, last>>``, sorted: the shortest stretches of lines with enough words.
 
@@ -81,48 +52,52 @@ def _windows(hashes: Column, words: Column, least_words: int) -> Column:
     lines = F.transform(words, lambda w, i: F.array_repeat(i, w))
 
     def ends(of: Column) -> Column:
-        """Per stretch its lines with words, and how far blank lines reach before and after it."""
+        """Per stretch its lines with words, and how many blank lines stand before and after it."""
+        over = F.size(of) - least_words
+
+        def edge(k: Column) -> Column:
+            begins = (k == 0) | (F.get(of, k - 1) != F.get(of, k))
+            return begins | (k == over) | (F.get(of, k + least_words - 1) != F.get(of, k + least_words))
 
         def place(k: Column) -> Column:
-            low, high = F.coalesce(F.get(of, k - 1), F.lit(-1)), F.coalesce(F.get(of, k + least_words), F.size(words))
             first, last = F.get(of, k), F.get(of, k + least_words - 1)
+            low, high = F.coalesce(F.get(of, k - 1), F.lit(-1)), F.coalesce(F.get(of, k + least_words), F.size(words))
             return F.struct(
                 first.alias("first"),
                 last.alias("last"),
-                F.when(low < first, low + 1).alias("low"),
-                F.when(high > last, high - 1).alias("high"),
+                F.greatest(first - low - 1, F.lit(0)).alias("leads"),
+                F.greatest(high - last - 1, F.lit(0)).alias("trails"),
             )
 
-        none = F.array().cast("array<struct<first:int,last:int,low:int,high:int>>")
-        every = F.transform(F.sequence(F.lit(0), F.size(of) - least_words), place)
-        return F.when(
-            F.size(of) >= least_words,
-            F.filter(every, lambda x: x["low"].isNotNull() | x["high"].isNotNull()),
-        ).otherwise(none)
-
-    def with_blanks(x: Column, core: Column, before: Column, after: Column) -> Column:
-        return F.struct(
-            F.xxhash64(core, before, after).alias("h"),
-            (x["first"] - before).alias("first"),
-            (x["last"] + after).alias("last"),
-        )
+        none = F.array().cast("array<struct<first:int,last:int,leads:int,trails:int>>")
+        every = F.transform(F.filter(F.sequence(F.lit(0), over), edge), place)
+        return F.when(over >= 0, every).otherwise(none)
+
+    def window(h: Column, first: Column, last: Column) -> Column:
+        return F.struct(h.alias("h"), first.alias("first"), last.alias("last"))
 
     def hashed(x: Column, h: Column) -> Column:
         core = F.xxhash64(F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1))
-        leads, trails = x["first"] - F.coalesce(x["low"], x["first"]), F.coalesce(x["high"], x["last"]) - x["last"]
-        alone = F.array(with_blanks(x, core, F.lit(0), F.lit(0)))
         wider = bound(
-            core,
-            lambda c: F.concat(
-                F.transform(F.sequence(F.lit(0), leads), lambda n: with_blanks(x, c, n, F.lit(0))),
-                F.transform(F.sequence(F.lit(0), trails), lambda n: with_blanks(x, c, F.lit(0), n)),
+            window(core, x["first"], x["last"]),
+            lambda w: F.concat(
+                F.array(w),
+                F.transform(
+                    F.filter(F.sequence(F.lit(0), x["leads"]), lambda n: n > 0),
+                    lambda n: window(F.xxhash64(w["h"], n, F.lit(0)), w["first"] - n, w["last"]),
+                ),
+                F.transform(
+                    F.filter(F.sequence(F.lit(0), x["trails"]), lambda n: n > 0),
+                    lambda n: window(F.xxhash64(w["h"], F.lit(0), n), w["first"], w["last"] + n),
+                ),
             ),
         )
-        return F.when((leads == 0) & (trails == 0), alone).otherwise(wider)
+        alone = F.array(window(core, x["first"], x["last"]))
+        return F.when((x["leads"] == 0) & (x["trails"] == 0), alone).otherwise(wider)
 
     return bound(
         hashes,
-        lambda h: F.array_sort(F.flatten(F.transform(bound(F.flatten(lines), ends), lambda x: hashed(x, h)))),
+        lambda h: F.sort_array(F.flatten(F.transform(bound(F.flatten(lines), ends), lambda x: hashed(x, h)))),
     )
 
 
@@ -148,51 +123,11 @@ def _repeats_inside(windows: Column) -> Column:
     )
 
 
-def _fingerprints(hashes: Column, words: Column, least_words: int) -> Column:
-    """``array<struct<h, at>>``: a text's distinct fingerprints, each where it first stands.
-
-    Grams are two neighbouring lines. Of each two neighbouring grams the smaller is a fingerprint, and so is
-    every gram or single line that has enough words alone. So a run of enough words
-    has one: as a single line, as a single gram, or as a window of two grams.
-    """
-
-    def grams(h: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(h) - 2),
-            lambda i: F.struct(
-                F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("h"),
-                (F.get(words, i) + F.get(words, i + 1)).alias("w"),
-                i.alias("at"),
-            ),
-        )
-        none = F.array().cast("array<struct<h:bigint,w:int,at:int>>")
-        return F.when(F.size(h) > 1, pairs).otherwise(none)
-
-    def least(g: Column) -> Column:
-        def smaller(x: Column, other: Column) -> Column:
-            return F.coalesce(x["h"] <= other["h"], F.lit(False))
-
-        return F.filter(
-            g,
-            lambda x, i: (x["w"] > 0)
-            & (
-                (x["w"] >= least_words)
-                | smaller(x, F.get(g, i + 1))
-                | ((i > 0) & smaller(x, F.get(g, F.greatest(i - 1, F.lit(0)))))
-            ),
-        )
-
-    long_lines = F.filter(
-        F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.get(words, i).alias("w"), i.alias("at"))),
-        lambda x: x["w"] >= least_words,
-    )
-    chosen = F.concat(bound(bound(hashes, grams), least), long_lines)
-    placed = F.array_sort(F.transform(chosen, lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"))))
+def _first_places(windows: Column) -> Column:
+    """A text's distinct windows, each where it first stands; later ones repeat that place already."""
     return bound(
-        placed,
-        lambda rows: F.filter(
-            rows, lambda x, i: (i == 0) | (x["h"] != F.get(rows, F.greatest(i - 1, F.lit(0)))["h"])
-        ),
+        windows,
+        lambda rows: F.filter(rows, lambda x, i: F.coalesce(_before(rows, i)["h"] != x["h"], F.lit(True))),
     )
 
 
@@ -210,60 +145,38 @@ def repeated_runs(
     cut = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), lines_of(text).alias("lines")
     ).select("id", "text_hash", F.transform("lines", _bare).alias("lines"))
-    numbered = written(
-        cut.select(
-            F.coalesce("id", F.lit(_LAST)).alias("key"),
-            "id",
-            "text_hash",
-            F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
-            F.transform("lines", _words).alias("words"),
-        )
-    )
-    found = _fingerprints(F.col("hashes"), F.col("words"), least_words)
-    prints = numbered.select("key", "text_hash", F.explode(found).alias("p")).select("key", "text_hash", "p.*")
-    # The first document of a fingerprint; those of a single document need no partner.
-    first = (
-        prints.groupBy("h")
-        .agg(F.min("key").alias("source"), F.max("key").alias("last"), F.min_by("at", "key").alias("there"))
-        .where("source < last")
-        .select("h", "source", "there")
+    hashed = cut.select(
+        F.coalesce("id", F.lit(_LAST)).alias("key"),
+        "id",
+        "text_hash",
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
+        F.transform("lines", _words).alias("words"),
     )
-    shared = (
-        prints.join(first, "h")
-        .where("source < key")
-        .groupBy("key", "text_hash", "source")
-        .agg(F.collect_set(F.col("there") - F.col("at")).alias("steps"))
+    placed = bound(
+        _windows(F.col("hashes"), F.col("words"), least_words),
+        lambda rows: F.struct(_repeats_inside(rows).alias("inside"), _first_places(rows).alias("windows")),
     )
-    later = numbered.select("key", "text_hash", "hashes", "words")
-    earlier = numbered.select(F.col("key").alias("source"), F.col("hashes").alias("before"))
-    aligned = shared.join(later, ["key", "text_hash"]).join(earlier, "source")
-    extended = F.flatten(
-        F.transform(
-            "steps",
-            lambda step: runs_of(
-                F.transform(
-                    F.filter(
-                        F.sequence(F.lit(0), F.size("hashes") - 1),
-                        lambda i: F.get("hashes", i)
-                        == F.get("before", F.greatest(i + step, F.lit(-1)).cast("int")),
-                    ),
-                    lambda i: F.struct(i.alias("at"), F.lit(0).cast("long").alias("group")),
-                ),
-                F.col("words"),
-                least_words,
-            ),
+    numbered = written(
+        hashed.select("key", "id", "text_hash", "words", placed.alias("p")).select(
+            "key", "id", "text_hash", "words", "p.inside", "p.windows"
         )
     )
+    windows = numbered.select("key", "text_hash", F.explode("windows").alias("p")).select("key", "text_hash", "p.*")
+    # The first document of a window; those of a single document need no partner.
+    sources = (
+        windows.groupBy("h")
+        .agg(F.min("key").alias("source"), F.max("key").alias("latest"))
+        .where("source < latest")
+        .select("h", "source")
+    )
     across = (
-        aligned.select("key", "text_hash", extended.alias("runs"))
-        .where(F.size("runs") > 0)
+        windows.join(sources, "h")
+        .where("source < key")
         .groupBy("key", "text_hash")
-        .agg(F.flatten(F.collect_set("runs")).alias("runs"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     )
-    windows = _windows(F.col("hashes"), F.col("words"), least_words)
-    inside = numbered.select("id", "key", "text_hash", "words", _repeats_inside(windows).alias("inside"))
     none = F.array().cast(_RUNS)
-    return inside.join(across, ["key", "text_hash"], "left").select(
+    return numbered.drop("windows").join(across, ["key", "text_hash"], "left").select(
         F.col("id").alias(id_col),
         "text_hash",
         F.size("words").alias("n_lines"),
