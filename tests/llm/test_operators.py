@@ -217,6 +217,15 @@ def test_trees_choose_look_alikes(spark):
     assert sum(added[1200:]) == 12
 
 
+def test_thresholds_rest_on_all_documents(spark):
+    """A kind too rare for the sample has cases enough among all documents."""
+    texts = [f"call +1 555 010 {i:04d} or no x{i:09d}x" for i in range(1_000)]
+    texts += [f"mail some{i}@host.org now, not some{i} (at) host (dot) org" for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    chooser = pii.fit(df, sample_docs=200)
+    assert chooser.trees and chooser.least["phone"] <= 1 and chooser.least["email"] <= 1
+
+
 def test_personal_data_odd_rows(odd, none, clash):
     assert pii.redactions(none).count() == 0
     found = pii.redactions(clash)

@@ -14,7 +14,6 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +45,9 @@ PROPOSED = {
 CUES = r"(?i)(?:tel|phone|fon|call|fax|mobile|mail|write|contact|card|visa|credit|pay|ip|host|address|server)[^\p{L}]*$"
 # Code points of the surroundings that are looked at.
 AROUND = 24
-# Bound of the sample: documents whose proposals teach the trees or set the thresholds.
+# Bound of the sample: documents whose proposals teach the trees.
 SAMPLE_DOCS = 40_000
-# One in so many sampled proposals is kept for the thresholds.
+# One in so many sampled proposals is kept for the thresholds, beside all that are not sampled.
 KEPT_OUT = 3
 # Trees, their depth, the share of confirmed proposals a threshold must reach, and the least
 # number of proposals it must rest on.
@@ -211,26 +210,23 @@ def _tree(lines: list[str]) -> tuple:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Chooser:
-    """Trees and thresholds from the proposals of about ``sample_docs`` documents, chosen by hash.
+    """Trees from the proposals of about ``sample_docs`` documents, chosen by hash; thresholds from all others.
 
     A proposal counts as personal data if the base rules confirm it; no feature tells what
-    they check beyond the form. Without proposals of both sorts nothing is ever chosen.
+    they check beyond the form. Without proposals of both sorts nothing is ever chosen. Proposals that do
+    not teach are scored and counted over the whole table, so a rare kind has all its cases.
     """
     total = docs.count()
     share = F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)) < F.lit(1_000_000 * sample_docs // max(1, total))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.where(share).select(text.alias("text"))
+    texts = docs.select(share.alias("sampled"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept_out = F.pmod(F.xxhash64("s.match", "s.start"), F.lit(KEPT_OUT)) == 0
+    right = confirmed(F.col("s.kind"), F.col("s.match")).cast("double").alias("label")
     rows = written(
-        chosen.select(F.explode(described(F.col("text"))).alias("s")).select(
-            F.col("s.kind").alias("which"),
-            confirmed(F.col("s.kind"), F.col("s.match")).cast("double").alias("label"),
-            (F.pmod(F.xxhash64("s.match", "s.start"), F.lit(KEPT_OUT)) == 0).alias("kept_out"),
-            "s.f.*",
-        ).coalesce(4)
+        texts.where("sampled").select(F.explode(described(F.col("text"))).alias("s"))
+        .where(~kept_out).select(right, "s.f.*").coalesce(4)
     )
-    names = tuple(c for c in rows.columns if c not in ("which", "label", "kept_out"))
-    vectors = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows)
-    taught = vectors.where("not kept_out").select("features", "label")
+    names = tuple(c for c in rows.columns if c != "label")
+    taught = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows).select("features", "label")
     if taught.select("label").distinct().count() < 2:
         return Chooser(names, (), {})
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(taught)
@@ -239,9 +235,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         for w, t in zip(model.treeWeights, model.trees)
     )
     # Per kind and percent of score: how many proposals, and how many confirmed.
+    score = Chooser(names, trees, {}).score(F.col("s.f"))
     steps = (
-        model.transform(vectors.where("kept_out"))
-        .select("which", F.floor(vector_to_array("probability")[1] * 100).alias("step"), "label")
+        texts.select("sampled", F.explode(described(F.col("text"))).alias("s"))
+        .where(~F.col("sampled") | kept_out)
+        .select(F.col("s.kind").alias("which"), F.floor(score * 100).alias("step"), right)
         .groupBy("which", "step")
         .agg(F.count("*").alias("n"), F.sum("label").alias("right"))
         .collect()
