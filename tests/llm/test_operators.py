@@ -116,6 +116,13 @@ def test_language_on_held_out_documents(spark, docs, texts):
     assert got["score"].between(0, 1).all()
 
 
+def test_language_of_texts_far_from_all_profiles(spark, tmp_path):
+    rows = [(i, "the quick brown fox and the dog", "en") for i in range(40)] + [(99, "Привет мир", None), (100, "12", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.QUERIES["op2_language"](spark, str(tmp_path)).collect()}
+    assert got[99] == "en" and got[100] == language.UNDETERMINED
+
+
 def test_language_odd_rows(odd, none, clash):
     profiles = language.fit(clash)
     assert profiles.languages == ("de", "en")

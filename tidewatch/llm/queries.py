@@ -60,7 +60,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = docs.select(
         "doc_id",
         F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
-        language.judged(profiles, F.col("text")).alias("j"),
+        language.judged(profiles, F.col("text"), farthest=1.0).alias("j"),
     )
     return judged.select("doc_id", "held_out", F.col("j.lang").alias("lang_pred"), "j.score", "j.distance")
 
