@@ -432,6 +432,17 @@ def test_passages_of_documents_that_share_common_lines_go(spark):
     assert runs_as_lines(spark, rows) == want
 
 
+def test_paragraphs_with_blank_lines_between_go(spark):
+    """Two paragraphs of 13 to 24 words with two blank lines between, in many pairs of documents."""
+    rows = []
+    for n in range(20):
+        shared = " ".join(f"w{n}x{i}" for i in range(14)) + "\n\n\n" + " ".join(f"v{n}x{i}" for i in range(14)) + "\n"
+        rows += [(2 * n, f"own {n} a\n" + shared), (2 * n + 1, f"own {n} b\n" + shared)]
+    want = brute_runs(rows)
+    assert all(len(want[2 * n + 1]) == 4 for n in range(20))
+    assert runs_as_lines(spark, rows) == want
+
+
 def test_no_passage_of_documents_is_left(spark, docs, texts):
     rows = list(zip(texts["doc_id"].tolist(), texts["text"].tolist()))[:100]
     assert runs_as_lines(spark, rows) == brute_runs(rows)
