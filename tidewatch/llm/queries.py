@@ -8,7 +8,19 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ctph, decontam, language, lines, packing, pii, pitman_yor, secrets, simhash, urls
+from tidewatch.llm import (
+    ctph,
+    decontam,
+    language,
+    lines,
+    packing,
+    pii,
+    pitman_yor,
+    secrets,
+    simhash,
+    urls,
+    whitening,
+)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -230,3 +242,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.listed(pii.in_order(F.col("base"), F.col("added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that does not fit a long is null here; the operator has it as a decimal."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
