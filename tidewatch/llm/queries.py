@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
+    conversations,
     ctph,
     decontam,
     language,
@@ -249,3 +250,33 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deviation that does not fit a long is null here; the operator has it as a decimal."""
     found = whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the CRC-32 of ``conv_id:turn``; nulls are one space there and in texts."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    way = F.crc32(F.concat_ws(":", *named)) % 20
+    text, role = (F.coalesce(c, F.lit(" ")) for c in ("text", "role"))
+    changed = rows.select(
+        "conv_id",
+        "turn",
+        F.when(way == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(way == 1, F.lit("")).when(way == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.array_repeat(F.lit(0), F.when(way == 0, 0).when(way == 3, 2).otherwise(1)).alias("copies"),
+    )
+    return changed.select("conv_id", "turn", "role", "text", F.explode("copies").alias("copy")).drop("copy")
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, also those of which the damage leaves nothing."""
+    rows = table(spark, sf_dir, "conversations")
+    found, _ = conversations.repairs(damaged(rows))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    all_of_them = rows.select("conv_id").distinct()
+    return all_of_them.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id",
+        *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
