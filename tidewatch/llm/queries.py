@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import (
     conversations,
     ctph,
+    debruijn,
     decontam,
     language,
     lines,
@@ -280,3 +281,27 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@checked(
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, s, ws[s : s + 12] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS s FROM d WHERE len(ws) > 12)
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(s, s + 13)) AS p
+    FROM (SELECT *, min(doc_id) OVER (PARTITION BY w) AS source FROM win) WHERE source < doc_id)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+)
+def op13_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removals(table(spark, sf_dir, "documents"))
