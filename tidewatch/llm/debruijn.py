@@ -30,9 +30,9 @@ SHORT = 4
 # size. If it is full, more windows are compared and none is lost.
 FILTER_BITS = 1 << 27
 _BLOCK_BITS = 1 << 16
-# A window whose minimizer stands in more rows than this (and than a 2**20th of all) may fill a task
-# by itself, so it is counted before rows are dealt; no more than 2**20 minimizers can be such.
-HOT_ROWS = 20_000
+# Windows of a minimizer that more windows than this name (and than a 2**20th of all) may fill a task by
+# themselves, so they are counted before rows are dealt; no more than 2**20 minimizers can be such.
+HOT_WINDOWS = 20_000
 HOT_MOST = 1 << 20
 
 _ODD = np.uint64(0x2545F4914F6CDD1D)
@@ -81,9 +81,9 @@ def _encoded(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def minimizers(texts: DataFrame, window: int) -> DataFrame:
-    """``minimizer, first, last, n``: those that several documents have, and in how many rows; written out.
+    """``minimizer, n``: those that several documents have, and how many windows name them; written out.
 
-    A row is a run of windows of one document that name the same one.
+    Windows of a document that name the same one in a row are one row.
     """
     kind = dict(texts.dtypes)["doc"]
 
@@ -94,18 +94,24 @@ def minimizers(texts: DataFrame, window: int) -> DataFrame:
                 text, _, _, least = _windows(words, window)
                 new = np.ones(len(least), dtype=bool)
                 new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+                new = np.flatnonzero(new)
+                size = np.diff(np.append(new, len(least))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least[new].view(np.int64)), doc.take(pa.array(text[new] + begin))], names=["minimizer", "doc"]
+                    [pa.array(least[new].view(np.int64)), doc.take(pa.array(text[new] + begin)), pa.array(size)],
+                    names=["minimizer", "doc", "size"],
                 )
 
     counted = (
         texts.select("doc", "text")
-        .mapInArrow(cut, f"minimizer long, doc {kind}")
+        .mapInArrow(cut, f"minimizer long, doc {kind}, size int")
         .groupBy("minimizer")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"), F.count("doc").alias("named"))
-    )
+        .agg(
+            F.min("doc").alias("first"), F.max("doc").alias("last"), F.sum("size").alias("n"),
+            F.bool_or(F.col("doc").isNull()).alias("unnamed"),
+        )
+    )
     # Rows without an id come after all others, and are not compared with each other.
-    return written(counted.where("first < last OR (named > 0 AND named < n)").select("minimizer", "n"))
+    return written(counted.where("first < last OR (first IS NOT NULL AND unnamed)").select("minimizer", "n"))
 
 
 def _filter(shared: DataFrame) -> np.ndarray:
@@ -122,9 +128,9 @@ def _filter(shared: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _hot(shared: DataFrame, hot_rows: int) -> np.ndarray:
+def _hot(shared: DataFrame, hot_windows: int) -> np.ndarray:
     total = shared.agg(F.sum("n")).first()[0] or 0
-    rows = shared.where(F.col("n") > max(hot_rows, total // HOT_MOST)).select("minimizer").collect()
+    rows = shared.where(F.col("n") > max(hot_windows, total // HOT_MOST)).select("minimizer").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64))
 
 
@@ -159,7 +165,7 @@ def _source() -> Column:
     return F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "text_hash", "place")))
 
 
-def repeated_edges(texts: DataFrame, window: int, hot_rows: int) -> DataFrame:
+def repeated_edges(texts: DataFrame, window: int, hot_windows: int) -> DataFrame:
     """``doc, text_hash, place, source``: the windows that an earlier document has, and where it has them first.
 
     Windows are dealt by their edge once, to find each group's source; those of hot minimizers by a
@@ -168,7 +174,7 @@ def repeated_edges(texts: DataFrame, window: int, hot_rows: int) -> DataFrame:
     context = texts.sparkSession.sparkContext
     shared = minimizers(texts, window)
     bits = context.broadcast(_filter(shared))
-    often = _hot(shared, hot_rows)
+    often = _hot(shared, hot_windows)
     hot = context.broadcast(often)
     cold = edges(texts, window, bits, hot, False).withColumn("source", _source().over(Window.partitionBy("edge")))
     found = cold
@@ -184,7 +190,7 @@ def spans(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW,
-    hot_rows: int = HOT_ROWS,
+    hot_windows: int = HOT_WINDOWS,
 ) -> DataFrame:
     """``doc, text_hash, first, windows, source_doc, source_hash, source_first``, written out.
 
@@ -196,7 +202,7 @@ def spans(
     without one, which come after all others. Repeated rows have equal spans, given once. Null and empty texts, and those of
     fewer words than a window, have none, and a table without rows gives none. Other columns are not read.
     """
-    steps = repeated_edges(_texts(docs, id_col, text_col), window, hot_rows)
+    steps = repeated_edges(_texts(docs, id_col, text_col), window, hot_windows)
     shift = F.col("source.place") - F.col("place")
     # Neighbours of one diagonal have places that rise with their rank; repeated rows have equal ranks.
     rank = F.dense_rank().over(
@@ -257,9 +263,9 @@ def _kept(text: str | None, firsts: list | None, lasts: list | None) -> tuple[in
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone) if not g)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot_rows: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot_windows: int) -> tuple[DataFrame, str]:
     """``docs`` and a column of each row's spans of words, or null."""
-    found = spans(docs, id_col, text_col, window, hot_rows)
+    found = spans(docs, id_col, text_col, window, hot_windows)
     doc, text_hash, cuts = (fresh(docs, c) for c in ("_span_doc", "_span_text", "_spans"))
     gathered = found.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).agg(
         F.collect_list(F.struct("first", (F.col("first") + F.col("windows") + window - 2).alias("last"))).alias(cuts)
@@ -269,14 +275,14 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot_ro
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_windows: int = HOT_WINDOWS
 ) -> DataFrame:
     """``docs`` with the words of repeated spans taken out; texts without any stay as they are, to the letter.
 
     Of the others the words that are left are joined by single spaces; a text that only repeats others becomes empty.
     Rows stay, and so do other columns. See ``spans`` for odd rows.
     """
-    joined, cuts = _with_spans(docs, id_col, text_col, window, hot_rows)
+    joined, cuts = _with_spans(docs, id_col, text_col, window, hot_windows)
 
     def work(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
         rows = zip(texts.to_pylist(), firsts.to_pylist(), lasts.to_pylist())
@@ -287,10 +293,10 @@ def without_repeats(
 
 
 def removals(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_rows: int = HOT_ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_windows: int = HOT_WINDOWS
 ) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256`` for every row, the hash of what ``without_repeats`` leaves as joined words."""
-    joined, cuts = _with_spans(docs.select(id_col, text_col), id_col, text_col, window, hot_rows)
+    joined, cuts = _with_spans(docs.select(id_col, text_col), id_col, text_col, window, hot_windows)
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def work(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
