@@ -36,14 +36,15 @@ HOT_WINDOWS = 20_000
 HOT_MOST = 1 << 20
 
 _ODD = np.uint64(0x2545F4914F6CDD1D)
+_OTHER = np.uint64(0x9E6C63D0876A9A35)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _runs(numbers: np.ndarray, size: int) -> np.ndarray:
+def _runs(numbers: np.ndarray, size: int, base: np.uint64 = _ODD) -> np.ndarray:
     """A hash of each run of ``size`` numbers."""
     total = np.zeros(max(0, len(numbers) - size + 1), dtype=np.uint64)
     for i in range(size):
-        total = total * _ODD + numbers[i : i + len(total)]
+        total = total * base + numbers[i : i + len(total)]
     total = (total ^ (total >> np.uint64(32))) * _MIX
     return total ^ (total >> np.uint64(29))
 
@@ -58,6 +59,14 @@ def _least(numbers: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _checks(words: Words, window: int, places: np.ndarray) -> np.ndarray:
+    """32 more bits for the windows that begin at some words: with its edge, a window has 96.
+
+    So of ten million million windows, some pair is taken for equal wrongly with a chance of one in a thousand.
+    """
+    return (_runs(words.numbers, window, _OTHER)[places] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``text, place, edge, minimizer`` of all windows of some texts' words."""
     total = np.diff(words.first)
@@ -135,7 +144,7 @@ def _hot(shared: DataFrame, hot_windows: int) -> np.ndarray:
 
 
 def edges(texts: DataFrame, window: int, bits: Broadcast, hot: Broadcast, of_hot: bool) -> DataFrame:
-    """``edge, doc, text_hash, place`` of the windows whose minimizer several documents (may) have.
+    """``edge, check, doc, text_hash, place`` of the windows whose minimizer several documents (may) have.
 
     Either those of hot minimizers or all others.
     """
@@ -152,12 +161,16 @@ def edges(texts: DataFrame, window: int, bits: Broadcast, hot: Broadcast, of_hot
                 kept = (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 kept = np.flatnonzero(kept & (np.isin(least, often) == of_hot))
                 rows = pa.array(text[kept] + begin)
+                check = _checks(words, window, place[kept] + words.first[text[kept]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge[kept].view(np.int64)), doc.take(rows), text_hash.take(rows), pa.array(place[kept])],
-                    names=["edge", "doc", "text_hash", "place"],
-                )
+                    [
+                        pa.array(edge[kept].view(np.int64)), pa.array(check), doc.take(rows), text_hash.take(rows),
+                        pa.array(place[kept]),
+                    ],
+                    names=["edge", "check", "doc", "text_hash", "place"],
+                )
 
-    return texts.mapInArrow(cut, f"edge long, doc {kind}, text_hash long, place int")
+    return texts.mapInArrow(cut, f"edge long, check int, doc {kind}, text_hash long, place int")
 
 
 def _source() -> Column:
@@ -176,13 +189,14 @@ def repeated_edges(texts: DataFrame, window: int, hot_windows: int) -> DataFrame
     bits = context.broadcast(_filter(shared))
     often = _hot(shared, hot_windows)
     hot = context.broadcast(often)
-    cold = edges(texts, window, bits, hot, False).withColumn("source", _source().over(Window.partitionBy("edge")))
+    alike = Window.partitionBy("edge", "check")
+    cold = edges(texts, window, bits, hot, False).withColumn("source", _source().over(alike))
     found = cold
     if len(often):
         rows = edges(texts, window, bits, hot, True)
-        found = cold.unionByName(rows.join(rows.groupBy("edge").agg(_source().alias("source")), "edge"))
+        found = cold.unionByName(rows.join(rows.groupBy("edge", "check").agg(_source().alias("source")), ["edge", "check"]))
     later = F.col("source").isNotNull() & (F.col("doc").isNull() | (F.col("source.doc") < F.col("doc")))
-    return found.where(later).drop("edge")
+    return found.where(later).drop("edge", "check")
 
 
 def spans(
