@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +30,8 @@ SHORT = 4
 # size. If it is full, more windows are compared and none is lost.
 FILTER_BITS = 1 << 27
 _BLOCK_BITS = 1 << 16
-# Windows of a minimizer that more windows than this name (and than a 2**20th of all) may fill a task by
-# themselves, so they are counted before rows are dealt; no more than 2**20 minimizers can be such.
+# Equal windows, more than this (and than a 2**20th of all), would fill a task by themselves, so they are
+# not dealt; at most 2**20 windows can be such, and their sources are sent to all tasks.
 HOT_WINDOWS = 20_000
 HOT_MOST = 1 << 20
 
@@ -137,40 +137,37 @@ def _filter(shared: DataFrame) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _hot(shared: DataFrame, hot_windows: int) -> np.ndarray:
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    rows = shared.where(F.col("n") > max(hot_windows, total // HOT_MOST)).select("minimizer").collect()
+def _often(shared: DataFrame, least: int) -> np.ndarray:
+    """Minimizers of more windows than ``least``, in order."""
+    rows = shared.where(F.col("n") > least).select("minimizer").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64))
 
 
-def edges(texts: DataFrame, window: int, bits: Broadcast, hot: Broadcast, of_hot: bool) -> DataFrame:
-    """``edge, check, doc, text_hash, place`` of the windows whose minimizer several documents (may) have.
+def _edges(texts: DataFrame, window: int, schema: str, keep) -> DataFrame:
+    """Rows ``doc, text_hash, place, edge, check`` of some windows, with more columns if ``keep`` adds any.
 
-    Either those of hot minimizers or all others.
+    ``keep(edge, check, minimizer)`` says which windows are kept and gives the columns that it adds.
     """
     kind = dict(texts.dtypes)["doc"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = bits.value, hot.value
         for batch in batches:
             doc, text_hash = batch.column("doc"), batch.column("text_hash")
             for begin, _, words in words_of_all(_encoded(batch), UNSPACED):
                 text, place, edge, least = _windows(words, window)
-                least = least.view(np.int64)
-                bit = least % FILTER_BITS
-                kept = (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                kept = np.flatnonzero(kept & (np.isin(least, often) == of_hot))
+                check = _checks(words, window, place + words.first[text])
+                kept, more = keep(edge.view(np.int64), check, least.view(np.int64))
                 rows = pa.array(text[kept] + begin)
-                check = _checks(words, window, place[kept] + words.first[text[kept]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(edge[kept].view(np.int64)), pa.array(check), doc.take(rows), text_hash.take(rows),
-                        pa.array(place[kept]),
-                    ],
-                    names=["edge", "check", "doc", "text_hash", "place"],
-                )
+                columns = {
+                    "doc": doc.take(rows),
+                    "text_hash": text_hash.take(rows),
+                    "place": pa.array(place[kept]),
+                    "edge": pa.array(edge[kept].view(np.int64)),
+                    "check": pa.array(check[kept]),
+                } | more
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return texts.mapInArrow(cut, f"edge long, check int, doc {kind}, text_hash long, place int")
+    return texts.mapInArrow(cut, f"doc {kind}, text_hash long, place int, edge long, check int{schema}")
 
 
 def _source() -> Column:
@@ -178,25 +175,81 @@ def _source() -> Column:
     return F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "text_hash", "place")))
 
 
+@dataclass
+class _Hot:
+    """Windows of so many copies that a task is not to hold them all, with their sources."""
+
+    edge: np.ndarray
+    check: np.ndarray
+    sources: pa.Table
+
+    def at(self, edge: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Where each window stands here, -1 where it does not."""
+        # Sorted by edge and then check; edges are distinct but for a chance that checks settle.
+        first, last = (np.searchsorted(self.edge, edge, side) for side in ("left", "right"))
+        found = np.full(len(edge), -1, dtype=np.int64)
+        for step in range(int((last - first).max(initial=0))):
+            near = np.flatnonzero(first + step < last)
+            same = near[self.check[first[near] + step] == check[near]]
+            found[same] = first[same] + step
+        return found
+
+
+def _hot(texts: DataFrame, window: int, minimizers: np.ndarray, least: int) -> _Hot:
+    """The windows that stand more than ``least`` times, by a count of those with often-named minimizers."""
+    shared = texts.sparkSession.sparkContext.broadcast(minimizers)
+
+    def keep(edge: np.ndarray, check: np.ndarray, minimizer: np.ndarray) -> tuple[np.ndarray, dict]:
+        return np.flatnonzero(np.isin(minimizer, shared.value)), {}
+
+    counted = (
+        _edges(texts, window, "", keep).groupBy("edge", "check").agg(F.count("*").alias("n"), _source().alias("source"))
+    )
+    rows = counted.where(F.col("n") > least).where("source IS NOT NULL")
+    table = rows.select(
+        "edge", "check", F.col("source.doc").alias("source_doc"), F.col("source.text_hash").alias("source_hash"),
+        F.col("source.place").alias("source_place"),
+    ).toArrow().sort_by([("edge", "ascending"), ("check", "ascending")])
+    names = ["source_doc", "source_hash", "source_place"]
+    return _Hot(table["edge"].to_numpy(), table["check"].to_numpy(), table.select(names).combine_chunks())
+
+
 def repeated_edges(texts: DataFrame, window: int, hot_windows: int) -> DataFrame:
-    """``doc, text_hash, place, source``: the windows that an earlier document has, and where it has them first.
+    """``doc, text_hash, place, source_doc, source_hash, source_place``: the windows that an earlier document has.
 
-    Windows are dealt by their edge once, to find each group's source; those of hot minimizers by a
-    count beforehand and a join that Spark splits.
+    With where it has them first. Windows are dealt by their edge, once; those of very many copies are counted
+    before and meet their source where texts are read.
     """
     context = texts.sparkSession.sparkContext
     shared = minimizers(texts, window)
     bits = context.broadcast(_filter(shared))
-    often = _hot(shared, hot_windows)
-    hot = context.broadcast(often)
-    alike = Window.partitionBy("edge", "check")
-    cold = edges(texts, window, bits, hot, False).withColumn("source", _source().over(alike))
-    found = cold
+    least = max(hot_windows, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_MOST)
+    often = _often(shared, least)
+    hot = context.broadcast(_hot(texts, window, often, least) if len(often) else None)
+
+    def cold_ones(edge: np.ndarray, check: np.ndarray, minimizer: np.ndarray) -> tuple[np.ndarray, dict]:
+        bit = minimizer % FILTER_BITS
+        kept = (bits.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        if hot.value:
+            kept &= hot.value.at(edge, check) < 0
+        return np.flatnonzero(kept), {}
+
+    def hot_ones(edge: np.ndarray, check: np.ndarray, minimizer: np.ndarray) -> tuple[np.ndarray, dict]:
+        found = hot.value.at(edge, check)
+        kept = np.flatnonzero(found >= 0)
+        sources = hot.value.sources.take(pa.array(found[kept]))
+        return kept, {n: sources[n].combine_chunks() for n in sources.column_names}
+
+    names = ["doc", "text_hash", "place", "source_doc", "source_hash", "source_place"]
+    source = _source().over(Window.partitionBy("edge", "check"))
+    found = _edges(texts, window, "", cold_ones).withColumn("s", source).where("s IS NOT NULL")
+    found = found.select(
+        *names[:3], F.col("s.doc").alias(names[3]), F.col("s.text_hash").alias(names[4]), F.col("s.place").alias(names[5])
+    )
     if len(often):
-        rows = edges(texts, window, bits, hot, True)
-        found = cold.unionByName(rows.join(rows.groupBy("edge", "check").agg(_source().alias("source")), ["edge", "check"]))
-    later = F.col("source").isNotNull() & (F.col("doc").isNull() | (F.col("source.doc") < F.col("doc")))
-    return found.where(later).drop("edge", "check")
+        more = f", source_doc {dict(texts.dtypes)['doc']}, source_hash long, source_place int"
+        found = found.unionByName(_edges(texts, window, more, hot_ones).select(*names))
+    return found.where(F.col("doc").isNull() | (F.col("source_doc") < F.col("doc")))
 
 
 def spans(
@@ -217,16 +270,13 @@ def spans(
     fewer words than a window, have none, and a table without rows gives none. Other columns are not read.
     """
     steps = repeated_edges(_texts(docs, id_col, text_col), window, hot_windows)
-    shift = F.col("source.place") - F.col("place")
+    shift = F.col("source_place") - F.col("place")
     # Neighbours of one diagonal have places that rise with their rank; repeated rows have equal ranks.
     rank = F.dense_rank().over(
         Window.partitionBy("doc", "text_hash", "source_doc", "source_hash", "shift").orderBy("place")
     )
     return written(
-        steps.select(
-            "doc", "text_hash", "place", shift.alias("shift"),
-            F.col("source.doc").alias("source_doc"), F.col("source.text_hash").alias("source_hash"),
-        )
+        steps.select("doc", "text_hash", "place", "source_doc", "source_hash", shift.alias("shift"))
         .withColumn("island", F.col("place") - rank)
         .groupBy("doc", "text_hash", "source_doc", "source_hash", "shift", "island")
         .agg(F.min("place").alias("first"), (F.max("place") - F.min("place") + 1).alias("windows"))
