@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import standins as S
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions import lists
-from tidewatch.operators import aggregates, cluster
+from tidewatch.operators import aggregates, cluster, neighbours
 from tidewatch.plans import jobs
 from tidewatch.session import written
 
@@ -459,6 +459,18 @@ def projection_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane.select("group", F.round(F.abs("x"), 5).alias("x"), F.round(F.abs("y"), 5).alias("y"))
 
 
+@query(PLANTED_SQL + f'SELECT DISTINCT "group", {KIND_SQL} AS kind FROM counts')
+def layout_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted groups with the kind that most of their five nearest in the layout are of, the group itself among them."""
+    vectors, _ = _planted_vectors(spark, sf_dir)
+    plane = written(neighbours.spectral_layout(vectors, "group", neighbours=5))
+    points = plane.select(F.col("group").alias("id"), F.array("x", "y").alias("vector"))
+    near = neighbours.search(points, points, 5).nearest
+    number = F.substring("neighbour", 2, 2).cast("int") % 3
+    kinds = near.select(F.col("id").alias("group"), F.concat(F.lit("G"), F.lpad(number.cast("string"), 2, "0")).alias("kind"))
+    return kinds.groupBy("group").agg(F.mode("kind").alias("kind"))
+
+
 def _cluster_profile(spark: SparkSession, sf_dir: str) -> jobs.ClusterProfile:
     return jobs.cluster_profile(*_planted(spark, sf_dir))
 

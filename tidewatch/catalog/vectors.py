@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query, table
-from tidewatch.operators import features, match
+from tidewatch.operators import features, match, neighbours
 from tidewatch.plans import jobs
 
 
@@ -72,16 +72,16 @@ def chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH scores AS (
   SELECT t.vec_id AS text_id, m.vec_id AS ordinal,
     list_cosine_similarity(t.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS score
-  FROM embeddings t, embeddings m WHERE m.vec_id < 20 AND t.vec_id >= 20
+  FROM embeddings t, embeddings m WHERE m.vec_id % 2 = 0 AND t.vec_id % 2 = 1
 )
 SELECT text_id, ordinal, round(score, 6) AS score FROM scores
 QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, ordinal) = 1
 """
 )
 def nearest_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 20 vectors play the techniques, all others the texts."""
+    """Vectors of even ids play the techniques, all others the texts."""
     vectors = table(spark, sf_dir, "embeddings")
-    known = F.col("vec_id") < 20
+    known = F.col("vec_id") % 2 == 0
     best = match.nearest(
         vectors.filter(~known).select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("vector")),
         vectors.filter(known).select(F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector")),
@@ -172,7 +172,7 @@ QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, ordinal) =
 """
 )
 def nearest_technique_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the vectors play the techniques, compared in shuffled blocks."""
+    """Vectors of odd ids play the techniques, dealt to blocks that texts meet or skip."""
     vectors = table(spark, sf_dir, "embeddings")
     known = F.col("vec_id") % 2 == 1
     best = match.nearest(
@@ -184,6 +184,28 @@ def nearest_technique_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("score", F.round("score", 6))
 
 
+@query(
+    """
+WITH pairs AS (
+  SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
+  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+)
+SELECT vec_id, neighbour, rank, round(distance, 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM pairs
+) WHERE rank <= 5
+"""
+)
+def projection_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of each vector: the edges that a layout is drawn from."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = neighbours.search(rows, rows, 5, exclude_same=True).nearest
+    return found.select(
+        F.col("id").alias("vec_id"), "neighbour", F.col("rank").cast("long").alias("rank"),
+        F.round("distance", 6).alias("distance"),
+    )
+
+
 def summary_sql(texts: str) -> str:
     """CTEs up to ``chosen`` (id, summary) over ``texts`` (id, text)."""
     return rf"""

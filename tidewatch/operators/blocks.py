@@ -55,6 +55,13 @@ def against_reference(
     return _blocked(rows, reference, reduce_batch, schema, id_col, rows_per_block), False
 
 
+def against_broadcast(
+    rows: DataFrame, reference: DataFrame, reduce_batch: Reduce, schema: str
+) -> DataFrame:
+    """``reduce_batch`` of each batch and the whole of a reference whose size the caller has checked."""
+    return _broadcast(rows, reference.toPandas(), reduce_batch, schema)
+
+
 def _pieces(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
     # Rows without a vector are left out here: a filter before this step would be
     # pushed below the vector's own projection and compute it twice.

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators import aggregates, blocks
+from tidewatch.operators import aggregates, blocks, neighbours
 from tidewatch.session import written
 
 # Seed, largest k and fall-back k of the sweep (fixed values).
@@ -76,18 +76,6 @@ def scaled_vectors(counts: DataFrame, key: str) -> tuple[DataFrame, int]:
     return found.select(key, vector.alias("vector")), dims
 
 
-def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` to all rows of ``b``."""
-    sums = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :]
-    square = np.maximum(sums - 2 * a @ b.T, 0)
-    # Rounding swamps the small difference of near copies, so that is taken directly.
-    near = np.nonzero(square <= 1e-6 * sums)
-    for start in range(0, len(near[0]), 100_000):
-        i, j = (n[start : start + 100_000] for n in near)
-        square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
-    return np.sqrt(square)
-
-
 def euclidean_silhouette(
     labelled: DataFrame, key: str, dims: int, broadcast_elements: int = blocks.BROADCAST_ELEMENTS,
     rows_per_block: int = blocks.ROWS_PER_BLOCK,
@@ -99,7 +87,7 @@ def euclidean_silhouette(
     id_type = dict(labelled.dtypes)[key]
 
     def sums(batch: pd.DataFrame, matrix: np.ndarray, info: pd.DataFrame) -> pd.DataFrame:
-        distances = pair_distances(blocks.stack(batch["vector"]), matrix)
+        distances = neighbours.euclidean(blocks.stack(batch["vector"]), matrix)
         labels = info["cluster"].to_numpy()
         parts = []
         for label in np.unique(labels):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators import blocks, dedupe, features
+from tidewatch.operators import blocks, dedupe, features, neighbours
 from tidewatch.operators.features import words_of
 from tidewatch.session import written
 
@@ -44,7 +44,9 @@ def nearest(
 
     ``texts`` holds ``text_id, vector``; ``techniques`` holds ``ordinal, vector``.
     Rows without a vector give no result. Equal technique vectors are reduced to
-    the first, so that rounding cannot decide between them.
+    the first, so that rounding cannot decide between them. Techniques of up to ``broadcast_elements`` numbers
+    are sent to all tasks; more are dealt to blocks, of which a text meets only those that can hold a
+    technique as near as one it has met.
     """
     id_type = dict(texts.dtypes)["text_id"]
     usable = dedupe.keep_first(
@@ -52,20 +54,20 @@ def nearest(
         ["vector"],
         [F.col("ordinal")],
     )
-    best, whole = blocks.against_reference(
-        texts.select("text_id", "vector"),
-        usable,
-        _best,
-        f"text_id {id_type}, ordinal long, score double",
-        "text_id",
-        dims,
-        broadcast_elements,
-        rows_per_block,
-    )
-    if whole:
-        return best
-    top = F.max_by(F.struct("ordinal", "score"), F.struct(F.col("score"), -F.col("ordinal")))
-    return best.groupBy("text_id").agg(top.alias("b")).select("text_id", "b.*")
+    schema = f"text_id {id_type}, ordinal long, score double"
+    most = max(1, broadcast_elements // max(1, dims))
+    if usable.limit(most + 1).count() <= most:
+        return blocks.against_broadcast(texts.select("text_id", "vector"), usable, _best, schema)
+    found = neighbours.search(
+        texts.select(F.col("text_id").alias("id"), "vector"),
+        usable.select(F.col("ordinal").alias("id"), "vector"),
+        1,
+        neighbours.chord,
+        rows_per_block=rows_per_block,
+    ).nearest
+    # The chord of two directions and their cosine.
+    score = 1 - F.col("distance") * F.col("distance") / 2
+    return found.select(F.col("id").alias("text_id"), F.col("neighbour").alias("ordinal"), score.alias("score"))
 
 
 # Technique postings (word, technique, weight) up to this number are sent whole to the

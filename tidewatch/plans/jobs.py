@@ -20,6 +20,7 @@ from tidewatch.operators import (
     filters,
     joins,
     match,
+    neighbours,
 )
 from tidewatch.session import written
 from tidewatch.sources import files, sinks, snapshots
@@ -202,6 +203,11 @@ class ClusterProfile:
     prompts: DataFrame
     radar: DataFrame
     catalogue: DataFrame
+    vectors: DataFrame
+
+    def layout(self) -> DataFrame:
+        """``group, x, y``: positions that keep similar groups together, also where no plane does."""
+        return neighbours.spectral_layout(self.vectors, "group")
 
 
 def technique_matrix(pairs: DataFrame, hosts: DataFrame, cves: DataFrame) -> DataFrame:
@@ -245,6 +251,7 @@ def cluster_profile(
         prompts,
         aggregates.radar_counts(counts),
         aggregates.technique_catalogue(known),
+        vectors,
     )
 
 
