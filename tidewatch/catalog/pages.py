@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query, table
 from tidewatch.functions import text
+from tidewatch.functions.nodes import pick
 from tidewatch.operators import cards, crawl, dedupe
 from tidewatch.plans import jobs
 from tidewatch.sources import files
@@ -138,13 +139,9 @@ def page_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MENU_RULE = cards.SiteRule(
     site="menu",
-    start=r"<li>",
-    title=r"(?s)<a\b[^>]*>(.*?)</a>",
-    url=r'<a href="([^"]*)"',
+    cards=(cards.CardRule(card=(pick("li"),), title=(pick("a"),), url=(pick("a"),)),),
     base="http://menu",
-    body_start=r"<article>",
-    body_tag="article",
-    paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
+    paragraphs=(pick("p", inside=pick("article")),),
     labels=("date",),
 )
 
@@ -199,7 +196,9 @@ def category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BODY_SQL = rf"""
 array_to_string(list_filter(list_transform(
-    regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1),
+    -- A paragraph also ends where the next one begins.
+    regexp_extract_all(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1),
+                         '(?i)<p([\s>])', '</p><p\1', 'g') || '</p>',
                        '(?is)<p\b[^>]*>(.*?)</p\s*>', 1),
     lambda p: {sql_inner("p")}), lambda p: p <> ''), chr(10) || chr(10))
 """
@@ -237,14 +236,9 @@ def image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEWS_RULE = cards.SiteRule(
     site="news",
-    start=r"<li>",
-    title=r"(?s)<a\b[^>]*>(.*?)</a>",
-    url=r'<a href="([^"]*)"',
-    date=r"<i>([^<]*)</i>",
+    cards=(cards.CardRule(card=(pick("li"),), title=(pick("a"),), url=(pick("a"),), date=(pick("i"),)),),
     url_prefix="http",
-    body_start=r"<article>",
-    body_tag="article",
-    paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
+    paragraphs=(pick("p", inside=pick("article")),),
     labels=("date",),
     category_in_name=True,
     once_per_url=True,

@@ -1,124 +1,132 @@
 """Article cards and bodies from saved listing and article pages, by per-site rules.
 
-A rule is data: where a card starts and a pattern for each field. A card's
-fragment runs from its start tag to the next one; an article's body is an
-element, which ends at its own end tag. Patterns become literals of one CASE expression, hence one scan of
-the pages serves every site and each pattern is compiled once.
+A rule is data: which elements are cards, and which elements of a card or an article page hold its fields. The
+rules are a small table joined to the pages by site, so every site is read by the same expression, and
+a page is cut into its elements once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions import dates, text
+from tidewatch.functions import dates, nodes, text
+from tidewatch.functions.nodes import PICKS, pick
 from tidewatch.operators import crawl, dedupe, filters
 from tidewatch.session import written
 
-NOTHING = r"(?!)"
+Picks = tuple[tuple, ...]
 
 
 @dataclass(frozen=True)
-class SiteRule:
-    """Patterns use one group for the value; a card starts where ``start`` matches.
+class CardRule:
+    """Which elements are cards, and which in a card hold its fields.
 
-    ``main_start`` stands in for ``start`` on the main listing. Where ``date_element`` matches, the date
-    is read from there on only, else from the whole card. With ``count_titled`` only cards with a
-    title and an address count as positions.
+    Without a pick for title or address the card itself has them. The date is the text, or ``date_attr``, of the
+    first element picked, or with ``date_scan`` of the first that shows a date; with ``date_anywhere`` a card
+    without such an element shows it anywhere. ``where`` limits the rule to the main listing or to the others.
     """
 
+    card: Picks
+    title: Picks = ()
+    url: Picks = ()
+    date: Picks = ()
+    date_attr: str = ""
+    date_scan: bool = False
+    date_anywhere: bool = False
+    summary: Picks = ()
+    image: Picks = ()
+    where: str = ""
+
+
+@dataclass(frozen=True)
+class SiteRule:
+    """A site's cards, in the order of their rules, its article pages and the way its articles are stored."""
+
     site: str
-    start: str
-    title: str
-    url: str
-    main_start: str | None = None
+    cards: tuple[CardRule, ...]
+    # Only cards with a title and an address are counted by ``position``.
     count_titled: bool = False
-    date: str = NOTHING
-    date_element: str = NOTHING
     date_kind: str = "iso"
-    summary: str = NOTHING
-    image: str = NOTHING
     base: str = ""
     url_prefix: str = ""
     max_cards: int | None = None
     main_max_cards: int | None = None
     main_exempt_from_date: bool = False
-    # Article page: the body is the element of this tag that starts here; empty ``paragraph`` takes
-    # its whole text.
-    body_start: str = NOTHING
-    body_tag: str = "div"
-    paragraph: str = ""
-    article_date: str = NOTHING
+    # Article page: the first such element is the body, or all such paragraphs are.
+    body: Picks = ()
+    paragraphs: Picks = ()
+    article_date: Picks = ()
     # Images of the body; whether ``data-src`` goes before ``src``, and svg files count.
-    images_in_body: bool = False
+    images: Picks = ()
     lazy_images: bool = True
     vector_images: bool = False
     no_body: str | None = "(본문 없음)"
     once_per_url: bool = False
-    # Stored article: labelled lines, folder date notation, and what the folder name starts with.
+    # Stored article: labelled lines, the label's date notation (empty: as the article page shows it),
+    # folder date notation, and what the folder name starts with.
     labels: tuple[str, ...] = ("date", "summary")
+    label_date: str = "yyyy-MM-dd"
     folder_date: str = "yyyy-MM-dd"
     category_in_name: bool = False
     number_is_position: bool = False
 
 
-_TAGGED = r"""(?is)<{tag}\b[^>]*?\bclass\s*=\s*["'][^"']*?\b{name}\b[^"']*["'][^>]*>"""
-
-
-def start_of(tag: str, name: str) -> str:
-    """Pattern of a start tag with a class."""
-    return _TAGGED.format(tag=tag, name=name)
-
-
-def inside(tag: str, name: str) -> str:
-    """Pattern of the content of the first element with a class."""
-    return start_of(tag, name) + rf"(.*?)</{tag}\s*>"
-
-
-_SRC = r"""(?is)<img\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""
-
 # Rules of the watched sites (fixed values).
 SITE_RULES = (
     SiteRule(
         site="boannews",
-        start=r"""(?i)<div\b[^>]*?\bclass\s*=\s*["'](?=[^"']*\bnews_(?:list|main)\b)[^"']*["'][^>]*>""",
-        title=r"""(?is)<(?:span|div|a|p)\b[^>]*?\bclass\s*=\s*["'](?=[^"']*\bnews_(?:txt|main_title)\b)[^"']*["'][^>]*>(.*?)</(?:span|div|a|p)\s*>""",
-        url=r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*/media/view\.asp[^"']*)["']""",
-        date=r"(\d{4}년\s*\d{1,2}월\s*\d{1,2}일)",
-        date_element=r"""(?i)<([a-z0-9]+)\b[^>]*?\bclass\s*=\s*["'][^"']*?\bnews_writer\b[^"']*["'][^>]*>""",
+        cards=(
+            CardRule(
+                card=(pick("div", "news_list"), pick("div", "news_main")),
+                title=(pick("", "news_txt"), pick("", "news_main_title")),
+                url=(pick("a", attr="href", value="/media/view.asp"),),
+                date=(pick("", "news_writer"),),
+                date_anywhere=True,
+                summary=(pick("", "news_content"), pick("", "news_main_txt")),
+            ),
+        ),
         date_kind="korean",
-        summary=r"""(?is)<(?:span|div|a|p)\b[^>]*?\bclass\s*=\s*["'](?=[^"']*\bnews_(?:content|main_txt)\b)[^"']*["'][^>]*>(.*?)</(?:span|div|a|p)\s*>""",
         base="https://www.boannews.com",
-        body_start=r"""(?i)<div\b[^>]*?\bid\s*=\s*["']news_content["'][^>]*>""",
+        body=(pick("", id="news_content"),),
     ),
     SiteRule(
         site="securityweek",
-        start=start_of("article", "zox-art-wrap"),
-        title=inside("h2", "zox-s-title2"),
-        url=r"""(?i)<a\b(?=[^>]*\brel\s*=\s*["']bookmark["'])[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
-        date=r"""(?i)<meta\b(?=[^>]*\bitemprop\s*=\s*["']dateModified["'])[^>]*?\bcontent\s*=\s*["']([^"']+)["']""",
-        summary=inside("p", "zox-s-graph"),
-        image=r"(?is)\bimg-ratio\b.*?" + _SRC,
-        body_start=start_of("div", "zox-post-body"),
-        paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
+        cards=(
+            CardRule(
+                card=(pick("article", "zox-art-wrap"),),
+                title=(pick("h2", "zox-s-title2"),),
+                url=(pick("a", attr="rel", value="bookmark", exact=True),),
+                date=(pick("meta", attr="itemprop", value="dateModified", exact=True),),
+                date_attr="content",
+                summary=(pick("p", "zox-s-graph"),),
+                image=(pick("img", inside=pick("div", "img-ratio")),),
+            ),
+        ),
+        paragraphs=(pick("p", inside=pick("div", "zox-post-body")),),
     ),
     SiteRule(
         site="gbhackers",
-        start=start_of("div", "td-module-container"),
-        main_start=start_of("div", "td_module_10"),
-        count_titled=True,
-        title=r"(?is)\bentry-title\b[^>]*>\s*<a\b[^>]*>(.*?)</a\s*>",
-        url=r"""(?is)\bentry-title\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
+        cards=(
+            CardRule(
+                card=(pick("a", inside=pick("h3", "entry-title"), child=True, around=pick("div", "td_module_10")),),
+                where="main",
+            ),
+            CardRule(
+                card=(pick("a", inside=pick("h3", "entry-title"), child=True, around=pick("div", "td-module-container")),),
+                where="other",
+            ),
+        ),
         max_cards=3,
         main_max_cards=5,
         main_exempt_from_date=True,
-        body_start=start_of("div", "td-post-content"),
-        article_date=inside("time", "entry-date"),
-        images_in_body=True,
+        body=(pick("div", "td-post-content"),),
+        article_date=(pick("time", "entry-date"),),
+        images=(pick("img", inside=pick("div", "td-post-content")),),
         vector_images=True,
         no_body="(본문을 찾을 수 없음)",
         once_per_url=True,
@@ -128,14 +136,30 @@ SITE_RULES = (
     ),
     SiteRule(
         site="security_affairs",
-        start=start_of("div", r"(?:banner-content|sngl-article|news-card-cont)"),
-        title=r"(?is)<h[156]\b[^>]*>\s*<a\b[^>]*>(.*?)</a\s*>",
-        url=r"""(?is)<h[156]\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
-        date_element=r"""(?i)<(p|div|span)\b[^>]*?\bclass\s*=\s*["'](?=[^"']*(?:\bdate\b|\bpost-time\b))[^"']*["'][^>]*>""",
-        date=r"((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{2}, \d{4})",
+        cards=(
+            CardRule(
+                card=(pick("div", "banner-content"),),
+                title=(pick("a", inside=pick("h1")),),
+                url=(pick("a", inside=pick("h1")),),
+                date=(pick("p", "date"),),
+            ),
+            CardRule(
+                card=(pick("div", "sngl-article"),),
+                title=(pick("a", inside=pick("h6"), child=True),),
+                url=(pick("a", inside=pick("h6"), child=True),),
+                date=(pick("span", inside=pick("", "post-time")),),
+            ),
+            CardRule(
+                card=(pick("div", "news-card-cont"),),
+                title=(pick("a", inside=pick("h5")),),
+                url=(pick("a", inside=pick("h5")),),
+                date=(pick("span", inside=pick("", "post-time")),),
+                date_scan=True,
+            ),
+        ),
         date_kind="display",
-        body_start=start_of("div", "article-details-block"),
-        images_in_body=True,
+        body=(pick("div", "article-details-block"),),
+        images=(pick("img", inside=pick("div", "article-details-block")),),
         lazy_images=False,
         labels=(),
         folder_date="MMMM dd, yyyy",
@@ -143,158 +167,208 @@ SITE_RULES = (
     ),
     SiteRule(
         site="thehackernews",
-        start=start_of("div", "body-post"),
-        title=inside("h2", "home-title"),
-        url=r"""(?i)<a\b(?=[^>]*\bclass\s*=\s*["'][^"']*\bstory-link\b)[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
-        image=r"(?is)\bimg-ratio\b.*?" + _SRC,
+        cards=(
+            CardRule(
+                card=(pick("div", "body-post", "clear"),),
+                title=(pick("h2", "home-title"),),
+                url=(pick("a", "story-link"),),
+                image=(pick("img", inside=pick("", "img-ratio")),),
+            ),
+        ),
+        count_titled=True,
         max_cards=4,
         main_max_cards=4,
-        body_start=start_of("div", "articlebody"),
-        paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
-        article_date=r"(?is)\bpostmeta\b.*?" + inside("span", "author"),
+        paragraphs=(pick("p", inside=pick("div", "articlebody")),),
+        article_date=(pick("span", "author", inside=pick("div", "postmeta")),),
         no_body=None,
         labels=("date",),
+        label_date="",
         category_in_name=True,
         number_is_position=True,
     ),
     SiteRule(
         site="bleeping_computer",
-        start=r"(?i)<li\b(?![^>]*\bbc_)[^>]*>",
-        title=r"(?is)<h4\b[^>]*>\s*<a\b[^>]*>(.*?)</a\s*>",
-        url=r"""(?is)<h4\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["']""",
-        date=inside("li", "bc_news_date"),
+        cards=(
+            CardRule(
+                card=(pick("li"),),
+                title=(pick("a", inside=pick("h4")),),
+                url=(pick("a", inside=pick("h4")),),
+                date=(pick("li", "bc_news_date"),),
+                summary=(pick("p"),),
+                image=(pick("img", inside=pick("", "bc_latest_news_img")),),
+            ),
+        ),
         date_kind="display",
-        summary=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
-        image=r"(?is)\bbc_latest_news_img\b.*?" + _SRC,
         url_prefix="https://www.bleepingcomputer.com/news/security/",
-        body_start=start_of("div", "articleBody"),
-        paragraph=r"(?is)<p\b[^>]*>(.*?)</p\s*>",
+        paragraphs=(pick("p", inside=pick("", "articleBody")),),
         no_body="",
+        label_date="MMM dd, yyyy",
         folder_date="MMM dd, yyyy",
     ),
 )
 
-
-def per_site(rules: Sequence[SiteRule], value: Callable[[SiteRule], Column]) -> Column:
-    """The value of the row's own site, as one CASE over ``site``."""
-    result = F.lit(None)
-    for rule in rules:
-        result = F.when(F.col("site") == rule.site, value(rule)).otherwise(result)
-    return result
+_CARD = (
+    f"struct<card:{PICKS},title:{PICKS},url:{PICKS},date:{PICKS},date_attr:string,date_scan:boolean,"
+    f"date_anywhere:boolean,summary:{PICKS},image:{PICKS},`where`:string>"
+)
+_RULE = (
+    f"site string, _rule struct<cards:array<{_CARD}>,count_titled:boolean,date_kind:string,base:string,"
+    f"url_prefix:string,max_cards:int,main_max_cards:int,main_exempt_from_date:boolean,body:{PICKS},"
+    f"paragraphs:{PICKS},article_date:{PICKS},images:{PICKS},lazy_images:boolean,vector_images:boolean,"
+    "no_body:string,once_per_url:boolean,labels:array<string>,label_date:string,folder_date:string,"
+    "category_in_name:boolean,number_is_position:boolean>"
+)
 
 
-def _found(fragment: Column, pattern: str) -> Column:
-    return F.lit("") if pattern == NOTHING else F.regexp_extract(fragment, pattern, 1)
+def with_rules(rows: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
+    """``rows`` of the rules' sites with ``_rule``. The table of rules has a row for each site, so it is broadcast."""
 
+    def values(rule) -> tuple:
+        return tuple(getattr(rule, name) for name in rule.__dataclass_fields__)
 
-def _date(found: Column, kind: str) -> Column:
-    value = text.inner_text(found)
-    if kind == "korean":
-        return dates.korean_date(value)
-    if kind == "display":
-        return dates.display_date(value)
-    return F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd")
+    spark: SparkSession = rows.sparkSession
+    table = [(r.site, (([values(c) for c in r.cards]), *values(r)[2:])) for r in rules]
+    return rows.join(F.broadcast(spark.createDataFrame(table, _RULE)), "site")
 
 
-def _card_date(card: Column, rule: SiteRule) -> Column:
-    """Date of a card: from its date element on where it has one, else from anywhere in it."""
-    place = card
-    if rule.date_element != NOTHING:
-        after = F.try_element_at(F.split(card, rule.date_element, 2), F.lit(2))
-        if rule.date_kind == "korean":
-            # The writer's own line alone counts; without a date in it the card has none.
-            after = F.substring_index(after, "</", 1)
-        place = F.coalesce(after, card)
-    return _date(_found(place, rule.date), rule.date_kind)
+def _rule(name: str) -> Column:
+    return F.col("_rule")[name]
 
 
-def _fragments(rule: SiteRule) -> Column:
-    """Cards of a listing page, in order; those without a title or an address are left out if they do not count."""
-    # The text before the first start tag is no card.
-    found = F.split("html", rule.start)
-    if rule.main_start:
-        main = F.coalesce(F.col("category") == "main", F.lit(True))
-        found = F.when(main, F.split("html", rule.main_start)).otherwise(found)
-    found = F.filter(found, lambda _, i: i > 0)
-    if not rule.count_titled:
-        return found
-    return F.filter(found, lambda c: (_found(c, rule.title) != "") & (_found(c, rule.url) != ""))
+def _date(found: Column, kind: Column) -> Column:
+    return nodes.with_value(
+        text.inner_text(found),
+        lambda value: F.when(kind == "korean", dates.korean_date(value))
+        .when(kind == "display", dates.display_date(value))
+        .otherwise(F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd")),
+    )
 
 
-def absolute(url: Column, base: str) -> Column:
+def absolute(url: Column, base: Column) -> Column:
     """Address with the site's base in front of a root-relative path."""
-    return F.when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url)
+    return F.when(url.startswith("/"), F.concat(base, url)).otherwise(url)
+
+
+def _attribute(node: Column, name: Column | str) -> Column:
+    return F.try_element_at(node["attrs"], F.lit(name) if isinstance(name, str) else name)
+
+
+def _cards(page: Column) -> Column:
+    """``array<struct<rule, node, inner>>``: the cards of a page with the elements inside each."""
+    main = F.coalesce(F.col("category") == "main", F.lit(True))
+
+    def of_rule(rule: Column) -> Column:
+        wanted = (rule["where"] == "") | ((rule["where"] == "main") == main)
+        cards = F.transform(
+            nodes.chosen(page, rule["card"]),
+            lambda n: F.struct(rule.alias("rule"), n.alias("node"), nodes.inside(page, n).alias("inner")),
+        )
+        return F.when(wanted, cards)
+
+    found = F.transform(_rule("cards"), of_rule)
+    return F.flatten(F.filter(found, lambda x: x.isNotNull()))
+
+
+def _fields(card: Column, html: Column) -> Column:
+    """A card's fields; the title and address are empty where it has none."""
+    rule, inner = card["rule"], card["inner"]
+
+    def shown(node: Column) -> Column:
+        return F.coalesce(nodes.content(html, node), F.lit(""))
+
+    def own(picks: Column) -> Column:
+        return F.when(F.size(picks) == 0, card["node"]).otherwise(nodes.first(nodes.chosen(inner, picks)))
+
+    def dated(node: Column) -> Column:
+        return F.when(rule["date_attr"] == "", shown(node)).otherwise(
+            F.coalesce(_attribute(node, rule["date_attr"]), F.lit(""))
+        )
+
+    days = nodes.with_value(
+        nodes.chosen(inner, rule["date"]),
+        lambda found: F.transform(
+            F.when(F.size(found) == 0, F.when(rule["date_anywhere"], F.array(shown(card["node"]))))
+            .when(rule["date_scan"], F.transform(found, dated))
+            .otherwise(F.array(dated(nodes.first(found)))),
+            lambda x: _date(x, _rule("date_kind")),
+        ),
+    )
+    return F.struct(
+        text.inner_text(shown(own(rule["title"]))).alias("title"),
+        F.trim(text.unescape(F.coalesce(_attribute(own(rule["url"]), "href"), F.lit("")))).alias("url"),
+        nodes.first(F.filter(days, lambda d: d.isNotNull())).alias("date"),
+        text.inner_text(shown(nodes.first(nodes.chosen(inner, rule["summary"])))).alias("summary"),
+        F.coalesce(_attribute(nodes.first(nodes.chosen(inner, rule["image"])), "src"), F.lit("")).alias("image"),
+    )
 
 
 def extract_cards(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
     """One row per card of each listing page ``(site, ..., html)``.
 
-    Adds ``position, title, url, date, summary, image``; cards without a title or
-    an address are dropped, positions still count them.
+    Adds ``place, position, title, url, date, summary, image``. Cards without a title or an address are dropped.
+    ``place`` is that among all cards; so is ``position``, but on sites that number only cards with
+    both. Without a ``category`` column all pages are main listings.
     """
-    cards = pages.select(
-        *[c for c in pages.columns if c != "html"],
-        F.posexplode(per_site(rules, _fragments)).alias("_at", "_card"),
+    kept = [c for c in pages.columns if c != "html"]
+    if "category" not in pages.columns:
+        pages = pages.withColumn("category", F.lit("main"))
+    # Cut where it is read: one step for the elements, one for the cards.
+    cut = with_rules(pages.withColumn("_nodes", nodes.elements(F.col("html"))), rules)
+    found = cut.withColumn("_cards", _cards(F.col("_nodes"))).drop("_nodes")
+    fields = found.withColumn("_fields", F.transform("_cards", lambda c: _fields(c, F.col("html")))).select(
+        *kept, "_rule", F.posexplode("_fields").alias("_at", "_card"), "_fields"
     )
-    card = F.col("_card")
-    fields = cards.select(
-        *[c for c in cards.columns if c not in ("_at", "_card")],
-        (F.col("_at") + 1).alias("position"),
-        per_site(rules, lambda r: text.inner_text(_found(card, r.title))).alias("title"),
-        per_site(
-            rules, lambda r: absolute(F.trim(text.unescape(_found(card, r.url))), r.base)
-        ).alias("url"),
-        per_site(rules, lambda r: _card_date(card, r)).alias("date"),
-        per_site(rules, lambda r: text.inner_text(_found(card, r.summary))).alias("summary"),
-        per_site(rules, lambda r: _found(card, r.image)).alias("image"),
+    ok = (F.col("_card.title") != "") & (F.col("_card.url") != "")
+    before = F.filter(
+        F.slice("_fields", F.lit(1), F.col("_at") + 1), lambda c: (c["title"] != "") & (c["url"] != "")
     )
-    prefix = per_site(rules, lambda r: F.lit(r.url_prefix))
-    return fields.filter(
-        (F.col("title") != "") & (F.col("url") != "") & F.col("url").startswith(prefix)
-    )
-
+    position = F.when(_rule("count_titled"), F.size(before)).otherwise(F.col("_at") + 1)
+    placed = fields.where(ok).select(
+        *kept, (F.col("_at") + 1).alias("place"), position.alias("position"), "_card.title",
+        absolute(F.col("_card.url"), _rule("base")).alias("url"), "_card.date", "_card.summary", "_card.image", "_rule",
+    )
+    return placed.where(F.col("url").startswith(_rule("url_prefix"))).drop("_rule")
 
-def body_fragment(html: Column, rule: SiteRule) -> Column:
-    """The content of the article's body element; null when there is none."""
-    if rule.body_start == NOTHING:
-        return F.lit(None).cast("string")
-    return text.element(html, rule.body_start, rule.body_tag)
 
-
-def body_text(html: Column, rule: SiteRule) -> Column:
+def _body(page: Column, html: Column) -> Column:
     """Body text; paragraphs are trimmed, blanks dropped, joined by an empty line."""
-    fragment = body_fragment(html, rule)
-    if not rule.paragraph:
-        return text.block_text(fragment)
     paragraphs = F.transform(
-        F.regexp_extract_all(fragment, F.lit(rule.paragraph), F.lit(1)), text.inner_text
+        nodes.chosen(page, _rule("paragraphs")), lambda p: text.inner_text(nodes.content(html, p))
     )
-    return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
+    joined = F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
+    whole = text.block_text(nodes.content(html, nodes.first(nodes.chosen(page, _rule("body")))))
+    return F.when(F.size(_rule("paragraphs")) > 0, joined).otherwise(whole)
 
 
-def article_bodies(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
-    """``body`` in the place of ``html``: an empty one is the site's placeholder, or null where
-    the site drops such articles.
-    """
-    body = per_site(rules, lambda r: body_text(F.col("html"), r))
-    empty = per_site(rules, lambda r: F.lit(r.no_body))
-    found = pages.withColumn("_body", body).drop("html")
-    return found.withColumn("body", F.coalesce(F.nullif("_body", F.lit("")), empty)).drop("_body")
+def _images(page: Column) -> Column:
+    return image_addresses(
+        nodes.chosen(page, _rule("images")), _rule("lazy_images"), _rule("vector_images")
+    )
 
 
-def image_links(html: Column, lazy: bool = True, vectors: bool = False) -> Column:
-    """Image addresses of a fragment, http only: ``data-src`` first if ``lazy``, svg files if ``vectors``."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+def image_addresses(images: Column, lazy: Column, vectors: Column) -> Column:
+    """Addresses of image elements, http only: ``data-src`` first if ``lazy``, svg files if ``vectors``."""
+
+    def link(node: Column) -> Column:
+        plain = F.coalesce(_attribute(node, "src"), F.lit(""))
+        return F.when(lazy, F.coalesce(F.nullif(_attribute(node, "data-src"), F.lit("")), plain)).otherwise(plain)
 
-    def link(tag: Column) -> Column:
-        found = F.regexp_extract(tag, r"""(?is)\bdata-src\s*=\s*["']([^"']+)["']""", 1)
-        plain = F.regexp_extract(tag, r"""(?is)(?<![\w-])src\s*=\s*["']([^"']+)["']""", 1)
-        return F.coalesce(F.nullif(found, F.lit("")), plain) if lazy else plain
+    return F.filter(F.transform(images, link), lambda a: a.startswith("http") & (vectors | ~a.endswith(".svg")))
 
-    def usable(address: Column) -> Column:
-        return address.startswith("http") & (F.lit(vectors) | ~address.endswith(".svg"))
 
-    return F.filter(F.transform(tags, link), usable)
+def image_links(html: Column, lazy: bool = True, vectors: bool = False) -> Column:
+    """Image addresses of a fragment, by the rule of ``image_addresses``."""
+    images = F.filter(nodes.elements(html), lambda n: n["tag"] == "img")
+    return image_addresses(images, F.lit(lazy), F.lit(vectors))
+
+
+def article_bodies(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES) -> DataFrame:
+    """``body`` in the place of ``html``: an empty one is the site's placeholder, or null where
+    the site drops such articles. Pages of sites without a rule are left out.
+    """
+    cut = with_rules(pages.withColumn("_nodes", nodes.elements(F.col("html"))), rules)
+    body = F.coalesce(F.nullif(_body(F.col("_nodes"), F.col("html")), F.lit("")), _rule("no_body"))
+    return cut.withColumn("body", body).drop("_nodes", "_rule", "html")
 
 
 def read_articles(
@@ -305,38 +379,27 @@ def read_articles(
 ) -> DataFrame:
     """Cards joined to their article pages ``(url, html)``: body, date and image links.
 
-    The page's own date stands in where the listing shows none. Fields are cut
-    out of the page before the join, so its markup is not shuffled; every site's
-    patterns apply only to that site's cards through the address's own row. Of several
+    The page's own date stands in where the listing shows none; ``shown`` is its text. Only pages of the cards'
+    addresses are cut, before the join, so markup is not shuffled with the cards. Of several
     saved copies of a page the one with the largest ``newest_by`` counts.
     """
     order = F.col(newest_by) if newest_by else F.lit(0)
     pages = article_pages.select("site", "url", "html", order.alias("_order"))
-    images = per_site(
-        rules,
-        lambda r: image_links(body_fragment(F.col("html"), r), r.lazy_images, r.vector_images)
-        if r.images_in_body
-        else F.array().cast("array<string>"),
-    )
-    shown = per_site(
-        rules, lambda r: dates.display_date(text.inner_text(_found(F.col("html"), r.article_date)))
-    )
-    parsed = article_bodies(
-        pages.withColumns(
-            {
-                "_shown": shown,
-                "images": F.coalesce(images, F.array().cast("array<string>")),
-            }
-        ),
-        rules,
-    )
+    wanted = pages.join(cards.select("site", "url").distinct(), ["site", "url"], "left_semi")
+    cut = with_rules(wanted.withColumn("_nodes", nodes.elements(F.col("html"))), rules)
+    page, html = F.col("_nodes"), F.col("html")
+    shown = nodes.content(html, nodes.first(nodes.chosen(page, _rule("article_date"))))
+    parsed = cut.select(
+        "site", "url", "_order",
+        F.coalesce(F.nullif(_body(page, html), F.lit("")), _rule("no_body")).alias("body"),
+        _images(page).alias("images"), text.inner_text(F.coalesce(shown, F.lit(""))).alias("shown"),
+    )
     one = dedupe.keep_first(
         parsed, ["site", "url"], [F.desc_nulls_last("_order"), F.col("body"), F.col("images")]
     ).drop("_order")
     return (
         cards.join(one, ["site", "url"])
-        .withColumn("date", F.coalesce("date", "_shown"))
-        .drop("_shown")
+        .withColumn("date", F.coalesce("date", dates.display_date(F.col("shown"))))
         .filter(F.col("body").isNotNull())
     )
 
@@ -355,60 +418,48 @@ def select_articles(
     """
     listing_pages = listing_pages.fillna("main", subset=["category"])
     is_main = F.col("category") == "main"
-    limit = per_site(
-        rules,
-        lambda r: F.when(is_main, F.lit(r.main_max_cards)).otherwise(F.lit(r.max_cards)),
-    )
-    cards = crawl.first_cards(extract_cards(listing_pages, rules), limit)
-    exempt = per_site(rules, lambda r: F.lit(r.main_exempt_from_date)) & is_main
+    found = with_rules(extract_cards(listing_pages, rules), rules)
+    # A site's limit is one of places, before cards without a title are left out.
+    limit = F.when(is_main, _rule("main_max_cards")).otherwise(_rule("max_cards"))
+    exempt = _rule("main_exempt_from_date") & is_main
     # A listing that shows dates is cut to today before the article pages are joined.
-    early = cards.filter(
+    cards = found.where(limit.isNull() | (F.col("place") <= limit)).where(
         F.col("date").isNull() | exempt | filters.on_day(F.col("date"), as_of)
     )
-    today = read_articles(early, article_pages, rules, newest_by).filter(
+    # Few next to the pages, and read for their addresses first.
+    early = written(cards.drop("_rule"))
+    today = with_rules(read_articles(early, article_pages, rules, newest_by), rules).filter(
         exempt | filters.on_day(F.col("date"), as_of)
     )
-    once = per_site(rules, lambda r: F.lit(r.once_per_url))
     # Today's articles are few next to the pages, and each branch below needs them.
-    today = written(today.withColumn("_once", once))
-    kept = crawl.once_per_url(today.filter("_once")).unionByName(today.filter(~F.col("_once")))
-    numbered = crawl.number_in_listing(
-        written(kept.drop("_once")), ["site", "category"], "page", "position"
-    )
-    return numbered.withColumns(
-        {"text": article_text(rules), "path": article_path(rules, as_of)}
-    )
+    today = written(today)
+    once = _rule("once_per_url")
+    kept = crawl.once_per_url(today.filter(once)).unionByName(today.filter(~once))
+    numbered = crawl.number_in_listing(written(kept), ["site", "category"], "page", "position")
+    return numbered.withColumns({"text": article_text(), "path": article_path(as_of)}).drop("_rule", "place", "shown")
 
 
-def article_text(rules: Sequence[SiteRule]) -> Column:
-    def rendered(rule: SiteRule) -> Column:
+def article_text() -> Column:
+    """The stored article, labelled as its site's rule says, with the date in the site's own notation."""
+    notation = _rule("label_date")
+    day = F.when(notation == "", F.col("shown")).otherwise(F.call_function("date_format", F.col("date"), notation))
+    day = F.coalesce(day, F.lit(""))
+
+    def rendered(with_date: bool, with_summary: bool) -> Column:
         return text.render_article(
-            F.col("title"),
-            F.col("url"),
-            F.col("body"),
-            dates.date_text(F.col("date")) if "date" in rule.labels else None,
-            F.col("summary") if "summary" in rule.labels else None,
+            F.col("title"), F.col("url"), F.col("body"), day if with_date else None, F.col("summary") if with_summary else None
         )
 
-    return per_site(rules, rendered)
+    dated, summed = (F.array_contains(_rule("labels"), n) for n in ("date", "summary"))
+    return (
+        F.when(dated & summed, rendered(True, True)).when(dated, rendered(True, False)).otherwise(rendered(False, False))
+    )
 
 
-def article_path(rules: Sequence[SiteRule], as_of: date | str) -> Column:
+def article_path(as_of: date | str) -> Column:
     """``site/date/number_title/article.txt``, as the article source expects it."""
     day = F.lit(str(as_of)).cast("date")
-    safe = F.when(F.col("site") == "boannews", text.slug_hangul(F.col("title"))).otherwise(
-        text.slug(F.col("title"))
-    )
-
-    def folder(rule: SiteRule) -> Column:
-        number = F.col("position") if rule.number_is_position else F.col("seq")
-        parts = [F.col("category")] if rule.category_in_name else []
-        return F.concat_ws("_", *parts, number.cast("string"), safe)
-
-    return F.concat_ws(
-        "/",
-        F.col("site"),
-        per_site(rules, lambda r: F.date_format(day, r.folder_date)),
-        per_site(rules, folder),
-        F.lit("article.txt"),
-    )
+    safe = F.when(F.col("site") == "boannews", text.slug_hangul(F.col("title"))).otherwise(text.slug(F.col("title")))
+    number = F.when(_rule("number_is_position"), F.col("position")).otherwise(F.col("seq"))
+    named = F.concat_ws("_", F.when(_rule("category_in_name"), F.col("category")), number.cast("string"), safe)
+    return F.concat_ws("/", F.col("site"), F.call_function("date_format", day, _rule("folder_date")), named, F.lit("article.txt"))
