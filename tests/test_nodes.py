@@ -61,6 +61,6 @@ PAGE = """<div class="card clear"><h3 class="t"><a href="/one" rel="bookmark">1<
 )
 def test_choice(spark, picks, expected):
     frame = spark.createDataFrame([(PAGE, list(picks))], f"html string, picks {PICKS}")
-    found = nodes.chosen(nodes.elements(F.col("html")), F.col("picks"))
-    row = frame.select(F.transform(found, lambda n: nodes.content(F.col("html"), n))).first()
+    found = nodes.chosen(F.col("nodes"), F.col("picks"))
+    row = frame.withColumn("nodes", nodes.elements(F.col("html"))).select(F.transform(found, lambda n: nodes.content(F.col("html"), n))).first()
     assert row[0] == expected

@@ -8,6 +8,7 @@ serves every kind of page.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -46,7 +47,7 @@ _ENDS = {
     "li": (("li",), ("ul", "ol")),
     "dt": (("dt", "dd"), ("dl",)),
     "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th"), ("table",)),
+    "tr": (("tr",), ("table",)),
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
@@ -57,14 +58,19 @@ def _elements(page: str | None) -> list[tuple]:
     """Elements of a page in the order of their starts; open ones end with their parent."""
     found: list[list] = []
     opened: list[int] = []
+    # How many of each name are open, so that ends without a start cost nothing.
+    names_open: Counter = Counter()
     page = page or ""
 
     def close(to: int, at: int) -> None:
         while len(opened) > to:
             node = found[opened.pop()]
+            names_open[node[0]] -= 1
             node[5], node[7] = len(found) - 1 - node[8], at
 
     def last(names, before) -> int:
+        if not any(names_open[n] for n in names):
+            return -1
         for k in reversed(range(len(opened))):
             if found[opened[k]][0] in names:
                 return k
@@ -72,8 +78,9 @@ def _elements(page: str | None) -> list[tuple]:
                 return -1
         return -1
 
-    at = 0
-    while token := _TOKEN.search(page, at):
+    # Nothing is a tag after the last sign that can end one.
+    at, end_of_tags = 0, page.rfind(">") + 1
+    while token := _TOKEN.search(page, at, end_of_tags):
         at = token.end()
         name = (token[2] or "").lower()
         if not name:
@@ -98,6 +105,7 @@ def _elements(page: str | None) -> list[tuple]:
             node[7], at = (end.start(), end.end()) if end else (len(page), len(page))
         elif name not in _VOID:
             opened.append(len(found) - 1)
+            names_open[name] += 1
     close(0, len(page))
     return [tuple(n[:8]) for n in found]
 
