@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch import schemas
 from tidewatch.functions import text
 from tidewatch.operators import dedupe
-from tidewatch.sources import files, sinks
+from tidewatch.sources import files, sinks, tables
 
 ARTICLE = "제목: First title\nURL: http://a/1\n날짜: 2025-06-03\n\n요약: short\n\n본문:\nline one\n\nline two\n"
 
@@ -139,3 +139,54 @@ def test_rendered_article_reads_back(spark, tmp_path):
     row = df.select(full.alias("full"), short.alias("short")).first()
     assert row.full == "제목: T\nURL: http://u\n날짜: 2025-06-03\n\n요약: s\n\n본문:\nb1\n\nb2"
     assert row.short == "제목: T\nURL: http://u\n\nb1\n\nb2"
+
+
+def test_repeated_and_unreadable_headers(spark, tmp_path):
+    put(tmp_path, "a.csv", "url,url,Group,group\nu1,u2,g1,g2\n")
+    put(tmp_path, "b.csv", 'url,"broken\nu9,x\n')
+    put(tmp_path, "c.csv", "url,group\nu3,g3\n")
+    put(tmp_path, "d.csv", "")
+    got = files.read_csv_folder(spark, str(tmp_path))
+    assert sorted(tuple(r[c] for c in ("url", "url.1", "Group", "group.1")) for r in got.collect()) == [
+        ("u1", "u2", "g1", "g2"), ("u3", None, "g3", None),
+    ]
+
+
+def test_keyed_table_grows_by_new_keys_only(spark, tmp_path):
+    path, schema = str(tmp_path / "hosts"), "url string, a string, file string, ordinal int"
+    base = spark.createDataFrame([("u1", "base"), (None, "base"), ("", "base"), ("null", "base")], "url string, a string")
+    tables.create_keyed(base, "keyed_hosts", path, buckets=4)
+    new = spark.createDataFrame(
+        [("u1", "x", "f", 1), (None, "x", "f", 2), ("u2", "second", "f", 4), ("u2", "first", "f", 3), ("null", "x", "f", 5)], schema
+    )
+    before = {f.name for f in (tmp_path / "hosts").iterdir()}
+    assert tables.merge_keyed(spark, "keyed_hosts", path, new.withColumn("more", F.lit(1)), buckets=4) == {"added_rows": 1}
+    assert tables.merge_keyed(spark, "keyed_hosts", path, new.drop("a"), buckets=4) == {"added_rows": 0}
+    # What the table had was not written again.
+    assert before <= {f.name for f in (tmp_path / "hosts").iterdir()}
+    got = {(r.url, r.a) for r in tables.read_keyed(spark, "keyed_hosts").collect()}
+    assert got == {("u1", "base"), (None, "base"), ("", "base"), ("null", "base"), ("u2", "first")}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = tables.new_rows(spark.table("keyed_hosts"), new)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    base_side = plan[: plan.index("FileScan")].rsplit("Join", 1)[1].rsplit("+-", 2)
+    assert "Bucketed: true" in plan and "Exchange" not in "".join(base_side[-2:])
+    spark.sql("DROP TABLE keyed_hosts")
+
+
+def test_days_are_replaced_and_read_alone(spark, tmp_path):
+    path = str(tmp_path / "days")
+    first = [("June 3, 2025", 1), ("2025-06-03", 2), ("2025-06-02", 3), ("no day", 4), (None, 5)]
+    tables.write_days(spark.createDataFrame(first, "date string, n int"), path)
+    tables.write_days(spark.createDataFrame([("Jun 03, 2025", 6)], "date string, n int"), path)
+    assert [tuple(r) for r in tables.read_day(spark, path, "2025-06-03").collect()] == [("Jun 03, 2025", 6)]
+    assert [r.n for r in tables.read_day(spark, path, "2025-06-02").collect()] == [3]
+    assert tables.read_day(spark, path, "2024-01-01").count() == 0
+    plan = tables.read_day(spark, path, "2025-06-03")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_day" in plan and "PushedFilters: []" in plan
+    assert spark.read.parquet(path).count() == 4

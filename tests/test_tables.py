@@ -86,7 +86,9 @@ def test_merge_keeps_base_rows_and_aligns_columns(spark):
     merged = dedupe.merge_keep_first(base, [new])
     assert merged.columns == ["url", "a", "b"]
     assert rows(merged) == [("u1", "base1", None), ("u2", "new4", 4), (None, "base3", None)]
-    assert rows(dedupe.merge_counts(base, merged)) == [(2, 3, 1)]
+    counted_merge, counted = dedupe.observed_merge(base, [new])
+    assert rows(counted_merge) == rows(merged)
+    assert counted.get == {"base_rows": 2, "merged_rows": 3, "added_rows": 1}
 
 
 def test_holdout_matches_null_to_null(spark):
@@ -94,6 +96,9 @@ def test_holdout_matches_null_to_null(spark):
     train = spark.createDataFrame([("a",), (None,)], "url string")
     hold = spark.createDataFrame([("c", "f", 1), ("c", "f", 2)], "url string, file string, ordinal int")
     assert rows(dedupe.refresh_holdout(new, train, hold)) == [("b",), ("c",)]
+    kept, before, after = dedupe.observed_holdout(new, train, hold)
+    assert rows(kept) == [("b",), ("c",)]
+    assert before.get | after.get == {"left_rows": 1, "merged_rows": 3, "final_rows": 2}
 
 
 def test_add_coordinates(spark):

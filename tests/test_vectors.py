@@ -53,6 +53,18 @@ def test_blank_texts_have_no_match(spark):
     assert len(by_text.collect()) == 4
 
 
+@pytest.mark.parametrize("broadcast_postings", [10_000, 0])
+def test_one_technique_and_words_of_all_can_be_found(spark, broadcast_postings):
+    texts = spark.createDataFrame([(1, "Phishing mail"), (2, "other")], "id int, body string")
+    schema = "technique_id string, technique_name string, description string"
+    one = spark.createDataFrame([("T1", "Phishing", "d")], schema)
+    got = {r.id: r.mitre_match for r in jobs.match_techniques(texts, one, "body", broadcast_postings=broadcast_postings).collect()}
+    assert got[1].id == "T1" and got[1].score == pytest.approx(1) and got[2] is None
+    two = spark.createDataFrame([("T1", "mail scan", "d"), ("T2", "mail", "d")], schema)
+    found = jobs.match_techniques(texts, two, "body", broadcast_postings=broadcast_postings).where("id = 1").first()
+    assert found.mitre_match.id == "T2"
+
+
 @pytest.mark.parametrize("broadcast_postings", [10_000, 0])
 def test_every_technique_can_be_found(spark, broadcast_postings):
     """700 techniques that differ in one word; ties, repeated and null ids keep their rows."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import standins as S
@@ -10,7 +12,8 @@ from tidewatch.catalog.registry import query, table
 from tidewatch.functions import lists
 from tidewatch.operators import aggregates, dedupe, joins, match
 from tidewatch.plans import jobs
-from tidewatch.sources import snapshots
+from tidewatch.session import delete_at_exit, shared_dir, written
+from tidewatch.sources import snapshots, tables
 
 
 def _url_table(spark: SparkSession, sf_dir: str, part: int, extra: str | None = None) -> DataFrame:
@@ -63,6 +66,27 @@ def merge_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    URL_SQL
+    + """
+, merged AS (
+  SELECT url, "group", row_id, row_number() OVER (PARTITION BY url ORDER BY part, row_id) AS r FROM urls
+)
+SELECT COALESCE(url, 'none') AS url, "group", row_id FROM merged WHERE r = 1
+"""
+)
+def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed table that two runs add to; each run is repeated, which adds nothing."""
+    name = f"hosts_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    base = dedupe.merge_keep_first(_url_table(spark, sf_dir, 0), [])
+    tables.create_keyed(base, name, path, buckets=8)
+    delete_at_exit(spark, path)
+    for part in (1, 1, 2, 2):
+        tables.merge_keyed(spark, name, path, _url_table(spark, sf_dir, part), buckets=8)
+    return tables.read_keyed(spark, name).withColumn("url", F.coalesce("url", F.lit("none")))
+
+
 @query(
     URL_SQL
     + """
@@ -76,9 +100,16 @@ SELECT CAST(base_rows AS BIGINT) AS base_rows, CAST(merged_rows AS BIGINT) AS me
 """
 )
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _url_table(spark, sf_dir, 0)
-    merged = jobs.merge_hosts(base, _url_table(spark, sf_dir, 1), _url_table(spark, sf_dir, 2))
-    return dedupe.merge_counts(base, merged)
+    """Counted while the merged table is written."""
+    new = [_url_table(spark, sf_dir, 1), _url_table(spark, sf_dir, 2)]
+    merged, counted = dedupe.observed_merge(_url_table(spark, sf_dir, 0), new)
+    written(merged)
+    return _counters(spark, counted)
+
+
+def _counters(spark: SparkSession, *counted: Observation) -> DataFrame:
+    numbers = {name: n for c in counted for name, n in c.get.items()}
+    return spark.createDataFrame([tuple(numbers.values())], ", ".join(f"{n} long" for n in numbers))
 
 
 @query(
@@ -94,7 +125,9 @@ SELECT (SELECT count(*) FROM fresh) AS left_rows, count(*) AS merged_rows,
 )
 def holdout_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = _url_table(spark, sf_dir, 2).withColumnRenamed("url", "extracted_url")
-    return dedupe.holdout_counts(new, _url_table(spark, sf_dir, 1), _url_table(spark, sf_dir, 0))
+    kept, before, after = dedupe.observed_holdout(new, _url_table(spark, sf_dir, 1), _url_table(spark, sf_dir, 0))
+    written(kept)
+    return _counters(spark, before, after)
 
 
 @query(

@@ -11,13 +11,13 @@ from tidewatch.plans import jobs
 
 
 def vector_sql(texts: str, fit: str | None = None) -> str:
-    """CTEs ``tokens`` (id, raw, words) and ``vocabulary`` (word, idf) fitted on ``fit``."""
+    """CTEs ``tokens`` (id, raw, words) and ``vocabulary`` (word, idf) fitted on ``fit``, there with one more."""
     split = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
     return f"""
 WITH tokens AS (SELECT id, text AS raw, {split} AS words FROM ({texts})),
 fit_tokens AS (SELECT id, text AS raw, {split} AS words FROM ({fit or texts})),
 vocabulary AS (
-  SELECT word, ln(((SELECT count(*) FROM fit_tokens WHERE trim(raw) <> '') + 1) / (count(*) + 1)) AS idf
+  SELECT word, ln(((SELECT count(*) FROM fit_tokens WHERE trim(raw) <> '') + 1) / (count(*) + 1)) {"+ 1" if fit else ""} AS idf
   FROM (SELECT unnest(list_distinct(words)) AS word FROM fit_tokens)
   GROUP BY word
 )

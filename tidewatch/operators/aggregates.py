@@ -107,12 +107,10 @@ def top_totals(counts: DataFrame, k: int = 8) -> DataFrame:
 def zero_filled(counts: DataFrame, key: str) -> DataFrame:
     """``key, technique_id, count`` of every key and technique, absent pairs as 0.
 
-    The keys, which name the rows of the matrix, are listed by the driver.
+    The techniques, which name the columns of the matrix, are one value of a subquery; keys may be many.
     """
-    kind = counts.schema[key].dataType
-    names = [F.lit(row[0]).cast(kind) for row in counts.select(key).distinct().collect()]
-    known = counts.select("technique_id").distinct()
-    grid = known.select(F.explode(F.array(*names)).alias(key), "technique_id")
+    names = counts.select(F.collect_set("technique_id")).scalar()
+    grid = counts.select(key).distinct().select(key, F.explode(names).alias("technique_id"))
     return grid.join(counts, [key, "technique_id"], "left").select(
         key, "technique_id", F.coalesce("count", F.lit(0)).alias("count")
     )

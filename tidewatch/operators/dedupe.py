@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -45,29 +45,33 @@ def merge_keep_first(
 
     Inputs carry ``file`` and ``ordinal``; they fix what "first" means.
     """
+    return _merged(base, new, key).drop("_source", "file", "ordinal")
+
+
+def _merged(base: DataFrame, new: Sequence[DataFrame], key: str) -> DataFrame:
     ranked = [base.withColumn("_source", F.lit(0))]
     ranked += [table.withColumn("_source", F.lit(1)) for table in new]
-    merged = union_aligned(ranked)
     order = [F.col("_source"), F.col("file"), F.col("ordinal")]
-    return keep_first(merged, [key], order).drop("_source", "file", "ordinal")
-
-
-def merge_counts(base: DataFrame, merged: DataFrame, key: str = "url") -> DataFrame:
-    """Run counters of a merge: base rows after dedupe, merged rows, rows added."""
-    before = base.agg(
-        (F.countDistinct(key) + F.max(F.col(key).isNull().cast("int"))).alias("n")
-    ).select(F.lit("base").alias("side"), F.coalesce("n", F.lit(0)).alias("n"))
-    after = merged.agg(F.count("*").alias("n")).select(F.lit("merged").alias("side"), "n")
-    return (
-        before.unionByName(after)
-        .agg(
-            F.sum(F.when(F.col("side") == "base", F.col("n"))).alias("base_rows"),
-            F.sum(F.when(F.col("side") == "merged", F.col("n"))).alias("merged_rows"),
-        )
-        .withColumn(
-            "added_rows", F.greatest(F.lit(0), F.col("merged_rows") - F.col("base_rows"))
-        )
+    return keep_first(union_aligned(ranked), [key], order)
+
+
+def observed_merge(
+    base: DataFrame, new: Sequence[DataFrame], key: str = "url"
+) -> tuple[DataFrame, Observation]:
+    """``merge_keep_first`` with its run counters, which are there once the result has been written.
+
+    ``base_rows`` are base rows after dedupe, as these come first, ``merged_rows`` all rows and ``added_rows``
+    what the new tables added. The counts are taken as rows pass by, so nothing is read twice.
+    """
+    counted = Observation()
+    from_base = F.col("_source") == 0
+    merged = _merged(base, new, key).observe(
+        counted,
+        F.count_if(from_base).alias("base_rows"),
+        F.count("*").alias("merged_rows"),
+        F.count_if(~from_base).alias("added_rows"),
     )
+    return merged.drop("_source", "file", "ordinal"), counted
 
 
 def without_known(new: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
@@ -84,16 +88,21 @@ def refresh_holdout(new: DataFrame, train: DataFrame, holdout: DataFrame) -> Dat
     return merge_keep_first(holdout, [fresh])
 
 
-def holdout_counts(new: DataFrame, train: DataFrame, holdout: DataFrame, key: str = "url") -> DataFrame:
-    """Run counters of the hold-out job: new rows left after the training table, rows before and after dedupe."""
+def observed_holdout(
+    new: DataFrame, train: DataFrame, holdout: DataFrame
+) -> tuple[DataFrame, Observation, Observation]:
+    """``refresh_holdout`` with its run counters, there once the result has been written.
+
+    ``left_rows`` are the new rows left after the training table; ``merged_rows`` count them and the hold-out rows,
+    ``final_rows`` what is left of both after dedupe.
+    """
     if "extracted_url" in new.columns:
-        new = new.withColumnRenamed("extracted_url", key)
-    both = without_known(new, train, key).select(key, F.lit(1).alias("_new")).unionByName(
-        holdout.select(key, F.lit(0).alias("_new"))
-    )
-    per_key = both.groupBy(key).agg(F.count("*").alias("n"), F.sum("_new").alias("new"))
-    return per_key.agg(
-        F.coalesce(F.sum("new"), F.lit(0)).alias("left_rows"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("merged_rows"),
-        F.count("*").alias("final_rows"),
+        new = new.withColumnRenamed("extracted_url", "url")
+    before, after = Observation(), Observation()
+    fresh = without_known(new, train)
+    both = union_aligned([holdout.withColumn("_source", F.lit(0)), fresh.withColumn("_source", F.lit(1))]).observe(
+        before, F.count_if(F.col("_source") == 1).alias("left_rows"), F.count("*").alias("merged_rows")
     )
+    order = [F.col("_source"), F.col("file"), F.col("ordinal")]
+    kept = keep_first(both, ["url"], order).drop("_source", "file", "ordinal")
+    return kept.observe(after, F.count("*").alias("final_rows")), before, after

@@ -80,9 +80,10 @@ _MATCH = "struct<id:string,name:string,score:double>"
 def postings(techniques: DataFrame) -> DataFrame:
     """``ordinal, word, weight, idf`` of all words of ``techniques(ordinal, text)``, written.
 
-    The words' weights come from the techniques themselves: other words cannot add to a similarity.
+    The words' weights come from the techniques themselves: other words cannot add to a similarity. Each is one
+    more than the usual, so that a word of all techniques still counts and a single technique can be found.
     """
-    weights = features.word_weights(techniques, "text")
+    weights = features.word_weights(techniques, "text").withColumn("idf", F.col("idf") + 1)
     units = features.embed(techniques, weights, "ordinal", "text")
     return written(units.join(weights, "word").select("ordinal", "word", "weight", "idf"))
 

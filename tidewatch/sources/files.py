@@ -114,8 +114,7 @@ def read_csv_folder(
     by_header: dict[tuple[str, ...], list[str]] = {}
     for row in sorted(headers):
         if not row.file.endswith("/" + exclude):
-            names = next(csv.reader([row.header]), [])
-            by_header.setdefault(tuple(n.strip() for n in names), []).append(row.file)
+            by_header.setdefault(_header_names(row.header), []).append(row.file)
     tables = [
         _typed(_with_order(_csv(spark, multi_line).schema(_text_columns(header)).csv(same)), schema)
         for header, same in by_header.items()
@@ -127,15 +126,35 @@ def read_csv_folder(
     return dedupe.union_aligned(tables)
 
 
+def _header_names(line: str) -> tuple[str, ...]:
+    """Column names of a header line, a repeated one with a number; none if the line cannot be read."""
+    try:
+        names = [n.strip() for n in next(csv.reader([line], strict=True), [])]
+    except csv.Error:
+        return ()
+    # Spark tells columns apart without regard to case.
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        number, free = 0, name
+        while free.lower() in taken:
+            number += 1
+            free = f"{name}.{number}"
+        taken.add(free.lower())
+        out.append(free)
+    return tuple(out)
+
+
 def _headers(spark: SparkSession, folder: str) -> DataFrame:
     """``file, header``: the first line of every CSV file, found in one pass by the tasks.
 
-    Only the first line of a split leaves a task; the driver gets a line a file.
+    Splits that begin inside a file are left out; of the others only the first line leaves a task.
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
         .option("ignoreCorruptFiles", True)
         .text(folder)
+        .where("_metadata.file_block_start = 0")
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.struct(F.monotonically_increasing_id().alias("at"), F.ltrim("value", F.lit("\ufeff")).alias("line")).alias("first"),
