@@ -8,6 +8,7 @@ room for a whole document it is cut, so that every sequence is filled to its end
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,16 +46,20 @@ class Piece:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, with the ids of words remembered.
+    """Ids of texts by a tokenizer's file or its content, with the ids of words remembered.
 
-    The file's tokenizer lower-cases, cuts a text into words, digits and runs of signs, and encodes each
-    on its own. Texts of ASCII and Western European letters are cut here in the same way, many at
+    If the file lower-cases, cuts a text into words, digits and runs of signs, and encodes each
+    on its own (``CUTTING``), texts of ASCII and Western European letters are cut here in the same way, many at
     once, and only words not met before are encoded, those of a portion in one call. Other texts,
-    and those with a shortened English verb, go to the tokenizer whole.
+    those with a shortened English verb, and all texts of other tokenizers go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
-        self._tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str | None = None, content: str | None = None):
+        if content is None:
+            with open(path, encoding="utf-8") as file:
+                content = file.read()
+        self._tokenizer = Tokenizer.from_str(content)
+        self.cuts = _cuts_words(json.loads(content))
         self._forget()
 
     def _forget(self) -> None:
@@ -67,7 +72,7 @@ class Encoder:
         return self.ids_of_all([text])[0]
 
     def ids_of_all(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [k for k, t in enumerate(texts) if _is_plain(t)]
+        plain = [k for k, t in enumerate(texts) if self.cuts and _is_plain(t)]
         found: list[np.ndarray] = [None] * len(texts)
         data = [texts[k].lower().encode("latin-1") for k in plain]
         for begin, end, words in words_of_all(data, _KINDS, _DIGIT):
@@ -124,6 +129,38 @@ class Encoder:
         self._size = np.concatenate([self._size, sizes])[order]
 
 
+# How a tokenizer's file says that it cuts texts as is done here (fixed values).
+CUTTING = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def _cuts_words(file: dict) -> bool:
+    """Whether a tokenizer's steps are those of ``CUTTING``, none goes over words, and added tokens can be told."""
+    same = all(file.get(step) == how for step, how in CUTTING.items())
+    plain = file.get("truncation") is None and file.get("padding") is None and file["model"].get("type") == "BPE"
+    return same and plain and all(t["content"].startswith("<|") for t in file.get("added_tokens", ()))
+
+
 # Signs of plain texts, as Latin-1 bytes: ASCII and Western European letters.
 _PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 # An apostrophe with the letters that the tokenizer splits off.
@@ -215,12 +252,16 @@ def packed(
     where they are read, some million tokens together, so nothing is shuffled. Sequences
     have ``length`` tokens, but for the rest of a block, which fills sequences of powers of two:
     no sequence needs padding. ``sequence_id`` is unique over all tasks. Null ids
-    and repeated rows are packed like others.
+    and repeated rows are packed like others; a table without rows gives none, and other columns are not read.
     """
     schema = _PIECE + (", ids array<int>" if with_ids else "")
 
+    # Read here once and sent along: executors need not have the file, whose size does not depend on the documents.
+    with open(tokenizer_path, encoding="utf-8") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(content=shared.value)
         sequences = 0
         names, tokens, total = [], [], 0
         for batch in batches:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,6 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 ALLOW, BLOCK = "allow", "block"
-# Longest word that a label is split into, and the length beyond which a label stays whole
-# (no name on the net may be longer).
-LONGEST_WORD, LONGEST_LABEL = 20, 63
 
 
 def host_of(url: Column) -> Column:
@@ -54,28 +52,35 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """``word, n`` over all texts: runs of letters outside tags, lower-cased, of at most 20 letters."""
+    """``word, n`` over all texts: runs of letters outside tags, lower-cased."""
     plain = F.lower(F.regexp_replace(F.col(text_col), r"<[^>]*>", " "))
-    words = F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: F.length(w).between(1, LONGEST_WORD))
+    words = F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: w != "")
     return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(label: str, known: dict[str, int], total: int) -> list[str]:
     """Most probable split of ``label`` into words; an unknown stretch costs more the longer it is.
 
-    Of equally probable splits the one with the longer last word wins.
+    Of equally probable splits the one with the longer last word wins. Words of any length are found: known ones
+    by the lengths that they have, and of unknown stretches to a place the best begins where it did for the place before, or
+    right there.
     """
+    sizes = sorted({len(w) for w in known}, reverse=True)
+    # An unseen word of so many letters: one in ten for each letter.
+    unseen = -math.log(total + 1.0)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    # Score of what stands before an unknown stretch, and where the best one begins.
+    before, begins = 0.0, 0
     for end in range(1, len(label) + 1):
-        options = []
-        for start in range(max(0, end - LONGEST_WORD), end):
-            piece = label[start:end]
-            n = known.get(piece)
-            # An unseen word of so many letters: one in ten for each letter.
-            chance = math.log(n / total) if n else -math.log(total + 1.0) - 2.303 * len(piece)
-            options.append((best[start][0] + chance, -start))
-        score, start = max(options)
-        best.append((score, -start))
+        score, start = before + unseen - 2.303 * end, begins
+        for size in sizes:
+            if size <= end and (n := known.get(label[end - size : end])):
+                chance = best[end - size][0] + math.log(n / total)
+                if (chance, size) > (score, end - start):
+                    score, start = chance, end - size
+        best.append((score, start))
+        if score + 2.303 * end > before:
+            before, begins = score + 2.303 * end, end
     words, end = [], len(label)
     while end:
         words.append(label[best[end][1] : end])
@@ -86,40 +91,34 @@ def best_split(label: str, known: dict[str, int], total: int) -> list[str]:
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """``label, words`` for distinct labels, the words by ``counts(word, n)``.
 
-    A label's substrings are joined to the counts, so no dictionary is sent around; a
-    label has at most some thousand of them. Labels longer than 63 letters stay whole.
+    A label's substrings, of the lengths that words have, are joined to the counts, so no dictionary is sent around.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    length = F.length("label")
-    short = labels.where(length <= LONGEST_LABEL)
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), length),
-            lambda at: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), length - at + 1)),
-                lambda n: F.substring(F.col("label"), at, n),
-            ),
-        )
-    )
-    pieces = short.select("label", F.explode(F.array_distinct(spans)).alias("word"))
-    known = (
-        pieces.join(counts, "word")
-        .groupBy("label")
-        .agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    sizes = [r[0] for r in counts.select(F.length("word")).distinct().collect()]
+    lengths = F.lit(np.array(sorted(sizes), dtype=np.int32))
+    spans = F.transform(
+        F.sequence(F.lit(1), F.length("label")),
+        lambda at: F.transform(
+            F.filter(lengths, lambda n: n <= F.length("label") - at + 1),
+            lambda n: F.substring(F.col("label"), at, n),
+        ),
     )
+    # A label's hash stands for it while its pieces travel, since it may be long.
+    keyed = labels.withColumn("key", F.unhex(F.sha2("label", 256)))
+    pieces = keyed.where("label <> ''").select("key", F.explode(F.array_distinct(F.flatten(spans))).alias("word"))
+    known = pieces.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def split(labels: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series(
             [
-                [label] if len(label) > LONGEST_LABEL
-                else best_split(label, {r["word"]: r["n"] for r in (() if rows is None else rows)}, max(1, total))
+                best_split(label, {r["word"]: r["n"] for r in (() if rows is None else rows)}, max(1, total))
                 for label, rows in zip(labels, known)
             ],
             dtype=object,
         )
 
-    return labels.join(known, "label", "left").select("label", split("label", "known").alias("words"))
+    return keyed.join(known, "key", "left").select("label", split("label", "known").alias("words"))
 
 
 def tokens_of_urls(urls: DataFrame, counts: DataFrame) -> DataFrame:
