@@ -1,14 +1,16 @@
-"""Removal of repeated passages by hashes of all shortest passages.
+"""Removal of repeated passages by winnowed line hashes.
 
 A text is cut at line ends and after sentences. From each line the shortest stretch of lines with
-enough words that begins there is hashed, and the shortest that ends there. Whatever repeats
-and is long enough is covered by such stretches, so the later copies of them all go: no other
-line of the texts need be compared, and none is missed.
-All of it is DataFrame functions.
+enough words that begins there is a window, and the shortest that ends there. A window's fingerprint is the line
+of least hash in it, so equal windows have equal fingerprints, and neighbours mostly the same one. Fingerprints of
+several documents are joined first; only windows around those are compared. A match extends both ways as
+far as windows that begin or end in it are equal too: whatever repeats and is long enough is covered by such windows, so the
+later copies of them all go, and none is missed. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ LEAST_WORDS = 25
 # A line: up to and with a line end, or the blank after a sentence's last sign (and up to three other signs).
 _END = r"[.!?][^\p{L}\p{N}\s]{0,3}[ \t]"
 LINE = r"(?:[^\n.!?]++|[.!?](?![^\p{L}\p{N}\s]{0,3}[ \t]))*+(?:\n|" + _END + r"|\z)"
-# Key of rows without an id: they come after all others.
-_LAST = (1 << 63) - 1
+# Bits of the set of fingerprints that several documents have: 2 MB with every plan, whatever the table's
+# size. If it is full, more windows are compared and none is lost.
+FILTER_BITS = 1 << 24
 
 _RUNS = "array<struct<first:int,last:int>>"
 
@@ -36,18 +39,17 @@ def _bare(line: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Words of a bare line: its blanks and one, none if it is empty."""
-    return F.when(line == "", 0).otherwise(
-        F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    )
+    """Words of a bare line: runs of other signs than blanks."""
+    return F.regexp_count(line, F.lit("[^ ]++"))
 
 
 def _windows(hashes: Column, words: Column, least_words: int) -> Column:
-    """``array<struct<h, first, last>>``, sorted: the shortest stretches of lines with enough words.
+    """``array<struct<h, first, last, f>>``, sorted: the shortest stretches of lines with enough words.
 
     From each line the shortest such stretch that begins there, and the shortest that ends there. Both depend on the
     lines inside alone, and those inside a run of enough words cover it: so a line is in a run that stands
     at another place exactly if it is in such a stretch that does. Blank lines at an edge are counted, not hashed.
+    ``f`` is the fingerprint, the least hash of a line inside.
     """
     lines = F.transform(words, lambda w, i: F.array_repeat(i, w))
 
@@ -73,27 +75,27 @@ def _windows(hashes: Column, words: Column, least_words: int) -> Column:
         every = F.transform(F.filter(F.sequence(F.lit(0), over), edge), place)
         return F.when(over >= 0, every).otherwise(none)
 
-    def window(h: Column, first: Column, last: Column) -> Column:
-        return F.struct(h.alias("h"), first.alias("first"), last.alias("last"))
+    def window(h: Column, first: Column, last: Column, f: Column) -> Column:
+        return F.struct(h.alias("h"), first.alias("first"), last.alias("last"), f.alias("f"))
 
     def hashed(x: Column, h: Column) -> Column:
-        core = F.xxhash64(F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1))
+        lines_in = F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1)
+        core = bound(lines_in, lambda own: window(F.xxhash64(own), x["first"], x["last"], F.array_min(own)))
         wider = bound(
-            window(core, x["first"], x["last"]),
+            core,
             lambda w: F.concat(
                 F.array(w),
                 F.transform(
                     F.filter(F.sequence(F.lit(0), x["leads"]), lambda n: n > 0),
-                    lambda n: window(F.xxhash64(w["h"], n, F.lit(0)), w["first"] - n, w["last"]),
+                    lambda n: window(F.xxhash64(w["h"], n, F.lit(0)), w["first"] - n, w["last"], w["f"]),
                 ),
                 F.transform(
                     F.filter(F.sequence(F.lit(0), x["trails"]), lambda n: n > 0),
-                    lambda n: window(F.xxhash64(w["h"], F.lit(0), n), w["first"], w["last"] + n),
+                    lambda n: window(F.xxhash64(w["h"], F.lit(0), n), w["first"], w["last"] + n, w["f"]),
                 ),
             ),
         )
-        alone = F.array(window(core, x["first"], x["last"]))
-        return F.when((x["leads"] == 0) & (x["trails"] == 0), alone).otherwise(wider)
+        return F.when((x["leads"] == 0) & (x["trails"] == 0), F.array(core)).otherwise(wider)
 
     return bound(
         hashes,
@@ -138,15 +140,15 @@ def repeated_runs(
 
     Earlier is what stands before in the same text, or in a document of smaller id. Rows of
     one id are not compared with each other, nor are rows without one, which come after
-    all others. What is removed still stands in the first document that has it. A null text
-    has no lines. Repeated rows get equal results; other columns are not read.
+    all others. Documents are judged as they came: a run goes if an earlier document had it, also where that one loses
+    part of it to a third, so of a run made of two others its first copy may go piece by piece. A null text
+    has no lines. Repeated rows get equal results; other columns are not read; a table without rows gives none.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), lines_of(text).alias("lines")
     ).select("id", "text_hash", F.transform("lines", _bare).alias("lines"))
     hashed = cut.select(
-        F.coalesce("id", F.lit(_LAST)).alias("key"),
         "id",
         "text_hash",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"),
@@ -157,26 +159,25 @@ def repeated_runs(
         lambda rows: F.struct(_repeats_inside(rows).alias("inside"), _first_places(rows).alias("windows")),
     )
     numbered = written(
-        hashed.select("key", "id", "text_hash", "words", placed.alias("p")).select(
-            "key", "id", "text_hash", "words", "p.inside", "p.windows"
+        hashed.select("id", "text_hash", "words", placed.alias("p")).select(
+            "id", "text_hash", "words", "p.inside", "p.windows"
         )
     )
-    windows = numbered.select("key", "text_hash", F.explode("windows").alias("p")).select("key", "text_hash", "p.*")
+    prints = F.array_distinct(F.transform("windows", lambda w: w["f"]))
+    known = _filter(_of_several(numbered.select("id", F.explode(prints).alias("f")), "f"))
+    compared = F.filter("windows", lambda w: _holds(known, w["f"]))
+    windows = numbered.select("id", "text_hash", F.explode(compared).alias("p")).select("id", "text_hash", "p.*")
     # The first document of a window; those of a single document need no partner.
-    sources = (
-        windows.groupBy("h")
-        .agg(F.min("key").alias("source"), F.max("key").alias("latest"))
-        .where("source < latest")
-        .select("h", "source")
-    )
+    sources = _of_several(windows, "h")
     across = (
         windows.join(sources, "h")
-        .where("source < key")
-        .groupBy("key", "text_hash")
+        .where("id IS NULL OR source < id")
+        .groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"))
         .agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     )
     none = F.array().cast(_RUNS)
-    return numbered.drop("windows").join(across, ["key", "text_hash"], "left").select(
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text_hash"))
+    return numbered.drop("windows").join(across, same, "left").select(
         F.col("id").alias(id_col),
         "text_hash",
         F.size("words").alias("n_lines"),
@@ -185,6 +186,36 @@ def repeated_runs(
     )
 
 
+def _of_several(rows: DataFrame, key: str) -> DataFrame:
+    """``key, source``: the keys that rows of several documents have, and the first of these documents."""
+    return (
+        rows.groupBy(key)
+        .agg(
+            F.min("id").alias("source"), F.max("id").alias("latest"), F.bool_or(F.col("id").isNull()).alias("unnamed")
+        )
+        .where("source < latest OR (source IS NOT NULL AND unnamed)")
+        .select(key, "source")
+    )
+
+
+def _filter(prints: DataFrame) -> Column:
+    """A bit for each fingerprint, in ``FILTER_BITS`` bits; the driver gets a number a byte at most."""
+    bit = F.pmod("f", F.lit(FILTER_BITS))
+    parts = prints.groupBy(F.floor(bit / 8).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))).alias("bits")
+    )
+    found = parts.toArrow()
+    known = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    known[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return F.lit(known.tobytes())
+
+
+def _holds(known: Column, f: Column) -> Column:
+    bit = F.pmod(f, F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(known, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+
 def merged(runs: Column) -> Column:
     """Runs in order, with those that overlap or touch joined."""
     none = F.array().cast(_RUNS)
