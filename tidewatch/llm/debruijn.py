@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bytewords import UNSPACED, Words, words_of_all
-from tidewatch.llm.shared import fresh
+from tidewatch.llm.shared import bit_filter, fresh, may_hold
 from tidewatch.session import written
 
 WINDOW = 13
@@ -30,6 +30,8 @@ SHORT = 4
 # size. If it is full, more windows are compared and none is lost.
 FILTER_BITS = 1 << 27
 _BLOCK_BITS = 1 << 16
+# Bits of the set of rows that have spans: 2 MB with the last plan. Rows without their bit need no join.
+ROW_BITS = 1 << 24
 # Equal windows, more than this (and than a 2**20th of all), would fill a task by themselves, so they are
 # not dealt; at most 2**20 windows can be such, and their sources are sent to all tasks.
 HOT_WINDOWS = 20_000
@@ -207,15 +209,14 @@ def _hot(texts: DataFrame, window: int, minimizers: np.ndarray, least: int) -> _
     )
     rows = counted.where(F.col("n") > least).where("source IS NOT NULL")
     table = rows.select(
-        "edge", "check", F.col("source.doc").alias("source_doc"), F.col("source.text_hash").alias("source_hash"),
-        F.col("source.place").alias("source_place"),
+        "edge", "check", F.col("source.doc").alias("source_doc"), F.col("source.place").alias("source_place")
     ).toArrow().sort_by([("edge", "ascending"), ("check", "ascending")])
-    names = ["source_doc", "source_hash", "source_place"]
+    names = ["source_doc", "source_place"]
     return _Hot(table["edge"].to_numpy(), table["check"].to_numpy(), table.select(names).combine_chunks())
 
 
 def repeated_edges(texts: DataFrame, window: int, hot_windows: int) -> DataFrame:
-    """``doc, text_hash, place, source_doc, source_hash, source_place``: the windows that an earlier document has.
+    """``doc, text_hash, place, source_doc, source_place``: the windows that an earlier document has.
 
     With where it has them first. Windows are dealt by their edge, once; those of very many copies are counted
     before and meet their source where texts are read.
@@ -240,14 +241,12 @@ def repeated_edges(texts: DataFrame, window: int, hot_windows: int) -> DataFrame
         sources = hot.value.sources.take(pa.array(found[kept]))
         return kept, {n: sources[n].combine_chunks() for n in sources.column_names}
 
-    names = ["doc", "text_hash", "place", "source_doc", "source_hash", "source_place"]
+    names = ["doc", "text_hash", "place", "source_doc", "source_place"]
     source = _source().over(Window.partitionBy("edge", "check"))
     found = _edges(texts, window, "", cold_ones).withColumn("s", source).where("s IS NOT NULL")
-    found = found.select(
-        *names[:3], F.col("s.doc").alias(names[3]), F.col("s.text_hash").alias(names[4]), F.col("s.place").alias(names[5])
-    )
+    found = found.select(*names[:3], F.col("s.doc").alias(names[3]), F.col("s.place").alias(names[4]))
     if len(often):
-        more = f", source_doc {dict(texts.dtypes)['doc']}, source_hash long, source_place int"
+        more = f", source_doc {dict(texts.dtypes)['doc']}, source_place int"
         found = found.unionByName(_edges(texts, window, more, hot_ones).select(*names))
     return found.where(F.col("doc").isNull() | (F.col("source_doc") < F.col("doc")))
 
@@ -259,11 +258,12 @@ def spans(
     window: int = WINDOW,
     hot_windows: int = HOT_WINDOWS,
 ) -> DataFrame:
-    """``doc, text_hash, first, windows, source_doc, source_hash, source_first``, written out.
+    """``doc, text_hash, first, windows, source_doc, source_first``, written out.
 
     A span is ``windows`` windows from word ``first`` of a document on, that stand in the same order from word
     ``source_first`` of an earlier document: so ``windows + window - 1`` words. Together the spans of a
-    document cover all windows that a document of smaller id has, and no others; two spans may overlap in words.
+    document cover all windows that a document of smaller id has, and no others; two spans may overlap in words. Of
+    several rows of the source's id that have a window, the one of least text hash gives the place.
 
     Words are runs of anything but ASCII white space. Rows of one id are not compared with each other, nor are rows
     without one, which come after all others. Repeated rows have equal spans, given once. Null and empty texts, and those of
@@ -272,31 +272,28 @@ def spans(
     steps = repeated_edges(_texts(docs, id_col, text_col), window, hot_windows)
     shift = F.col("source_place") - F.col("place")
     # Neighbours of one diagonal have places that rise with their rank; repeated rows have equal ranks.
-    rank = F.dense_rank().over(
-        Window.partitionBy("doc", "text_hash", "source_doc", "source_hash", "shift").orderBy("place")
-    )
+    diagonal = ["doc", "text_hash", "source_doc", "shift"]
+    rank = F.dense_rank().over(Window.partitionBy(*diagonal).orderBy("place"))
     return written(
-        steps.select("doc", "text_hash", "place", "source_doc", "source_hash", shift.alias("shift"))
+        steps.select("doc", "text_hash", "place", "source_doc", shift.alias("shift"))
         .withColumn("island", F.col("place") - rank)
-        .groupBy("doc", "text_hash", "source_doc", "source_hash", "shift", "island")
+        .groupBy(*diagonal, "island")
         .agg(F.min("place").alias("first"), (F.max("place") - F.min("place") + 1).alias("windows"))
         .select(
-            "doc", "text_hash", "first", "windows", "source_doc", "source_hash",
-            (F.col("first") + F.col("shift")).alias("source_first"),
+            "doc", "text_hash", "first", "windows", "source_doc", (F.col("first") + F.col("shift")).alias("source_first")
         )
-    )
+    )
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """``source_doc, source_hash, first, windows, spans``: the nonbranching paths of the repeated graph.
+    """``source_doc, first, windows, spans``: the nonbranching paths of the repeated graph.
 
     A source is cut wherever a span of it begins or ends; of the pieces those are paths that a span covers,
     and ``spans`` says how many cover them whole. Cuts are distinct before they are put in order, so a source with
     very many spans has no more of them than words.
     """
-    source = ["source_doc", "source_hash"]
     ends = found.select(
-        *source,
+        "source_doc",
         F.explode(
             F.array(
                 F.struct(F.col("source_first").alias("at"), F.lit(1).alias("step")),
@@ -304,13 +301,13 @@ def paths(found: DataFrame) -> DataFrame:
             )
         ).alias("e"),
     )
-    cuts = ends.groupBy(*source, F.col("e.at").alias("first")).agg(F.sum("e.step").alias("change"))
-    along = Window.partitionBy(*source).orderBy("first")
+    cuts = ends.groupBy("source_doc", F.col("e.at").alias("first")).agg(F.sum("e.step").alias("change"))
+    along = Window.partitionBy("source_doc").orderBy("first")
     return (
         cuts.withColumn("spans", F.sum("change").over(along))
         .withColumn("windows", F.lead("first").over(along) - F.col("first"))
         .where("spans > 0")
-        .select(*source, "first", "windows", "spans")
+        .select("source_doc", "first", "windows", "spans")
     )
 
 
@@ -334,8 +331,14 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot_wi
     gathered = found.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).agg(
         F.collect_list(F.struct("first", (F.col("first") + F.col("windows") + window - 2).alias("last"))).alias(cuts)
     )
-    same = F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(text_col, F.lit(""))) == F.col(text_hash))
-    return docs.join(gathered, same, "left").drop(doc, text_hash), cuts
+    own_hash = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (own_hash == F.col(text_hash))
+    # Texts without spans stay where they are read.
+    known = bit_filter(found.select(F.xxhash64("doc", "text_hash").alias("row")), "row", ROW_BITS)
+    held = may_hold(known, F.xxhash64(F.col(id_col), own_hash), ROW_BITS)
+    joined = docs.where(held).join(gathered, same, "left").drop(doc, text_hash)
+    none = F.lit(None).cast(joined.schema[cuts].dataType).alias(cuts)
+    return joined.unionByName(docs.where(~held).select("*", none)), cuts
 
 
 def without_repeats(

@@ -10,11 +10,10 @@ later copies of them all go, and none is missed. All of it is DataFrame function
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import bound, fresh
+from tidewatch.llm.shared import bit_filter, bound, fresh, may_hold
 from tidewatch.session import written
 
 # Words of a run that is removed.
@@ -40,7 +39,11 @@ def _bare(line: Column) -> Column:
 
 def _words(line: Column) -> Column:
     """Words of a bare line: runs of other signs than blanks."""
-    return F.regexp_count(line, F.lit("[^ ]++"))
+    # Without neighbouring blanks their number tells, which is much quicker.
+    single = F.when(line == "", 0).otherwise(
+        F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    )
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_count(line, F.lit("[^ ]++"))).otherwise(single)
 
 
 def _windows(hashes: Column, words: Column, least_words: int) -> Column:
@@ -164,8 +167,8 @@ def repeated_runs(
         )
     )
     prints = F.array_distinct(F.transform("windows", lambda w: w["f"]))
-    known = _filter(_of_several(numbered.select("id", F.explode(prints).alias("f")), "f"))
-    compared = F.filter("windows", lambda w: _holds(known, w["f"]))
+    known = bit_filter(_of_several(numbered.select("id", F.explode(prints).alias("f")), "f"), "f", FILTER_BITS)
+    compared = F.filter("windows", lambda w: may_hold(known, w["f"], FILTER_BITS))
     windows = numbered.select("id", "text_hash", F.explode(compared).alias("p")).select("id", "text_hash", "p.*")
     # The first document of a window; those of a single document need no partner.
     sources = _of_several(windows, "h")
@@ -198,24 +201,6 @@ def _of_several(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _filter(prints: DataFrame) -> Column:
-    """A bit for each fingerprint, in ``FILTER_BITS`` bits; the driver gets a number a byte at most."""
-    bit = F.pmod("f", F.lit(FILTER_BITS))
-    parts = prints.groupBy(F.floor(bit / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))).alias("bits")
-    )
-    found = parts.toArrow()
-    known = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    known[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return F.lit(known.tobytes())
-
-
-def _holds(known: Column, f: Column) -> Column:
-    bit = F.pmod(f, F.lit(FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(known, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (bit % 8).cast("int")) == 1
-
-
 def merged(runs: Column) -> Column:
     """Runs in order, with those that overlap or touch joined."""
     none = F.array().cast(_RUNS)
