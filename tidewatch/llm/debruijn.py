@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bytewords import UNSPACED, Words, words_of_all
-from tidewatch.llm.shared import bit_filter, fresh, may_hold
+from tidewatch.llm.shared import bit_filter, fresh
 from tidewatch.session import written
 
 WINDOW = 13
@@ -30,8 +30,8 @@ SHORT = 4
 # size. If it is full, more windows are compared and none is lost.
 FILTER_BITS = 1 << 27
 _BLOCK_BITS = 1 << 16
-# Bits of the set of rows that have spans: 2 MB with the last plan. Rows without their bit need no join.
-ROW_BITS = 1 << 24
+# Bits of the set of rows that have spans: 4 MB in every task. Rows without their bit need no join.
+ROW_BITS = 1 << 25
 # Equal windows, more than this (and than a 2**20th of all), would fill a task by themselves, so they are
 # not dealt; at most 2**20 windows can be such, and their sources are sent to all tasks.
 HOT_WINDOWS = 20_000
@@ -334,8 +334,15 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, hot_wi
     own_hash = F.xxhash64(F.coalesce(text_col, F.lit("")))
     same = F.col(id_col).eqNullSafe(F.col(doc)) & (own_hash == F.col(text_hash))
     # Texts without spans stay where they are read.
-    known = bit_filter(found.select(F.xxhash64("doc", "text_hash").alias("row")), "row", ROW_BITS)
-    held = may_hold(known, F.xxhash64(F.col(id_col), own_hash), ROW_BITS)
+    known = docs.sparkSession.sparkContext.broadcast(
+        bit_filter(found.select(F.xxhash64("doc", "text_hash").alias("row")), "row", ROW_BITS)
+    )
+
+    def has_bit(rows: pa.Array) -> pa.Array:
+        bit = rows.to_numpy() % ROW_BITS
+        return pa.array((known.value[bit >> 6] >> (bit & 63) & 1).astype(bool))
+
+    held = F.arrow_udf(has_bit, "boolean")(F.xxhash64(F.col(id_col), own_hash))
     joined = docs.where(held).join(gathered, same, "left").drop(doc, text_hash)
     none = F.lit(None).cast(joined.schema[cuts].dataType).alias(cuts)
     return joined.unionByName(docs.where(~held).select("*", none)), cuts

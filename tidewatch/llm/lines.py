@@ -21,9 +21,9 @@ LEAST_WORDS = 25
 # A line: up to and with a line end, or the blank after a sentence's last sign (and up to three other signs).
 _END = r"[.!?][^\p{L}\p{N}\s]{0,3}[ \t]"
 LINE = r"(?:[^\n.!?]++|[.!?](?![^\p{L}\p{N}\s]{0,3}[ \t]))*+(?:\n|" + _END + r"|\z)"
-# Bits of the set of fingerprints that several documents have: 2 MB with every plan, whatever the table's
+# Bits of the set of fingerprints that several documents have: 128 KB in a plan, whatever the table's
 # size. If it is full, more windows are compared and none is lost.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 20
 
 _RUNS = "array<struct<first:int,last:int>>"
 
@@ -47,12 +47,11 @@ def _words(line: Column) -> Column:
 
 
 def _windows(hashes: Column, words: Column, least_words: int) -> Column:
-    """``array<struct<h, first, last, f>>``, sorted: the shortest stretches of lines with enough words.
+    """``array<struct<h, first, last>>``, sorted: the shortest stretches of lines with enough words.
 
     From each line the shortest such stretch that begins there, and the shortest that ends there. Both depend on the
     lines inside alone, and those inside a run of enough words cover it: so a line is in a run that stands
     at another place exactly if it is in such a stretch that does. Blank lines at an edge are counted, not hashed.
-    ``f`` is the fingerprint, the least hash of a line inside.
     """
     lines = F.transform(words, lambda w, i: F.array_repeat(i, w))
 
@@ -78,27 +77,27 @@ def _windows(hashes: Column, words: Column, least_words: int) -> Column:
         every = F.transform(F.filter(F.sequence(F.lit(0), over), edge), place)
         return F.when(over >= 0, every).otherwise(none)
 
-    def window(h: Column, first: Column, last: Column, f: Column) -> Column:
-        return F.struct(h.alias("h"), first.alias("first"), last.alias("last"), f.alias("f"))
+    def window(h: Column, first: Column, last: Column) -> Column:
+        return F.struct(h.alias("h"), first.alias("first"), last.alias("last"))
 
     def hashed(x: Column, h: Column) -> Column:
-        lines_in = F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1)
-        core = bound(lines_in, lambda own: window(F.xxhash64(own), x["first"], x["last"], F.array_min(own)))
+        core = F.xxhash64(F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1))
         wider = bound(
-            core,
+            window(core, x["first"], x["last"]),
             lambda w: F.concat(
                 F.array(w),
                 F.transform(
                     F.filter(F.sequence(F.lit(0), x["leads"]), lambda n: n > 0),
-                    lambda n: window(F.xxhash64(w["h"], n, F.lit(0)), w["first"] - n, w["last"], w["f"]),
+                    lambda n: window(F.xxhash64(w["h"], n, F.lit(0)), w["first"] - n, w["last"]),
                 ),
                 F.transform(
                     F.filter(F.sequence(F.lit(0), x["trails"]), lambda n: n > 0),
-                    lambda n: window(F.xxhash64(w["h"], F.lit(0), n), w["first"], w["last"] + n, w["f"]),
+                    lambda n: window(F.xxhash64(w["h"], F.lit(0), n), w["first"], w["last"] + n),
                 ),
             ),
         )
-        return F.when((x["leads"] == 0) & (x["trails"] == 0), F.array(core)).otherwise(wider)
+        alone = F.array(window(core, x["first"], x["last"]))
+        return F.when((x["leads"] == 0) & (x["trails"] == 0), alone).otherwise(wider)
 
     return bound(
         hashes,
@@ -128,12 +127,22 @@ def _repeats_inside(windows: Column) -> Column:
     )
 
 
-def _first_places(windows: Column) -> Column:
-    """A text's distinct windows, each where it first stands; later ones repeat that place already."""
-    return bound(
+def _first_places(windows: Column, hashes: Column) -> Column:
+    """A text's distinct windows, each where it first stands; later ones repeat that place already.
+
+    With ``f``, the fingerprint: the least hash of a line inside.
+    """
+    first = bound(
         windows,
         lambda rows: F.filter(rows, lambda x, i: F.coalesce(_before(rows, i)["h"] != x["h"], F.lit(True))),
     )
+    return F.transform(
+        first,
+        lambda x: F.struct(
+            x["h"], x["first"], x["last"],
+            F.array_min(F.slice(hashes, x["first"] + 1, x["last"] - x["first"] + 1)).alias("f"),
+        ),
+    )
 
 
 def repeated_runs(
@@ -159,7 +168,7 @@ def repeated_runs(
     )
     placed = bound(
         _windows(F.col("hashes"), F.col("words"), least_words),
-        lambda rows: F.struct(_repeats_inside(rows).alias("inside"), _first_places(rows).alias("windows")),
+        lambda rows: F.struct(_repeats_inside(rows).alias("inside"), _first_places(rows, F.col("hashes")).alias("windows")),
     )
     numbered = written(
         hashed.select("id", "text_hash", "words", placed.alias("p")).select(

@@ -88,26 +88,25 @@ def pattern_matches(text: Column, pattern: str) -> Column:
     )
 
 
-def bit_filter(rows: DataFrame, key: str, bits: int) -> Column:
-    """A literal with a bit for each value of the long ``key``, in ``bits`` bits whatever the table's size.
+def bit_filter(rows: DataFrame, key: str, bits: int) -> np.ndarray:
+    """Longs with a bit for each value of the long ``key``, ``bits`` bits in all whatever the table's size.
 
-    The driver gets a number for each eight bits at most. Values that share a bit cannot be told apart.
+    The driver gets a long for each 64 bits at most. Values that share a bit cannot be told apart.
     """
     bit = F.pmod(key, F.lit(bits))
-    parts = rows.groupBy(F.floor(bit / 8).cast("int").alias("at")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))).alias("bits")
+    parts = rows.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")
     )
     found = parts.toArrow()
-    known = np.zeros(max(1, bits // 8), dtype=np.uint8)
+    known = np.zeros(max(1, bits // 64), dtype=np.int64)
     known[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return F.lit(known.tobytes())
+    return known
 
 
-def may_hold(known: Column, key: Column, bits: int) -> Column:
-    """Whether the filter has the bit of a value; true for every value that it was made of."""
+def may_hold(known: np.ndarray, key: Column, bits: int) -> Column:
+    """Whether a small filter, a literal of the plan, has the bit of a value; true for all that it was made of."""
     bit = F.pmod(key, F.lit(bits))
-    byte = F.conv(F.hex(F.substring(known, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (bit % 8).cast("int")) == 1
+    return F.getbit(F.get(F.lit(known), F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
 
 def components(links: DataFrame) -> DataFrame:
