@@ -21,9 +21,9 @@ LEAST_WORDS = 25
 # A line: up to and with a line end, or the blank after a sentence's last sign (and up to three other signs).
 _END = r"[.!?][^\p{L}\p{N}\s]{0,3}[ \t]"
 LINE = r"(?:[^\n.!?]++|[.!?](?![^\p{L}\p{N}\s]{0,3}[ \t]))*+(?:\n|" + _END + r"|\z)"
-# Bits of the set of fingerprints that several documents have: 128 KB in a plan, whatever the table's
+# Bits of the set of fingerprints that several documents have: 512 KB in a plan, whatever the table's
 # size. If it is full, more windows are compared and none is lost.
-FILTER_BITS = 1 << 20
+FILTER_BITS = 1 << 22
 
 _RUNS = "array<struct<first:int,last:int>>"
 
