@@ -188,3 +188,15 @@ def pick(
     """A row of ``PICK``: an element of a tag and classes, perhaps inside another pick's element, or right below it."""
     step = (tag, id, list(classes), attr, value, exact)
     return (step, inside[0] if inside else None, child, around[0] if around else None)
+
+
+def named(picks: tuple) -> list[dict]:
+    """Picks with their fields' names, as JSON has them."""
+
+    def step(of: tuple | None) -> dict | None:
+        return of and dict(zip(("tag", "id", "classes", "attr", "value", "exact"), of, strict=True))
+
+    return [
+        {"step": step(of), "outer": step(outer), "child": child, "around": step(around)}
+        for of, outer, child, around in picks
+    ]

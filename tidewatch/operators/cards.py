@@ -1,17 +1,19 @@
 """Article cards and bodies from saved listing and article pages, by per-site rules.
 
 A rule is data: which elements are cards, and which elements of a card or an article page hold its fields. The
-rules are a small table joined to the pages by site, so every site is read by the same expression, and
+rules are a map looked up by site, so every site is read by the same expression, and
 a page is cut into its elements once.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, nodes, text
@@ -212,7 +214,7 @@ _CARD = (
     f"date_anywhere:boolean,summary:{PICKS},image:{PICKS},`where`:string>"
 )
 _RULE = (
-    f"site string, _rule struct<cards:array<{_CARD}>,count_titled:boolean,date_kind:string,base:string,"
+    f"struct<cards:array<{_CARD}>,count_titled:boolean,date_kind:string,base:string,"
     f"url_prefix:string,max_cards:int,main_max_cards:int,main_exempt_from_date:boolean,body:{PICKS},"
     f"paragraphs:{PICKS},article_date:{PICKS},images:{PICKS},lazy_images:boolean,vector_images:boolean,"
     "no_body:string,once_per_url:boolean,labels:array<string>,label_date:string,folder_date:string,"
@@ -221,14 +223,19 @@ _RULE = (
 
 
 def with_rules(rows: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
-    """``rows`` of the rules' sites with ``_rule``. The table of rules has a row for each site, so it is broadcast."""
+    """``rows`` of the rules' sites with ``_rule``; rows without a site have none.
 
-    def values(rule) -> tuple:
-        return tuple(getattr(rule, name) for name in rule.__dataclass_fields__)
+    The rules are one constant of the plan, a map by site, which Spark reads once: no join, also where all rows are of
+    one site.
+    """
+
+    def fields(rule: CardRule | SiteRule) -> dict:
+        found = {f.name: getattr(rule, f.name) for f in dataclasses.fields(rule)}
+        return found | {f.name: nodes.named(found[f.name]) for f in dataclasses.fields(rule) if f.type == "Picks"}
 
-    spark: SparkSession = rows.sparkSession
-    table = [(r.site, (([values(c) for c in r.cards]), *values(r)[2:])) for r in rules]
-    return rows.join(F.broadcast(spark.createDataFrame(table, _RULE)), "site")
+    table = {r.site: fields(r) | {"cards": [fields(c) for c in r.cards]} for r in rules}
+    by_site = F.from_json(F.lit(json.dumps(table)), f"map<string,{_RULE}>")
+    return rows.withColumn("_rule", F.try_element_at(by_site, F.col("site"))).where("_rule IS NOT NULL")
 
 
 def _rule(name: str) -> Column:
