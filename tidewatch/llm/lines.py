@@ -54,36 +54,42 @@ def _windows(hashes: Column, words: Column, least_words: int) -> Column:
     at another place exactly if it is in such a stretch that does. Blank lines at an edge are counted, not hashed.
     """
     lines = F.transform(words, lambda w, i: F.array_repeat(i, w))
+    firsts = F.transform(
+        F.filter(words, lambda w: w > 0), lambda w: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), w - 1))
+    )
 
-    def ends(of: Column) -> Column:
-        """Per stretch its lines with words, and how many blank lines stand before and after it."""
-        over = F.size(of) - least_words
+    def begins(first: Column) -> Column:
+        """Words that a stretch begins with, told by which words are a line's first."""
+        over = F.size(first) - least_words
 
         def edge(k: Column) -> Column:
-            begins = (k == 0) | (F.get(of, k - 1) != F.get(of, k))
-            return begins | (k == over) | (F.get(of, k + least_words - 1) != F.get(of, k + least_words))
-
-        def place(k: Column) -> Column:
-            first, last = F.get(of, k), F.get(of, k + least_words - 1)
-            low, high = F.coalesce(F.get(of, k - 1), F.lit(-1)), F.coalesce(F.get(of, k + least_words), F.size(words))
-            return F.struct(
-                first.alias("first"),
-                last.alias("last"),
-                F.greatest(first - low - 1, F.lit(0)).alias("leads"),
-                F.greatest(high - last - 1, F.lit(0)).alias("trails"),
-            )
-
-        none = F.array().cast("array<struct<first:int,last:int,leads:int,trails:int>>")
-        every = F.transform(F.filter(F.sequence(F.lit(0), over), edge), place)
-        return F.when(over >= 0, every).otherwise(none)
+            return F.get(first, k) | F.coalesce(F.get(first, k + least_words), F.lit(True))
+
+        places = F.filter(F.sequence(F.lit(0), over), edge)
+        return F.when(over >= 0, places).otherwise(F.array().cast("array<int>"))
+
+    def place(of: Column, k: Column, blanks: bool) -> Column:
+        """A stretch's lines with words, and how many blank lines stand before and after it."""
+        first, last = F.get(of, k), F.get(of, k + least_words - 1)
+        if not blanks:
+            return F.struct(first.alias("first"), last.alias("last"))
+        low, high = F.coalesce(F.get(of, k - 1), F.lit(-1)), F.coalesce(F.get(of, k + least_words), F.size(words))
+        return F.struct(
+            first.alias("first"),
+            last.alias("last"),
+            F.greatest(first - low - 1, F.lit(0)).alias("leads"),
+            F.greatest(high - last - 1, F.lit(0)).alias("trails"),
+        )
 
     def window(h: Column, first: Column, last: Column) -> Column:
         return F.struct(h.alias("h"), first.alias("first"), last.alias("last"))
 
-    def hashed(x: Column, h: Column) -> Column:
-        core = F.xxhash64(F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1))
-        wider = bound(
-            window(core, x["first"], x["last"]),
+    def alone(x: Column, h: Column) -> Column:
+        return window(F.xxhash64(F.slice(h, x["first"] + 1, x["last"] - x["first"] + 1)), x["first"], x["last"])
+
+    def with_blanks(x: Column, h: Column) -> Column:
+        return bound(
+            alone(x, h),
             lambda w: F.concat(
                 F.array(w),
                 F.transform(
@@ -96,13 +102,20 @@ def _windows(hashes: Column, words: Column, least_words: int) -> Column:
                 ),
             ),
         )
-        alone = F.array(window(core, x["first"], x["last"]))
-        return F.when((x["leads"] == 0) & (x["trails"] == 0), alone).otherwise(wider)
 
-    return bound(
-        hashes,
-        lambda h: F.sort_array(F.flatten(F.transform(bound(F.flatten(lines), ends), lambda x: hashed(x, h)))),
-    )
+    def stretches(of: Column, blanks: bool) -> Column:
+        return F.transform(bound(F.flatten(firsts), begins), lambda k: place(of, k, blanks))
+
+    def hashed(h: Column) -> Column:
+        def of_lines(of: Column) -> Column:
+            plain = F.transform(stretches(of, False), lambda x: alone(x, h))
+            wider = F.flatten(F.transform(stretches(of, True), lambda x: with_blanks(x, h)))
+            # Blank lines are rare, and without them a stretch is one window.
+            return F.when(F.array_contains(words, 0), wider).otherwise(plain)
+
+        return F.sort_array(bound(F.flatten(lines), of_lines))
+
+    return bound(hashes, hashed)
 
 
 def _before(rows: Column, i: Column) -> Column:
