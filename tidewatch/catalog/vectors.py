@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.registry import query, table
-from tidewatch.operators import features, match, neighbours
+from tidewatch.operators import features, match, neighbours, subwords
 from tidewatch.plans import jobs
 
 
@@ -67,6 +67,85 @@ def chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.embed_long_texts(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+# The benchmark's words give the pieces: starts of one and four letters, and continuing ones from where those end.
+SUBWORDS_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) AS w FROM benchmark
+), vocabulary AS (
+  SELECT DISTINCT unnest([w[1:1], w[1:4], '##' || w[5:7], '##' || w[8:8], '##' || w[-1:]]) AS piece FROM listed
+), placed AS (
+  SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM (
+    SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]') AS ws FROM documents)
+), found AS (SELECT DISTINCT word FROM placed),
+parts AS (
+  SELECT word, pos, n, CASE WHEN pos > 0 THEN '##' ELSE '' END || substr(word, pos + 1, n) AS piece
+  FROM (SELECT word, unnest(range(0, length(word))) AS pos FROM found WHERE length(word) <= 100), range(1, 5) AS s(n)
+  WHERE pos + n <= length(word)
+), best AS (SELECT word, pos, max(n) AS n FROM parts JOIN vocabulary USING (piece) GROUP BY word, pos),
+walk AS (
+  SELECT word, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS piece FROM found
+  UNION ALL
+  SELECT w.word, w.pos + n, CASE WHEN w.pos > 0 THEN '##' ELSE '' END || substr(w.word, w.pos + 1, n)
+  FROM walk w JOIN best b ON b.word = w.word AND b.pos = w.pos
+), cuts AS (
+  SELECT word, CASE WHEN max(pos) = length(word) THEN list(piece ORDER BY pos) FILTER (piece IS NOT NULL)
+    ELSE ['[UNK]'] END AS pieces
+  FROM walk GROUP BY word
+), tokens AS (SELECT id, flatten(list(pieces ORDER BY place)) AS words FROM placed JOIN cuts USING (word) GROUP BY id)
+"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(subwords.words(F.col("text"))).alias("w")).distinct()
+    w = F.col("w")
+    later = [F.substring(w, 5, 3), F.substring(w, 8, 1), F.substring(w, -1, 1)]
+    pieces = [F.substring(w, 1, 1), F.substring(w, 1, 4), *[F.concat(F.lit("##"), x) for x in later]]
+    return listed.select(F.explode(F.array(*pieces)).alias("piece")).distinct()
+
+
+@query(
+    SUBWORDS_SQL
+    + """
+SELECT doc_id, coalesce(len(words), 0) AS n_tokens, len(list_filter(coalesce(words, []), lambda w: w = '[UNK]')) AS n_unknown,
+  CAST(ceil(coalesce(len(words), 0) / 256.0) AS BIGINT) AS n_chunks, md5(coalesce(array_to_string(words, ' '), '')) AS tokens_md5
+FROM documents LEFT JOIN tokens ON id = doc_id
+"""
+)
+def subword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces of a vocabulary, and the number of a model's windows that they fill."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = subwords.with_tokens(docs, "text", _pieces(spark, sf_dir))
+    tokens = F.col("tokens")
+    return cut.select(
+        "doc_id",
+        F.size(tokens).cast("long").alias("n_tokens"),
+        F.size(F.filter(tokens, lambda t: t == subwords.UNKNOWN)).cast("long").alias("n_unknown"),
+        F.coalesce(F.size(features.chunks(tokens)), F.lit(0)).cast("long").alias("n_chunks"),
+        F.md5(F.array_join(tokens, " ")).alias("tokens_md5"),
+    )
+
+
+@query(
+    SUBWORDS_SQL
+    + """
+, idf AS (
+  SELECT word, ln(((SELECT count(*) FROM tokens) + 1) / (count(*) + 1)) AS idf
+  FROM (SELECT unnest(list_distinct(words)) AS word FROM tokens) GROUP BY word
+), starts AS (SELECT id, words, unnest(range(0, len(words), 256)) AS start FROM tokens),
+chunk_words AS (SELECT id, start, unnest(words[start + 1:start + 510]) AS word FROM starts),
+weighted AS (SELECT id, start, word, count(*) * any_value(idf) AS x FROM chunk_words JOIN idf USING (word) GROUP BY id, start, word),
+unit AS (SELECT id, word, x / sqrt(sum(x * x) OVER (PARTITION BY id, start)) AS weight FROM weighted WHERE x <> 0),
+n AS (SELECT id, count(*) AS chunks FROM starts GROUP BY id)
+SELECT id AS doc_id, word, round(sum(weight) / max(chunks), 6) AS weight FROM unit JOIN n USING (id) GROUP BY id, word
+"""
+)
+def chunk_mean_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vectors of windows that are counted in a model's tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jobs.embed_long_texts(docs, "doc_id", "text", _pieces(spark, sf_dir))
+    return found.withColumn("weight", F.round("weight", 6))
+
+
 @query(
     """
 WITH scores AS (

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tidewatch.functions import text as T
 from tidewatch.session import written
@@ -30,15 +31,26 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def _words(texts: DataFrame, text_col: str) -> Column:
+    """The words of a text column, or the tokens that the column holds already."""
+    held = isinstance(texts.schema[text_col].dataType, ArrayType)
+    return F.col(text_col) if held else T.words(F.col(text_col))
+
+
+def _filled(texts: DataFrame, text_col: str) -> Column:
+    held = isinstance(texts.schema[text_col].dataType, ArrayType)
+    return F.size(text_col) > 0 if held else ~T.is_blank(F.col(text_col))
+
+
 def word_weights(texts: DataFrame, text_col: str) -> DataFrame:
     """``word, idf`` of every word of the texts: ``ln((texts + 1) / (texts with the word + 1))``.
 
-    Blank texts do not count. The table has a row for each distinct word and is written,
+    The column holds texts, or arrays of tokens that take the place of words. Blank texts do not count. The table has a row for each distinct word and is written,
     as it is read several times.
     """
-    usable = texts.select(text_col).filter(~T.is_blank(F.col(text_col)))
+    usable = texts.select(text_col).filter(_filled(texts, text_col))
     # An empty word per text counts the texts in the same pass; no real word is empty.
-    found = F.array_append(F.array_distinct(T.words(F.col(text_col))), "")
+    found = F.array_append(F.array_distinct(_words(texts, text_col)), "")
     counts = written(
         usable.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     )
@@ -92,11 +104,14 @@ def embed_long_texts(
     size: int = CHUNK_TOKENS,
     stride: int = CHUNK_STRIDE,
 ) -> DataFrame:
-    """``id, word, weight``: the mean of the chunk vectors of the whole text; blank text gives no row."""
-    usable = texts.select(id_col, text_col).filter(~T.is_blank(F.col(text_col)))
+    """``id, word, weight``: the mean of the chunk vectors of the whole text; blank text gives no row.
+
+    A chunk is of words, or of tokens if the column holds arrays of them.
+    """
+    usable = texts.select(id_col, text_col).filter(_filled(texts, text_col))
     # Words are a column of their own, or every chunk would split the text again.
     dealt = usable.repartition(F.col(id_col))
-    split = dealt.select(id_col, T.words(F.col(text_col)).alias("_all"))
+    split = dealt.select(id_col, _words(texts, text_col).alias("_all"))
     parts = split.select(
         id_col,
         F.ceil(F.size("_all") / stride).alias("_chunks"),

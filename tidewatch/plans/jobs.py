@@ -21,6 +21,7 @@ from tidewatch.operators import (
     joins,
     match,
     neighbours,
+    subwords,
 )
 from tidewatch.session import written
 from tidewatch.sources import files, sinks, snapshots
@@ -313,7 +314,16 @@ def retain(table: DataFrame, as_of: date | str, column: str = "date") -> DataFra
     return sinks.retain(table, as_of, column)
 
 
-def embed_long_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, word, weight`` of texts of any length, with word weights from the texts themselves."""
+def embed_long_texts(
+    texts: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame | None = None
+) -> DataFrame:
+    """``id, word, weight`` of texts of any length, with word weights from the texts themselves.
+
+    With the ``vocabulary`` (``piece``) of a model its tokens are counted and weighed in place of words.
+    """
+    if vocabulary is not None:
+        cut = subwords.with_tokens(texts.select(id_col, text_col), text_col, vocabulary, to="_tokens")
+        # Tokens are read for the weights and for the vectors, and cut once.
+        texts = written(cut.select(id_col, F.col("_tokens").alias(text_col)))
     weights = features.word_weights(texts, text_col)
     return features.embed_long_texts(texts, weights, id_col, text_col)
