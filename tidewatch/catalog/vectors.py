@@ -67,6 +67,36 @@ def chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.embed_long_texts(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    """
+WITH techniques AS (
+  SELECT vec_id AS ordinal, embedding FROM embeddings WHERE vec_id % 2 = 0
+  UNION ALL
+  SELECT CASE WHEN vec_id % 4 = 0 THEN -1 - vec_id ELSE vec_id + 1000000000 END, embedding
+  FROM embeddings WHERE vec_id % 2 = 0
+), scores AS (
+  SELECT t.vec_id AS text_id, m.ordinal,
+    list_cosine_similarity(t.embedding::DOUBLE[], m.embedding::DOUBLE[]) AS score
+  FROM embeddings t, techniques m WHERE t.vec_id % 2 = 1
+)
+SELECT text_id, ordinal, round(score, 6) AS score FROM scores
+QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, ordinal) = 1
+"""
+)
+def tied_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every technique stands twice, its copy before or after it: the lowest ordinal wins each tie."""
+    vectors = table(spark, sf_dir, "embeddings")
+    key = F.col("vec_id")
+    known = vectors.filter(key % 2 == 0)
+    copies = F.when(key % 4 == 0, -1 - key).otherwise(key + 1_000_000_000)
+    techniques = known.select(key.alias("ordinal"), F.col("embedding").alias("vector")).unionAll(
+        known.select(copies, "embedding")
+    )
+    texts = vectors.filter(key % 2 == 1).select(key.alias("text_id"), F.col("embedding").alias("vector"))
+    best = match.nearest(texts, techniques, 64)
+    return best.withColumn("score", F.round("score", 6))
+
+
 # The benchmark's words give the pieces: starts of one and four letters, and continuing ones from where those end.
 SUBWORDS_SQL = r"""
 WITH RECURSIVE listed AS (
