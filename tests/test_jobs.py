@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -175,3 +176,14 @@ def test_embed_long_texts_job(spark):
     # A word of every text weighs nothing.
     assert sorted((r.id, r.word) for r in found) == [(1, "a"), (1, "b"), (3, "d")]
     assert files.match_texts(spark.createDataFrame([("T", None)], "technique_id string, technique_name string")).first().text == ""
+
+
+def test_a_log_made_of_few_rows_is_not_sent_whole(spark, tmp_path):
+    hosts = spark.range(1000).select(F.col("id").cast("string").alias("group"), F.concat(F.lit("h"), "id").alias("fqdn"))
+    hosts.write.parquet(f"{tmp_path}/hosts")
+    seeds = spark.read.parquet(f"{tmp_path}/hosts")
+    log = seeds.select("fqdn", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("page"))
+    fetched = jobs.expand_seed_pages(seeds, log.withColumn("ok", F.col("page") < 3), "2024-03-05")
+    text = fetched._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[fqdn#\d+, page#\d+\]", text)
+    assert fetched.groupBy("page").count().orderBy("page").collect() == [(1, 1000), (2, 1000)]

@@ -287,7 +287,8 @@ def expand_seed_pages(
     ``fetch_log`` holds ``fqdn, page, ok``; a page without an entry was not fetched.
     """
     planned = crawl.seed_pages(seeds, as_of)
-    log = planned.join(fetch_log, ["fqdn", "page"], "left")
+    # A log may hold many rows for each row of its file, which Spark's estimate of its size leaves out: never sent whole.
+    log = planned.join(fetch_log.hint("merge"), ["fqdn", "page"], "left")
     failed = ~F.coalesce(F.col("ok"), F.lit(False))
     return crawl.page_walk(log, ["fqdn"], failed, keep_stop=False).drop("ok")
 
