@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions import batches
+
 # ``start`` to ``stop`` is the content, in code points from the page's start; ``size`` counts the elements inside.
 NODE = (
     "struct<tag:string,id:string,classes:array<string>,attrs:map<string,string>,"
@@ -114,11 +116,10 @@ def elements(page: Column) -> Column:
     """``array<NODE>`` of a page; a null page has none."""
     names = [f.name for f in _NODE]
 
-    def work(pages: pa.Array) -> pa.Array:
-        rows = [[dict(zip(names, n)) for n in _elements(p)] for p in pages.to_pylist()]
-        return pa.array(rows, pa.list_(_NODE))
+    def work(pages: list[str | None]) -> list[list[dict]]:
+        return [[dict(zip(names, n)) for n in _elements(p)] for p in pages]
 
-    return F.arrow_udf(work, f"array<{NODE}>")(page)
+    return batches.by_parts(lambda: work, f"array<{NODE}>", pa.list_(_NODE), page)
 
 
 def _is(node: Column, step: Column) -> Column:
