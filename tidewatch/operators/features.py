@@ -7,10 +7,12 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from tidewatch.functions import batches
 from tidewatch.functions import text as T
 from tidewatch.session import written
 
@@ -157,14 +159,13 @@ def summary(
 
     A sentence scores the mean count, in its own text, of its words of four
     letters or more. The whole text takes part. Only the text column passes to
-    the Python workers, in Arrow batches, and the row stays where it is. Blank text gives ``""``.
+    the Python workers, in parts of Arrow batches, and the row stays where it is. Blank text gives ``""``.
     """
 
-    @F.pandas_udf("string")
-    def summarize(texts: pd.Series) -> pd.Series:
-        return pd.Series([best_sentences(t, min_words, max_words) for t in texts], dtype=object)
+    def summarize(texts: list[str | None]) -> list[str]:
+        return [best_sentences(t, min_words, max_words) for t in texts]
 
-    return summarize(text)
+    return batches.by_parts(lambda: summarize, "string", pa.string(), text)
 
 
 ModelFn = Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]
