@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import batches
 from tidewatch.session import written
 
 # Format of such vocabularies (fixed values).
@@ -23,6 +24,9 @@ LONGEST_WORD = 100
 # Vocabularies of up to so many pieces, some 100 bytes each, are sent to the tasks; words are joined to larger ones.
 BROADCAST_PIECES = 500_000
 
+# Words whose pieces a task keeps, some 500 bytes each (fixed value).
+KEPT_CUTS = 100_000
+
 _TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
 
@@ -69,19 +73,22 @@ def _in_row(texts: DataFrame, known: list[str]) -> Callable[[Column], Column]:
             at = end
         return found if at == len(word) else [unknown]
 
-    @F.pandas_udf("array<string>")
-    def tokens(rows: pd.Series) -> pd.Series:
-        # A batch's words repeat much, so each is cut once.
+    most = KEPT_CUTS
+
+    def start() -> Callable[[list[list[str]]], list[list[str]]]:
+        # A task's words repeat much, so each is cut once while the cuts are kept.
         cuts: dict[str, list[str]] = {}
-        out = []
-        for row in rows:
-            for word in row:
-                if word not in cuts:
-                    cuts[word] = cut(word, shared.value)
-            out.append([piece for word in row for piece in cuts[word]])
-        return pd.Series(out, dtype=object)
-
-    return tokens
+
+        def tokens(rows: list[list[str]]) -> list[list[str]]:
+            if len(cuts) > most:
+                cuts.clear()
+            for word in set().union(*rows).difference(cuts):
+                cuts[word] = cut(word, shared.value)
+            return [[piece for word in row for piece in cuts[word]] for row in rows]
+
+        return tokens
+
+    return lambda column: batches.by_parts(start, "array<string>", pa.list_(pa.string()), column)
 
 
 def cut_words(found: DataFrame, pieces: DataFrame) -> DataFrame:
