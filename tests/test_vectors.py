@@ -156,6 +156,35 @@ def test_long_texts_are_pooled_over_all_chunks(spark):
         assert got[i] == pytest.approx(mean)
 
 
+def test_rare_words_meet_their_row(spark):
+    """The same vectors whether all words are sent to the tasks, some, or none; null and repeated ids as before."""
+    rows = [*enumerate(TEXTS), (None, "alpha beta once"), (20, "delta alpha"), (20, "epsilon"), (21, " "), (22, None)]
+    texts = spark.createDataFrame(rows, "id int, t string")
+    weights = features.word_weights(texts, "t")
+    joined: dict = {}
+    for i, t in rows:
+        joined.setdefault(i, []).extend(words(t or ""))
+    idf = {r.word: r.idf for r in weights.collect()}
+    want = {i: {w: x for w, x in brute_vector(ws, idf).items() if x} for i, ws in joined.items() if ws}
+    for sent in (0, 3, 200_000):
+        got = by_id(features.embed(texts, weights, "id", "t", sent_words=sent))
+        assert set(got) == {i for i, vector in want.items() if vector}
+        for i, vector in got.items():
+            assert vector == pytest.approx(want[i])
+        single = {i: vector for i, vector in got.items() if i != 20}
+        long = by_id(features.embed_long_texts(texts, weights, "id", "t", sent_words=sent))
+        assert {i: long[i] for i in single} == {i: pytest.approx(v) for i, v in single.items()}
+        # Windows of the same number are one: those of both texts of id 20.
+        assert long[20] == pytest.approx(want[20])
+
+
+def test_texts_are_weighed_in_their_row(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
+    weights = features.word_weights(df, "t")
+    for found in (features.embed(df, weights, "id", "t"), features.embed_long_texts(df, weights, "id", "t")):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chunks_start_at_every_stride(spark):
     df = spark.createDataFrame([(["w"] * n,) for n in (1, 256, 257, 600)] + [([],)], "w array<string>")
     sizes = [r[0] and [len(c) for c in r[0]] for r in df.select(features.chunks(F.col("w"))).collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -20,6 +21,9 @@ from tidewatch.session import written
 CHUNK_TOKENS = 510
 CHUNK_STRIDE = 256
 
+# Words whose weights are sent to the tasks at most, some 200 bytes each in a worker (fixed value).
+SENT_WORDS = 200_000
+
 # Length of a summary, in words (fixed values).
 SUMMARY_MIN_WORDS = 30
 SUMMARY_MAX_WORDS = 130
@@ -74,20 +78,103 @@ def _unit_weights(counted: DataFrame, weights: DataFrame, keys: list[str]) -> Da
     )
 
 
-def embed(texts: DataFrame, weights: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _repeated(rows: DataFrame, id_col: str) -> DataFrame | None:
+    """The ids that several rows have, null among them, as ``_id``; nothing if there are none."""
+    counted = rows.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1")
+    found = written(counted.select(F.col(id_col).alias("_id")))
+    return None if found.isEmpty() else found
+
+
+def _sent(weights: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The weights of the most frequent words, ``most`` at most, and of all others, if there are any.
+
+    A frequent word has a small idf. Words are counted by steps of it, so that no order over all of them is needed.
+    """
+    usable = weights.select("word", "idf").where("word IS NOT NULL AND idf IS NOT NULL")
+    step = F.floor(F.least(F.greatest(F.col("idf"), F.lit(-100.0)), F.lit(100.0)) * 100)
+    total, bound = 0, None
+    for row in usable.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy("step").collect():
+        total += row["n"]
+        if total > most:
+            bound = row["step"]
+            break
+    if bound is None:
+        return usable, None
+    return usable.where(step < bound), usable.where(step >= bound)
+
+
+def _in_row(
+    rows: DataFrame, weights: DataFrame, id_col: str, words: Column, size: int | None, stride: int | None, sent_words: int
+) -> DataFrame:
+    """``id, word, weight`` of ``rows`` of different ids: the mean vector of a row's chunks of ``words``.
+
+    Without a size the row is one chunk. The weights of frequent words are sent to the tasks; those of the
+    others come to their row by a join, which only words that were not sent take part in.
+    """
+    frequent, others = _sent(weights, sent_words)
+    table = frequent.toArrow()
+    known = dict(zip(table["word"].to_pylist(), table["idf"].to_pylist()))
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    columns = [words]
+    if others is not None:
+        distinct = rows.select(id_col, F.explode(F.array_distinct(words)).alias("word"))
+        joined = distinct.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(others, "word")
+        own = joined.groupBy(F.col(id_col).alias("_id")).agg(F.collect_list(F.struct("word", "idf")).alias("_own"))
+        # A text is smaller than its words, which are made behind the join.
+        rows = rows.join(own, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+        columns += [F.col("_own.word"), F.col("_own.idf")]
+
+    def weigh(found_words: list, own_words: list | None = None, own_idf: list | None = None) -> list[list[tuple]]:
+        sent, out = shared.value, []
+        for i, row in enumerate(found_words):
+            row = row or []
+            own = dict(zip(own_words[i], own_idf[i])) if own_words and own_words[i] else {}
+            starts = range(0, len(row), stride) if size else [0]
+            mean: dict[str, float] = {}
+            for start in starts:
+                found = {}
+                for word, n in Counter(row[start : start + size] if size else row).items():
+                    idf = sent.get(word) or own.get(word)
+                    if idf:
+                        found[word] = n * idf
+                length = math.sqrt(sum(x * x for x in found.values()))
+                for word, x in found.items():
+                    mean[word] = mean.get(word, 0.0) + x / length
+            out.append([(word, x / len(starts)) for word, x in mean.items()])
+        return out
+
+    kind = pa.list_(pa.struct([("word", pa.string()), ("weight", pa.float64())]))
+    vectors = batches.by_parts(lambda: weigh, "array<struct<word:string,weight:double>>", kind, *columns)
+    return rows.select(id_col, F.inline(vectors))
+
+
+def embed(
+    texts: DataFrame, weights: DataFrame, id_col: str, text_col: str, sent_words: int = SENT_WORDS
+) -> DataFrame:
     """``id, word, weight``: the unit-length TF-IDF vector of each text, a row for each word in it.
 
     No word is left out or merged, so a vector is as long as the text has weighted words. Texts
-    of the same id are one text.
+    of the same id are one text. ``weights`` (``word, idf``) has a word once. A text of an id of its own is weighed
+    in its row, which is not shuffled; only texts of ids that repeat are dealt by id.
     """
+    rows = texts.select(id_col, text_col)
+    repeated = _repeated(rows, id_col)
+    if repeated is None:
+        single = rows
+    else:
+        same = F.col(id_col).eqNullSafe(F.col("_id"))
+        single, rows = rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi")
+    found = _in_row(single, weights, id_col, T.words(F.col(text_col)), None, None, sent_words)
+    if repeated is None:
+        return found
     # Dealt by id first: a text is smaller than its words, and counting them needs no other shuffle.
-    dealt = texts.select(id_col, text_col).repartition(F.col(id_col))
+    dealt = rows.repartition(F.col(id_col))
     counted = (
         dealt.select(id_col, F.explode(T.words(F.col(text_col))).alias("word"))
         .groupBy(id_col, "word")
         .agg(F.count("*").alias("n"))
     )
-    return _unit_weights(counted, weights, [id_col])
+    return found.unionByName(_unit_weights(counted, weights, [id_col]))
 
 
 def chunks(words: Column, size: int = CHUNK_TOKENS, stride: int = CHUNK_STRIDE) -> Column:
@@ -105,12 +192,23 @@ def embed_long_texts(
     text_col: str,
     size: int = CHUNK_TOKENS,
     stride: int = CHUNK_STRIDE,
+    sent_words: int = SENT_WORDS,
 ) -> DataFrame:
     """``id, word, weight``: the mean of the chunk vectors of the whole text; blank text gives no row.
 
-    A chunk is of words, or of tokens if the column holds arrays of them.
+    A chunk is of words, or of tokens if the column holds arrays of them. ``weights`` (``word, idf``) has a word
+    once. A text of an id of its own is weighed in its row; only texts of ids that repeat are dealt by id.
     """
     usable = texts.select(id_col, text_col).filter(_filled(texts, text_col))
+    repeated = _repeated(usable, id_col)
+    if repeated is None:
+        single = usable
+    else:
+        same = F.col(id_col).eqNullSafe(F.col("_id"))
+        single, usable = usable.join(repeated, same, "left_anti"), usable.join(repeated, same, "left_semi")
+    means = _in_row(single, weights, id_col, _words(texts, text_col), size, stride, sent_words)
+    if repeated is None:
+        return means
     # Words are a column of their own, or every chunk would split the text again.
     dealt = usable.repartition(F.col(id_col))
     split = dealt.select(id_col, _words(texts, text_col).alias("_all"))
@@ -125,9 +223,10 @@ def embed_long_texts(
         .agg(F.count("*").alias("n"))
     )
     units = _unit_weights(counted, weights, [id_col, "_chunks", "_chunk"])
-    return units.groupBy(id_col, "word").agg(
+    pooled = units.groupBy(id_col, "word").agg(
         (F.sum("weight") / F.max("_chunks")).alias("weight")
     )
+    return means.unionByName(pooled)
 
 
 _SENTENCE_END = re.compile(r"([.!?])[ \t\n\x0b\f\r]+")
