@@ -36,15 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and go on from the written table.
 
     Lineage ends there, so a lost executor costs a re-read only, and later readers
-    take just the columns they need. The table is deleted when the driver ends.
+    take just the columns they need. The table is deleted when the driver ends. With ``rows_per_file`` a task
+    writes several files, which as many tasks can read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
