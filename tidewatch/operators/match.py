@@ -60,7 +60,7 @@ def nearest(
         return blocks.against_broadcast(texts.select("text_id", "vector"), usable, _best, schema)
     found = neighbours.search(
         texts.select(F.col("text_id").alias("id"), "vector"),
-        usable.select(F.col("ordinal").alias("id"), "vector"),
+        written(usable).select(F.col("ordinal").alias("id"), "vector"),
         1,
         neighbours.chord,
         rows_per_block=rows_per_block,
