@@ -31,9 +31,9 @@ MOST_CENTRES = 1_024
 _CENTRE_NUMBERS = 8_000_000
 # Distances are rounded; a block is skipped only if it is farther by more than this share.
 _SLACK = 1e-6
-# A task holds up to so many blocks' rows of each side, and so many numbers (24 MB); fewer while that leaves so few sides.
+# A task holds up to so many blocks' rows of each side, and so many numbers (32 MB); fewer while that leaves so few sides.
 _BLOCKS_A_TILE = 16
-_TILE_NUMBERS = 3_000_000
+_TILE_NUMBERS = 4_000_000
 _SIDES = 6
 # Tasks for each pair of a slice and a part, so that few tasks get two.
 _TASKS_A_TILE = 3
@@ -112,7 +112,7 @@ def search(
     Both have ``id, vector``, ids unique; rows without either, or with a number that is none, are left out. ``distance``
     must keep the triangle inequality. With ``exclude_same`` a reference with the query's own id does not count. Blocks
     of many rows are cut into parts and their queries into slices, small ones share one, so no task holds more than
-    16 times ``rows_per_block`` rows of each, or 24 MB.
+    16 times ``rows_per_block`` rows of each, or 32 MB.
     """
     spark = queries.sparkSession
     kind, asking = dict(references.dtypes)["id"], dict(queries.dtypes)["id"]
